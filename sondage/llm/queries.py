@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, near_vectors, packing, quality, warc
-from .common import materialise, table
+from . import byte_bpe, near_vectors, packing, quality, substrings, warc
+from .common import materialise, table, words_of
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,6 +50,30 @@ SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, compo
 """
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words_of(F.col("text")), " "), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), n AS (
+    SELECT doc_id, w, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM d, unnest(range(1, len(w) - 11)) t(i)
+), m AS (
+    SELECT h, min(doc_id) AS lo FROM n GROUP BY h
+), g AS (
+    SELECT DISTINCT doc_id, i + k AS p FROM n JOIN m USING (h), unnest(range(0, 13)) t(k) WHERE lo < doc_id
+), x AS (
+    SELECT d.doc_id, p.i, d.w[p.i] AS word FROM d, unnest(range(1, len(w) + 1)) p(i)
+), k AS (
+    SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN g ON g.doc_id = x.doc_id AND g.p = x.i GROUP BY x.doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     written = materialise(warc.convert(warc.write_arc(pages)), "warc")
@@ -78,7 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_near_vectors": op6_near_vectors,
+    "op7_substrings": op7_substrings,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
 }
-ORACLE = {"op6_near_vectors": OP6_SQL, "op8_warc": OP8_SQL}
+ORACLE = {"op6_near_vectors": OP6_SQL, "op7_substrings": OP7_SQL, "op8_warc": OP8_SQL}
