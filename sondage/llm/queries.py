@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, near_vectors, packing, quality, substrings, warc
+from . import byte_bpe, near_vectors, packing, quality, set_join, substrings, warc
 from .common import materialise, table, words_of
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,6 +98,30 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) t(i)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+), l AS (
+    SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 90 * (x.n + y.n - p.c)
+), r(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a
+)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_byte_bpe": op4_byte_bpe,
@@ -105,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substrings": op7_substrings,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
+    "op10_set_join": op10_set_join,
 }
-ORACLE = {"op6_near_vectors": OP6_SQL, "op7_substrings": OP7_SQL, "op8_warc": OP8_SQL}
+ORACLE = {"op6_near_vectors": OP6_SQL, "op7_substrings": OP7_SQL, "op8_warc": OP8_SQL, "op10_set_join": OP10_SQL}
