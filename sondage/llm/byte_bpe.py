@@ -17,8 +17,8 @@ import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 _TO_LETTER = {b: 0x100 + b for b in range(256)}
 _TO_BYTE = {0x100 + b: b for b in range(256)}
 
-#: Pre-tokens remembered by each worker before it starts afresh.
-MEMO = 400_000
+#: Pre-tokens remembered by each worker before it starts afresh; characters encoded at a time.
+MEMO, PORTION = 500_000, 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,24 +82,21 @@ class ByteBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(read_ranks(ranks_path)))
         n = self.model.get_piece_size() - 1
         self.bytes_of = [self.model.id_to_piece(i).translate(_TO_BYTE).encode("latin-1") for i in range(n)]
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def encode(self, text: str | None) -> array:
-        ids = array("i")
-        if not text:
-            return ids
-        tokens = self.split(text)
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit integers in the machine's order; pre-tokens new to the memo are encoded in one call."""
+        tokens = [self.split(t) if t else [] for t in texts]
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        if new := [t for t in set(tokens) if t not in memo]:
-            found = self.model.encode([letters(t.encode()) for t in new], num_threads=1)
-            memo.update(zip(new, map(tuple, found), strict=True))
-        ids.extend(chain.from_iterable(map(memo.__getitem__, tokens)))
-        return ids
+        new = list(set().union(*tokens).difference(memo))
+        found = self.model.encode([letters(t.encode()) for t in new], num_threads=1) if new else []
+        memo.update(zip(new, (array("i", ids).tobytes() for ids in found), strict=True))
+        return [b"".join(map(memo.__getitem__, own)) for own in tokens]
 
-    def decode(self, ids: list[int] | None) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids or ()))
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -107,6 +104,18 @@ def _codec(ranks_path: str, pattern: str) -> ByteBpe:
     return ByteBpe(ranks_path, pattern)
 
 
+def _portions(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a column in lists of about PORTION characters."""
+    held, size = [], 0
+    for t in column:
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size > PORTION:
+            yield held
+            held, size = [], 0
+    yield held
+
+
 def _added(df: DataFrame, name: str, kind: T.DataType, batches) -> DataFrame:
     rest = [f for f in df.schema.fields if f.name != name]
     return df.select(*[f"`{f.name}`" for f in df.schema.fields]).mapInArrow(batches, T.StructType([*rest, T.StructField(name, kind)]))
@@ -118,11 +127,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks_path, pattern)
         for b in batches:
-            values, offsets = array("i"), array("i", [0])
-            for t in b.column(b.schema.get_field_index(text)):
-                values.extend(codec.encode(t.as_py()))
-                offsets.append(len(values))
-            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+            values, offsets = [], [0]
+            for texts in _portions(b.column(b.schema.get_field_index(text))):
+                for own in codec.encode(texts):
+                    values.append(own)
+                    offsets.append(offsets[-1] + len(own) // 4)
+            flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(values))])
+            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
             yield _with(b, ids, made)
 
     return _added(df, ids, T.ArrayType(T.IntegerType()), run)
@@ -135,7 +146,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", data:
         codec = _codec(ranks_path, pattern)
         for b in batches:
             column = b.column(b.schema.get_field_index(ids))
-            yield _with(b, data, pa.array((codec.decode(x.as_py()) for x in column), pa.binary()))
+            flat, ends = column.flatten().to_numpy(), np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False))).astype(int)
+            own = (codec.decode(flat[s:e].tolist()) for s, e in zip([0, *ends[:-1]], ends, strict=True))
+            yield _with(b, data, pa.array(own, pa.binary()))
 
     return _added(df, data, T.BinaryType(), run)
 
