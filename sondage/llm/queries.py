@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, near_vectors, packing, quality, set_join, substrings, warc
+from . import byte_bpe, line_dedup, near_vectors, packing, quality, set_join, substrings, warc
 from .common import materialise, table, words_of
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,31 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BPE)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, text, string_split(text, chr(10)) AS x FROM documents
+), l AS (
+    SELECT doc_id, source, text, i, x[i] AS line, trim(x[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS own
+    FROM d, unnest(range(1, len(x) + 1)) t(i)
+), t AS (
+    SELECT source, count(DISTINCT text) AS pages FROM documents GROUP BY source
+), b AS (
+    SELECT l.source, own FROM l JOIN t ON t.source IS NOT DISTINCT FROM l.source WHERE own <> ''
+    GROUP BY l.source, own HAVING count(DISTINCT text) >= 5 AND 100 * count(DISTINCT text) >= 8 * any_value(pages)
+), k AS (
+    SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept
+    FROM l ANTI JOIN b ON b.source IS NOT DISTINCT FROM l.source AND b.own = l.own GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(x), 0) AS n_lines, coalesce(len(x), 0) - coalesce(k.n, 0) AS n_dropped, sha256(coalesce(kept, '')) AS text_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
@@ -124,6 +149,7 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS compon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_near_vectors": op6_near_vectors,
     "op7_substrings": op7_substrings,
@@ -131,4 +157,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_set_join": op10_set_join,
 }
-ORACLE = {"op6_near_vectors": OP6_SQL, "op7_substrings": OP7_SQL, "op8_warc": OP8_SQL, "op10_set_join": OP10_SQL}
+ORACLE = {"op3_line_dedup": OP3_SQL, "op6_near_vectors": OP6_SQL, "op7_substrings": OP7_SQL, "op8_warc": OP8_SQL, "op10_set_join": OP10_SQL}

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import mix64
 
@@ -47,3 +48,17 @@ def bitmap(keys: DataFrame, count: int) -> np.ndarray:
 def contains(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = _bits(h, (len(bits) * 8).bit_length() - 1)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def parted(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two parts by a long column: rows whose key may be in the one column of ids (a written table), and rows whose key isn't or is null."""
+    bits = df.sparkSession.sparkContext.broadcast(bitmap(ids, ids.count()))
+
+    @F.pandas_udf("boolean")
+    def may(values):
+        import pandas as pd
+
+        return pd.Series(contains(bits.value, values.to_numpy().astype(np.int64)))
+
+    marked = df.withColumn("_hit", may(F.coalesce(F.col(key).cast("long"), F.lit(0))) & F.col(key).isNotNull())
+    return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")

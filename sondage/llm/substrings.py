@@ -278,19 +278,10 @@ def cut(text: bytes, starts: list[int], window: int) -> tuple[bytes, int]:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs, its text without repeated passages, with n_words (before) and n_removed."""
-    spark = docs.sparkSession
     starts = materialise(repeats(docs, key, text, window, gram), "starts")
-    bits = spark.sparkContext.broadcast(sketch.bitmap(starts.select("doc"), starts.count()))
-
-    @F.pandas_udf("boolean")
-    def touched(ids):
-        import pandas as pd
-
-        return pd.Series(sketch.contains(bits.value, ids.to_numpy().astype(np.int64)))
-
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     counted = docs.select(*(f"`{c}`" for c in columns), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
-    marked = counted.withColumn("_hit", touched(F.coalesce(F.col(key).cast("long"), F.lit(0))) & F.col(key).isNotNull())
+    hit, rest = sketch.parted(counted, key, starts.select("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,7 +301,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
     schema = T.StructType([*counted.schema.fields, T.StructField("n_removed", T.LongType())])
     mine = starts.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("starts").alias("_starts"))
-    hit = marked.where("_hit").drop("_hit").withColumn("_m", F.xxhash64(text))
-    hit = hit.join(mine, (F.col(key) == F.col("_doc")) & (F.col("_m") == F.col("_mark")), "left").select(*(f"`{f.name}`" for f in counted.schema.fields), "_starts")
-    rest = marked.where("not _hit").drop("_hit").withColumn("n_removed", F.lit(0).cast("long"))
-    return hit.mapInArrow(run, schema).union(rest)
+    hit = hit.withColumn("_m", F.xxhash64(text)).join(mine, (F.col(key) == F.col("_doc")) & (F.col("_m") == F.col("_mark")), "left").select(*(f"`{f.name}`" for f in counted.schema.fields), "_starts")
+    return hit.mapInArrow(run, schema).union(rest.withColumn("n_removed", F.lit(0).cast("long")))
