@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, near_vectors, packing, quality, set_join, substrings, warc
+from . import byte_bpe, html_text, line_dedup, near_vectors, packing, quality, set_join, substrings, warc
 from .common import materialise, table, words_of
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +56,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.link(table(spark, sf_dir, "embeddings"))
 
@@ -151,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_html_text": op5_html_text,
     "op6_near_vectors": op6_near_vectors,
     "op7_substrings": op7_substrings,
     "op8_warc": op8_warc,
