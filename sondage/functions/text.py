@@ -62,9 +62,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+def epoch_seconds(ts: Column) -> Column:
+    """Seconds since the epoch of a time without zone, read as UTC whatever the session's time zone."""
+    return F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts.cast("timestamp_ntz"))
+
+
 def rfc3339(ns: Column) -> Column:
-    """UTC time of nanoseconds since the epoch, in seconds. The session's time zone must be UTC."""
-    return F.date_format(F.timestamp_seconds(F.floor(ns / 1_000_000_000)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC time of nanoseconds since the epoch, in seconds, whatever the session's time zone."""
+    at = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.floor(ns / 1_000_000_000).cast("decimal(18,6)"))
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def human_size(n: Column) -> Column:

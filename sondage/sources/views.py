@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.functions import lists
-from sondage.functions.text import basename, extension
+from sondage.functions.text import basename, epoch_seconds, extension
 
 EXTENSIONS = [".pdf", ".txt", ".md", ".docx", ".go", ".py", ".png", ".dat"]
 #: The clock of the queries: 2024-02-01 00:00:00 UTC in seconds.
@@ -63,7 +63,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     vote = F.when(F.col("event_type").isin("purchase", "signup"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
     return e.select(
         F.col("event_id").alias("id"), F.concat(F.lit("q"), (F.col("user_id") % 20).cast("string")).alias("query"), F.concat(F.lit("doc_"), (F.col("event_id") % 200).cast("string")).alias("path"),
-        vote.alias("feedback"), F.unix_seconds("ts").alias("created_at"),
+        vote.alias("feedback"), epoch_seconds(F.col("ts")).alias("created_at"),
     )
 
 
