@@ -73,7 +73,7 @@ class Tracker:
         elif event == REMOVE:
             kind, before = self.last
             if kind == ADD and before.rsplit("/", 1)[-1] == name:
-                # A removal right after an addition of the same name is a move of the removed file to the added path.
+                # A removal right after an addition of the same name: what the addition began goes on at the removed path.
                 self.moved(path, before)
             else:
                 self.entries[path] = Entry([("remove", "")])
