@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files give fewer splits than half of them; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 < cores else df
+
+
 def _ext(key):
     return F.element_at(F.array(*map(F.lit, EXTENSIONS)), (key % 8).cast("int") + 1)
 
@@ -39,7 +45,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str, size: int = WINDOW, step: int = STEP) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", _path().alias("path"), "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", _path().alias("path"), "text"))
     last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / step).cast("int")
     return d.select("doc_id", "path", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")).select(
         "doc_id", "path", "chunk_no", F.substr("text", F.col("chunk_no") * step + 1, F.lit(size)).alias("content")
