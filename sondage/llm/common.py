@@ -52,16 +52,51 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+#: Base of the polynomial that hashes a word's bytes; bytes hashed at a time.
+_BASE, SEGMENT = 0x9E3779B97F4A7C15, 2_000_000
+_powers: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    if not _powers:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.full(SEGMENT + 1, base, np.uint64)
+            out[0] = 1
+            _powers.append(np.multiply.accumulate(out))
+    return _powers
+
+
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of a text in UTF-8, in order."""
+    found, at = [], 0
+    while at < len(data):
+        stop = min(len(data), at + SEGMENT)
+        if stop - at == SEGMENT:
+            # A segment ends after white space; a word as long as a segment or longer is hashed alone.
+            cut = max(data.rfind(c, at, stop) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if cut < 0:
+                rest = np.frombuffer(data, np.uint8)[at:]
+                end = at + int(np.argmax((rest == 32) | ((rest >= 9) & (rest <= 13)))) or len(data)
+                end = end if end > at else len(data)
+                found.append((np.array([xxhash.xxh3_64_intdigest(data[at:end])], np.uint64), np.array([at]), np.array([end])))
+                at = end
+                continue
+            stop = cut + 1 if stop < len(data) else stop
+        h, s, e = _hashed(np.frombuffer(data, np.uint8, stop - at, at))
+        found.append((h, s + at, e + at))
+        at = stop
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _hashed(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    power, inverse = _tables()
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = ~((b == 32) | ((b >= 9) & (b <= 13)))
+    turn = np.diff(inside)
+    start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=sums[1:])
+    return mix64((sums[end] - sums[start]) * inverse[start]), start, end

@@ -23,21 +23,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketch
-from .common import WordHashes, materialise, mix64, words_of
+from .common import WORD, materialise, mix64, word_spans
 
 #: Words of a window and of the grams whose least is its minimizer.
 WINDOW, GRAM = 13, 5
-#: Words that a task hashes at a time; runs of a shard, about; runs a task remembers having sent.
-BLOCK_WORDS, PER_SHARD, MEMO = 300_000, 4000, 500_000
+#: Bytes that a task hashes at a time; runs of a shard, about; runs a task remembers having sent.
+BLOCK_BYTES, PER_SHARD, MEMO = 1_900_000, 4000, 500_000
 _BASE = 0x9E3779B97F4A7C15
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -71,39 +71,62 @@ def sliding_min(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Block:
-    """Some whole documents: their rows, and of each window its document (index), start, hash and minimizer."""
-
-    def __init__(self, rows: list[tuple], words: list[list[bytes]], hashes: list[np.ndarray], window: int, gram: int):
-        self.rows, self.words = rows, words
-        sizes = np.array([len(h) for h in hashes])
-        h = np.concatenate(hashes)
-        doc = np.repeat(np.arange(len(rows)), sizes)
-        start = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    """Some whole documents: their rows, and of each window its document (index), first word, hash and minimizer."""
+
+    def __init__(self, rows: list[tuple], texts: list[bytes], window: int, gram: int):
+        self.rows, self.data = rows, b"\n".join(texts)
+        h, self.start, self.end = word_spans(self.data)
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        doc = np.searchsorted(first, self.start, side="right") - 1
+        #: The word that each document begins with.
+        self.head = np.searchsorted(doc, np.arange(len(rows)))
         whole = rolled(h, window)
         own = doc[: len(whole)] == doc[window - 1 :][: len(whole)]
         least = sliding_min(mix64(rolled(h, gram)), window - gram + 1)[: len(whole)]
-        self.doc, self.start = doc[: len(whole)][own], start[: len(whole)][own]
-        self.window, self.least = mix64(whole[own]), least[own]
+        self.word = np.flatnonzero(own)
+        self.doc, self.window, self.least = doc[: len(whole)][own], mix64(whole[own]), least[own]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(len(h))[0])])
+
+    def hashes(self, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Hashes of n words from each of the words on."""
+        inverse = _powers(len(self.sums))[1]
+        return mix64((self.sums[word + n] - self.sums[word]) * inverse[word] + n.astype(np.uint64))
+
+    def words(self, word: int, n: int) -> bytes:
+        return b" ".join(self.data[self.start[word] : self.end[word + n - 1]].split())
+
+
+@lru_cache(maxsize=2)
+def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return tuple(out)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = _power_table(1 << max(20, n.bit_length()))
+    return a[:n], b[:n]
 
 
 def blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[Block]:
-    """Blocks of about BLOCK_WORDS words; the last column of a batch is the text. Shorter documents are left out."""
-    hashes, rows, words, own, size = WordHashes(), [], [], [], 0
+    """Blocks of about BLOCK_BYTES; the last column of a batch is the text. Nulls are left out."""
+    rows, texts, size = [], [], 0
     for b in batches:
         keys = list(zip(*(b.column(i).to_pylist() for i in range(b.num_columns - 1)), strict=True))
         for key, t in zip(keys, b.column(b.num_columns - 1), strict=True):
-            w = t.as_buffer().to_pybytes().split() if t.is_valid else []
-            if len(w) < window:
+            if not t.is_valid:
                 continue
             rows.append(key)
-            words.append(w)
-            own.append(hashes.of(w))
-            size += len(w)
-            if size >= BLOCK_WORDS:
-                yield Block(rows, words, own, window, gram)
-                rows, words, own, size = [], [], [], 0
+            texts.append(t.as_buffer().to_pybytes())
+            size += len(texts[-1])
+            if size >= BLOCK_BYTES:
+                yield Block(rows, texts, window, gram)
+                rows, texts, size = [], [], 0
     if rows:
-        yield Block(rows, words, own, window, gram)
+        yield Block(rows, texts, window, gram)
 
 
 def _counted(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
@@ -199,7 +222,8 @@ def _shard(window: int):
             least[text] = min(doc, least.get(text, doc))
             name[text] = run_
         automaton = Automaton()
-        split = {text: text.split() for text in least}
+        ids: dict[bytes, int] = {}
+        split = {text: [ids.setdefault(w, len(ids)) for w in text.split()] for text in least}
         for text, doc in least.items():
             automaton.add(split[text], doc)
         automaton.close()
@@ -236,22 +260,21 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
             new = np.ones(len(hit), bool)
             new[1:] = (np.diff(hit) != 1) | (b.least[hit][1:] != b.least[hit][:-1]) | (b.doc[hit][1:] != b.doc[hit][:-1])
             head = np.flatnonzero(new)
-            out = []
+            at, n, doc = b.word[hit[head]], np.diff(head, append=len(hit)) + window - 1, b.doc[hit[head]]
+            names = b.hashes(at, n).view(np.int64)
+            ids, marks = (np.array([r[i] for r in b.rows], np.int64)[doc] for i in (0, 1))
             if len(sent) > MEMO:
                 sent.clear()
-            for i, n in zip(hit[head].tolist(), np.diff(head, append=len(hit)).tolist(), strict=True):
-                d, at = int(b.doc[i]), int(b.start[i])
-                doc, mark = b.rows[d]
-                own = b" ".join(b.words[d][at : at + n + window - 1])
-                h = xxhash.xxh3_64_intdigest(own) - (1 << 63)
+            own: list[bytes | None] = []
+            for i, (h, d) in enumerate(zip(names.tolist(), ids.tolist(), strict=True)):
                 known = sent.get(h)
-                if known is None or doc < known:
-                    sent[h] = doc
+                if known is None or d < known:
+                    sent[h] = d
+                    own.append(b.words(at[i], n[i]))
                 else:
-                    own = None
-                out.append((h, doc, mark, at, own, int(b.least[i]) - (1 << 63)))
+                    own.append(None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], k) for i, k in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()])],
+                [pa.array(names), pa.array(ids), pa.array(marks), pa.array((at - b.head[doc]).astype(np.int32)), pa.array(own, pa.binary()), pa.array(b.least[hit[head]].view(np.int64))],
                 ["run", "doc", "mark", "at", "words", "least"],
             )
 
@@ -280,7 +303,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     """docs, its text without repeated passages, with n_words (before) and n_removed."""
     starts = materialise(repeats(docs, key, text, window, gram), "starts")
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    counted = docs.select(*(f"`{c}`" for c in columns), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
+    counted = docs.select(*(f"`{c}`" for c in columns), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     hit, rest = sketch.parted(counted, key, starts.select("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
