@@ -53,7 +53,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 #: Base of the polynomial that hashes a word's bytes; bytes hashed at a time.
-_BASE, SEGMENT = 0x9E3779B97F4A7C15, 2_000_000
+_BASE, SEGMENT = 0x9E3779B97F4A7C15, 1_000_000
 _powers: list[np.ndarray] = []
 
 

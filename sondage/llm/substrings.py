@@ -37,7 +37,7 @@ from .common import WORD, materialise, mix64, word_spans
 #: Words of a window and of the grams whose least is its minimizer.
 WINDOW, GRAM = 13, 5
 #: Bytes that a task hashes at a time; runs of a shard, about; runs a task remembers having sent.
-BLOCK_BYTES, PER_SHARD, MEMO = 1_900_000, 4000, 500_000
+BLOCK_BYTES, PER_SHARD, MEMO = 800_000, 4000, 200_000
 _BASE = 0x9E3779B97F4A7C15
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
