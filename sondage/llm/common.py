@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch that is sent to Python.
+BATCH_ROWS = 1000
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -35,7 +37,23 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote, once everything made from them has been written itself."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python by the thousand, so that a batch of texts or sets fits several times into a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def words_of(text: Column) -> Column:

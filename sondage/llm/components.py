@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: Links that a task holds while thinning them; thinning starts afresh beyond it.
 THIN = 500_000
@@ -81,7 +81,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = materialise(large.distinct(), "large")
         small = materialise(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), "small")
         moved = large.join(small, large["u"] == small["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        used = (edges, least, large, small)
         edges = materialise(moved.union(small.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), "links")
+        discard(*used)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

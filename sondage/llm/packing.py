@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 #: Steps of the fit; pieces of a length and salt, about, and least salts.
 STEPS, PER_SALT, LEAST_SALTS = 400, 20_000, 64
@@ -54,6 +54,8 @@ def _encoding(path: str):
 def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids (32-bit little-endian) of every row; only the first piece may be shorter where a text is cut."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(tokenizer).encode_ordinary
         for b in batches:

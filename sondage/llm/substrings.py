@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketch
-from .common import WORD, materialise, mix64, word_spans
+from .common import WORD, discard, materialise, mix64, small_batches, word_spans
 
 #: Words of a window and of the grams whose least is its minimizer.
 WINDOW, GRAM = 13, 5
@@ -146,7 +146,9 @@ def _repeated(docs: DataFrame, run) -> np.ndarray:
     """Bitmap of the hashes that run() finds in more than one document."""
     found = docs.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     found = materialise(found, "repeated")
-    return sketch.bitmap(found, found.count())
+    bits = sketch.bitmap(found, found.count())
+    discard(found)
+    return bits
 
 
 class Automaton:
@@ -236,6 +238,7 @@ def _shard(window: int):
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, mark, starts): starts of the windows to remove, for each document (id and hash of the text) that has any."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
