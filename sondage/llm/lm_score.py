@@ -5,7 +5,10 @@ of it; the sum of the conditional log-probabilities is the document's score.
 The network is trained here, in numpy: embeddings of the neighbours, one table
 for each place, are added up, pass a tanh, and give the word's class and the
 word within the class by softmax. The FREQUENT most frequent words of the corpus
-are words of their own, others share hashed ids, so every word has an id.
+are words of their own, others share hashed ids, so every word has an id. In
+score_corpus() a word's probability is that of its id times the word's own share
+of the id's count in the corpus. The table of these shares has a row for every
+word, grows with the corpus, and is joined to the documents' words by shuffle.
 
 Everything gathered from the corpus covers all of it: word counts come from a
 group-by over all documents, and each task trains a copy of the network from
@@ -13,6 +16,9 @@ the same start on masked words of all its documents (every MASK-th word of
 each). The copies are averaged, weighted by their words, in blocks that are
 summed as a stream; the averaged network, of fixed size, scores all words.
 
+A word's 64-bit hash stands for the word in the join. Shares are summed as whole
+billionths, so that the order of a sum doesn't change it.
+
 Null and empty texts have no words: n_tokens 0, log_prob 0, mean_log_prob null.
 Repeated rows get equal scores. On an empty table the network is untrained.
 """
@@ -60,10 +66,14 @@ class Ids(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> tuple[dict[bytes, int], np.ndarray]:
-    """Ids of the most frequent words, and the corpus count of every id."""
-    counts = docs.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counts = materialise(counts, "words")
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n of every word of the corpus, written."""
+    return materialise(docs.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+
+
+def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> tuple[dict[bytes, int], np.ndarray]:
+    """Ids of the most frequent words, and the corpus count of every id. counts: counted(docs), where it is there already."""
+    counts = counted(docs, text) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     ids = {r["word"].encode(): i for i, r in enumerate(top)}
     number = np.zeros(SIZE)
@@ -80,6 +90,22 @@ def vocabulary(docs: DataFrame, text: str = "text") -> tuple[dict[bytes, int], n
     return ids, number
 
 
+def shares(counts: DataFrame, ids: dict[bytes, int], number: np.ndarray) -> DataFrame:
+    """word (its hash), share (log of its part of its id's count, in billionths) of every word that shares an id."""
+    given = counts.sparkSession.sparkContext.broadcast((ids, number))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, sums = given.value
+        own = Ids(frequent)
+        for b in batches:
+            i = np.fromiter((own[w.encode()] for w in b.column(1).to_pylist()), np.int64, b.num_rows)
+            part = np.rint(1e9 * np.log(np.asarray(b.column(2)) / sums[i])).astype(np.int64)
+            rare = pa.array(i >= FREQUENT)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(rare), pa.array(part).filter(rare)], ["word", "share"])
+
+    return counts.select(F.xxhash64("word"), "word", "n").mapInArrow(run, "word long, share long")
+
+
 @dataclass
 class Network:
     """Parameters: neighbours' embeddings, their bias, class weights and biases, word weights and biases by class."""
@@ -227,7 +253,12 @@ def train(docs: DataFrame, ids: dict[bytes, int], counts: np.ndarray, text: str
 
 
 def score(docs: DataFrame, net: Network, ids: dict[bytes, int], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob of every row."""
+    """doc_id, n_tokens, log_prob, mean_log_prob of every row, log_prob being that of the words' ids."""
+    return _scored(docs, net, ids, key, text).drop("_text")
+
+
+def _scored(docs: DataFrame, net: Network, ids: dict[bytes, int], key: str, text: str) -> DataFrame:
+    """score() with _text, the text's hash."""
     given = docs.sparkSession.sparkContext.broadcast((ids, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +286,33 @@ def score(docs: DataFrame, net: Network, ids: dict[bytes, int], key: str = "doc_
                 sums.append(scored(held))
             total, n = np.concatenate(sums) if sums else np.zeros(0), np.array(sizes, np.int64)
             mean = pa.array(np.divide(total, np.maximum(n, 1)), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), mean, b.column(2)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "_text"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    return docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(text)).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double, _text long")
 
 
 def score_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Vocabulary, training and scoring on the same documents."""
     small_batches(docs.sparkSession)
-    ids, counts = vocabulary(docs, text)
-    return score(docs, train(docs, ids, counts, text), ids, key, text)
+    words = counted(docs, text)
+    ids, counts = vocabulary(docs, text, words)
+    scored = _scored(docs, train(docs, ids, counts, text), ids, key, text)
+    return _within_ids(docs, scored, words, ids, counts, key, text)
+
+
+def _within_ids(docs: DataFrame, scored: DataFrame, words: DataFrame, ids: dict[bytes, int], counts: np.ndarray, key: str, text: str) -> DataFrame:
+    """scored, log_prob being that of the words.
+
+    Rows are told apart by id and text. Repeated rows are one row with a count
+    and are set out again at the end, so no row needs a number of its own.
+    """
+    spark = docs.sparkSession
+    frequent = {r[0] for r in spark.createDataFrame([(w.decode(),) for w in ids], "word string").select(F.xxhash64("word")).collect()} if ids else set()
+    hashes = F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w))
+    said = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_of"), F.explode(hashes).alias("word")).where(~F.col("word").isin(frequent) if frequent else F.lit(True))
+    sums = said.join(shares(words, ids, counts).hint("shuffle_hash"), "word").groupBy("_id", "_of").agg(F.sum("share").alias("_share"))
+    rows = scored.groupBy("doc_id", "_text").agg(F.count("*").alias("_rows"), F.first("n_tokens").alias("n_tokens"), F.first("log_prob").alias("_log_prob"))
+    met = rows.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left")
+    log_prob = F.col("_log_prob") + F.coalesce(F.col("_share") / F.col("_rows"), F.lit(0.0)) / 1e9
+    made = met.select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.explode(F.array_repeat(F.lit(0), F.col("_rows").cast("int"))))
+    return made.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

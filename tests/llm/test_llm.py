@@ -169,6 +169,35 @@ def test_training_helps_on_held_out_text(spark):
     assert mean(lm_score.train(train, ids, counts)) > mean(lm_score.Network.start(counts)) + 0.2
 
 
+def test_words_that_share_an_id_have_their_own_probabilities(spark):
+    alike = {}
+    for w in (f"w{i}" for i in range(5000)):
+        alike.setdefault(lm_score.Ids({})[w.encode()], []).append(w)
+    often, rare = next(x for x in alike.values() if len(x) > 1)[:2]
+    frequent = " ".join(f"f{i} " * 20 for i in range(lm_score.FREQUENT))
+    rows = [(1, frequent), (2, f"f1 {often} f2"), (2, f"f1 {often} f2"), (3, f"f1 {rare} f2"), (None, f"f3 {often} {often} {often}"), (None, f"{often} {rare}"), (4, f"{often} " * 4), (5, None), (6, ""), (7, "f1 f2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count = {}
+    for _, t in rows:
+        for w in words(t):
+            count[w] = count.get(w, 0) + 1
+    ids, counts = lm_score.vocabulary(df)
+    own = lm_score.Ids(ids)
+    assert own[often.encode()] == own[rare.encode()] >= lm_score.FREQUENT and count[often] > count[rare]
+    # Ids are scored by one network for both, so what is left is the words' shares.
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"])
+    got = sorted(lm_score.score_corpus(df.coalesce(1)).collect(), key=key)
+    plain = sorted(lm_score.score(df, lm_score.train(df.coalesce(1), ids, counts), ids).collect(), key=key)
+    share = lambda t: sum(math.log(count[w] / counts[own[w.encode()]]) for w in words(t))
+    want = sorted(({"doc_id": d, "n_tokens": len(words(t)), "share": share(t)} for d, t in rows), key=key)
+    assert [key(r) for r in got] == [key(r) for r in want]
+    for g, p, w in zip(got, plain, want, strict=True):
+        assert math.isclose(g["log_prob"], p["log_prob"] + w["share"], rel_tol=1e-4, abs_tol=1e-4)
+        assert g["mean_log_prob"] is None if not g["n_tokens"] else math.isclose(g["mean_log_prob"], g["log_prob"] / g["n_tokens"])
+    by = {r["doc_id"]: r["log_prob"] for r in got}
+    assert by[3] < by[2] - 1
+
+
 # --- 3 lines -------------------------------------------------------------------------------
 
 
