@@ -12,9 +12,9 @@ word, grows with the corpus, and is joined to the documents' words by shuffle.
 
 Everything gathered from the corpus covers all of it: word counts come from a
 group-by over all documents, and each task trains a copy of the network from
-the same start on masked words of all its documents (every MASK-th word of
-each). The copies are averaged, weighted by their words, in blocks that are
-summed as a stream; the averaged network, of fixed size, scores all words.
+the same start on every word of all its documents. The copies are averaged,
+weighted by their words, in blocks that are summed as a stream; the averaged
+network, of fixed size, scores all words.
 
 A word's 64-bit hash stands for the word in the join. Shares are summed as whole
 billionths, so that the order of a sum doesn't change it.
@@ -25,6 +25,7 @@ Repeated rows get equal scores. On an empty table the network is untrained.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +39,8 @@ from .common import materialise, small_batches, words_of
 
 #: Words with ids of their own, hashed ids, words of a class, width of the hidden layer, neighbours on either side.
 FREQUENT, HASHED, CLASS, HIDDEN, SIDE = 1024, 1024, 64, 16, 2
-#: Every how many words one is masked in training; words of a step; rate; words handled at a time.
-MASK, STEP, RATE, PORTION = 8, 2048, 0.1, 50_000
+#: Words of a step; rate; words handled at a time.
+STEP, RATE, PORTION = 2048, 0.1, 50_000
 SEED, BLOCKS = 20240101, 64
 SIZE = FREQUENT + HASHED
 CLASSES = SIZE // CLASS
@@ -163,8 +164,16 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """The softmax of each row, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def _by(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys.astype(np.int16), kind="stable")  # ids and classes are below 2 ** 15; short keys sort by radix
     at = np.flatnonzero(np.diff(keys[order], prepend=-1))
     return [(int(keys[rows[0]]), rows) for rows in np.split(order, at[1:])] if len(keys) else []
 
@@ -176,31 +185,42 @@ class Trainer:
         self.net, self.past = net, [np.full(p.shape, 1e-6, np.float32) for p in net.parts()]
 
     def _move(self, i: int, slope: np.ndarray, at=...) -> None:
-        self.past[i][at] += slope * slope
-        self.net.parts()[i][at] -= RATE * slope / np.sqrt(self.past[i][at])
+        past = self.past[i][at] + slope * slope
+        self.past[i][at] = past
+        slope *= RATE
+        slope /= np.sqrt(past)
+        self.net.parts()[i][at] -= slope
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, len(target)
+        order = np.argsort(target.astype(np.int16), kind="stable")
+        context, target = context[order], target[order]
         h = net.hidden(context)
         kind, place = target // CLASS, target % CLASS
-        d = np.exp(_log_softmax(h @ net.to_class + net.class_bias))
+        d = _softmax(h @ net.to_class + net.class_bias)
         d[np.arange(n), kind] -= 1
         dh = d @ net.to_class.T
         self._move(2, h.T @ d / n)
         self._move(3, d.sum(0) / n)
-        for k, rows in _by(kind):
-            d = np.exp(_log_softmax(h[rows] @ net.to_word[k] + net.word_bias[k]))
-            d[np.arange(len(rows)), place[rows]] -= 1
-            dh[rows] += d @ net.to_word[k].T
-            self._move(4, h[rows].T @ d / n, k)
-            self._move(5, d.sum(0) / n, k)
+        slopes, biases = np.zeros_like(net.to_word), np.zeros_like(net.word_bias)
+        ends = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        for k, (a, b) in enumerate(itertools.pairwise(ends)):
+            if a < b:
+                d = _softmax(h[a:b] @ net.to_word[k] + net.word_bias[k])
+                d[np.arange(b - a), place[a:b]] -= 1
+                dh[a:b] += d @ net.to_word[k].T
+                slopes[k], biases[k] = h[a:b].T @ d, d.sum(0)
+        self._move(4, slopes / n)
+        self._move(5, biases / n)
         dh *= 1 - h * h
         self._move(1, dh.sum(0) / n)
+        dh /= n
         for o in range(2 * SIDE):
-            ids = context[:, o]
+            ids = context[:, o].astype(np.int16)
             order = np.argsort(ids, kind="stable")
-            at = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            self._move(0, np.add.reduceat(dh[order], at) / n, (o, ids[order][at]))
+            ids = ids[order]
+            at = np.flatnonzero(np.diff(ids, prepend=-1))
+            self._move(0, np.add.reduceat(dh[order], at), (o, ids[at]))
 
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -222,9 +242,8 @@ def train(docs: DataFrame, ids: dict[bytes, int], counts: np.ndarray, text: str
         for b in batches:
             for t in b.column(0):
                 x = own.of(t.as_buffer().to_pybytes() if t.is_valid else None)
-                at = np.arange(len(x) % MASK, len(x), MASK)
-                held.append((contexts(x, at), x[at]))
-                size += len(at)
+                held.append((contexts(x, np.arange(len(x))), x))
+                size += len(x)
                 if size >= STEP:
                     c, y = np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held])
                     whole = size - size % STEP

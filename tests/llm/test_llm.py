@@ -198,6 +198,22 @@ def test_words_that_share_an_id_have_their_own_probabilities(spark):
     assert by[3] < by[2] - 1
 
 
+def test_every_word_of_every_document_is_a_target(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"a{i} b c"[: 1 + i % 6]) for i in range(20)] + [(99, None)], "doc_id long, text string").coalesce(1)
+    ids, counts = lm_score.vocabulary(df)
+    start, net = lm_score.Network.start(counts), lm_score.train(df, ids, counts)
+    assert (start.flat() != net.flat()).any()
+    # The slope of the words' biases within a class is nonzero for each class that a target is in, and no other.
+    moved = np.abs(net.class_bias - start.class_bias)
+    assert (moved > 0).all()
+    long = spark.createDataFrame([(1, " ".join(f"{c}{i}" for i in range(4) for c in "xyzuvwst"))], "doc_id long, text string")
+    ids, counts = lm_score.vocabulary(long)
+    start, net = lm_score.Network.start(counts), lm_score.train(long, ids, counts)
+    near = np.abs(net.near - start.near).max(axis=2)
+    # Every word but one at an end is a neighbour of a target on the left as on the right.
+    assert all((near[o, list(ids.values())] > 0).sum() == len(ids) - d for o, d in enumerate((2, 1, 1, 2)))
+
+
 # --- 3 lines -------------------------------------------------------------------------------
 
 
