@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,14 @@ from .common import materialise, small_batches
 STEPS, PER_SALT, LEAST_SALTS = 400, 20_000, 64
 
 
-@lru_cache(maxsize=1)
-def _encoding(path: str):
+@lru_cache(maxsize=2)
+def _encoding(path: str, added: bool):
     """The tokenizer of a byte-level BPE file for `tokenizers`, run by tiktoken: the same ids at a fraction of the time.
 
     The vocabulary spells bytes as letters: printable Latin-1 characters stand
-    for themselves and the other bytes, in order, for U+0100 onwards.
+    for themselves and the other bytes, in order, for U+0100 onwards. added: the
+    file's added tokens are found in texts and have their own ids, as the
+    tokenizer does once it is loaded; else they are spelled like other text.
     """
     import public_tokenizers
     import tiktoken
@@ -46,18 +48,19 @@ def _encoding(path: str):
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec["added_tokens"]}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids (32-bit little-endian) of every row; only the first piece may be shorter where a text is cut."""
 
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encoding = _encoding(tokenizer, added)
+        encode = partial(encoding.encode, allowed_special="all") if added else encoding.encode_ordinary
         for b in batches:
             columns = owner, piece, start, length, data = [], array("i"), array("q"), array("q"), []
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -203,7 +206,7 @@ def pack(pieces: DataFrame, max_len: int = 1024, length: str = "length", order:
     return ranked.select(*columns, "_rank").mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of docs with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = token_pieces(docs, tokenizer, max_len, end_id, key, text)
+def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
+    """Pieces of docs with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset. added: ids of added tokens, as in _encoding()."""
+    pieces = token_pieces(docs, tokenizer, max_len, end_id, key, text, added)
     return pack(materialise(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), max_len)

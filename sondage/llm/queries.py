@@ -16,7 +16,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), BPE)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BPE, added=True)
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,11 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sondage.llm import byte_bpe, html_text, line_dedup, lm_score, near_vectors, packing, quality, set_join, substrings, warc
 from sondage.llm.common import mix64, word_spans
 from sondage.llm.components import components
-from sondage.llm.queries import RANKS
+from sondage.llm.queries import RANKS, op1_packing
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,6 +122,21 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, BPE).count() == 0
 
 
+def test_packing_has_the_ids_of_the_tokenizer_as_loaded(spark, tmp_path):
+    own = Tokenizer.from_file(BPE)
+    texts = [t for _, t, *_ in corpus()] + ["<|endoftext|> x", "a<|endoftext|><|endoftext|>\n b", "<|endoftext", "x " * 2000 + "<|endoftext|>"]
+    assert own.encode("<|endoftext|> x", add_special_tokens=False).ids == [50256, 2124]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for d, t in enumerate(texts):
+        ids = own.encode(t or "", add_special_tokens=False).ids + [2]
+        first = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
+        want += [(d, i, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))) for i, (a, b) in enumerate(itertools.pairwise([0, *range(first, len(ids) + 1, 1024)]))]
+    stage = dict(corpus_pipeline.STAGES)["best_fit_packing"]
+    for got in (op1_packing(spark, str(tmp_path)), stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))):
+        assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got.collect()) == sorted(want)
+
+
 def test_plan_uses_every_piece_and_few_sequences():
     r = np.random.default_rng(1)
     histogram = {int(z): int(n) for z, n in zip(*np.unique(np.clip(r.lognormal(5, 1, 20000).astype(int), 1, 1024), return_counts=True))}
