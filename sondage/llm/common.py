@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -23,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where it is set, else (tests) a new local one."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset and all runs in one process (tests), a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sondage-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -52,10 +56,23 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python by the thousand, so that a batch of texts or sets fits several times into a worker."""
+    """Rows go to Python by the thousand, so that a batch of texts or sets fits several times into a worker.
+
+    This is a setting of the session: queries and the pipeline make it, operators don't."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """names, each with as many underscores at its end as it takes to be no column's (letter case aside) and no other's."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; a null text has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
