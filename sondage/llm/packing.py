@@ -10,38 +10,46 @@ offset by its rank among the pieces of its length. Ranks come from salted
 groups, so that a length that most pieces share isn't one group.
 
 Null texts count as empty (their piece is the end id alone), so every row gives
-a piece; repeated rows are packed like others; an empty table gives no rows.
+a piece; repeated rows are packed like others, rows without an id too; an empty
+table gives no rows. Very long texts are encoded whole and cut; those with a run
+of letters or of white space that is very long itself go through the tokenizer's
+own library. Pieces of equal length are interchangeable: their order is that of
+the written table. Other columns of the documents aren't read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise
 
 #: Steps of the fit; pieces of a length and salt, about, and least salts.
 STEPS, PER_SALT, LEAST_SALTS = 400, 20_000, 64
+#: Runs without a break that tiktoken takes more than linear time or too deep a stack for.
+_LONG = re.compile(r"\s{4096}|\S{4096}")
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str, added: bool):
-    """The tokenizer of a byte-level BPE file for `tokenizers`, run by tiktoken: the same ids at a fraction of the time.
+def encoder(path: str):
+    """A function from a text to the ids that `tokenizers` gives for a byte-level BPE file, without what its post-processor adds.
 
-    The vocabulary spells bytes as letters: printable Latin-1 characters stand
-    for themselves and the other bytes, in order, for U+0100 onwards. added: the
-    file's added tokens are found in texts and have their own ids, as the
-    tokenizer does once it is loaded; else they are spelled like other text.
+    tiktoken does the work, in about a tenth of the time. The vocabulary spells
+    bytes as letters: printable Latin-1 characters stand for themselves and the
+    other bytes, in order, for U+0100 onwards. The file's added tokens are found
+    in texts and have their own ids, as the tokenizer does once it is loaded.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     rest = [b for b in range(256) if b not in plain]
@@ -50,17 +58,24 @@ def _encoding(path: str, added: bool):
         spec = json.load(f)
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
+    fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    own: list[Tokenizer] = []
 
+    def encode(text: str) -> list[int]:
+        if not _LONG.search(text):
+            return fast.encode(text, allowed_special="all")
+        if not own:
+            own.append(Tokenizer.from_file(path))
+        return own[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
-def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids (32-bit little-endian) of every row; only the first piece may be shorter where a text is cut."""
 
-    small_batches(docs.sparkSession)
+def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, piece, start, length, ids (32-bit little-endian) of every row; only the first piece may be shorter where a text is cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(tokenizer, added)
-        encode = partial(encoding.encode, allowed_special="all") if added else encoding.encode_ordinary
+        encode = encoder(tokenizer)
         for b in batches:
             columns = owner, piece, start, length, data = [], array("i"), array("q"), array("q"), []
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -206,7 +221,8 @@ def pack(pieces: DataFrame, max_len: int = 1024, length: str = "length", order:
     return ranked.select(*columns, "_rank").mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
-    """Pieces of docs with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset. added: ids of added tokens, as in _encoding()."""
-    pieces = token_pieces(docs, tokenizer, max_len, end_id, key, text, added)
-    return pack(materialise(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), max_len)
+def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pieces of docs with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    pieces = token_pieces(docs, tokenizer, max_len, end_id, key, text).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    # Numbered rows: those that repeat an id and a piece are dealt out like others.
+    return pack(materialise(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces"), max_len, order=("row",)).drop("row")
