@@ -23,8 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
-
 #: Letters that stand for the 256 bytes: U+0100 to U+01FF.
 _TO_LETTER = {b: 0x100 + b for b in range(256)}
 _TO_BYTE = {0x100 + b: b for b in range(256)}
@@ -119,7 +117,6 @@ def _portions(column: pa.Array) -> Iterator[list[str | None]]:
 
 
 def _added(df: DataFrame, name: str, kind: T.DataType, batches) -> DataFrame:
-    small_batches(df.sparkSession)
     rest = [f for f in df.schema.fields if f.name != name]
     return df.select(*[f"`{f.name}`" for f in df.schema.fields]).mapInArrow(batches, T.StructType([*rest, T.StructField(name, kind)]))
 

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, html_text, line_dedup, lm_score, near_vectors, packing, quality, set_join, substrings, warc
-from .common import materialise, table, words_of
+from .common import materialise, small_batches, table, words_of
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), BPE, added=True)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BPE)
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +35,10 @@ WITH d AS (
     SELECT doc_id, source, text, i, x[i] AS line, trim(x[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS own
     FROM d, unnest(range(1, len(x) + 1)) t(i)
 ), t AS (
-    SELECT source, count(DISTINCT text) AS pages FROM documents GROUP BY source
+    SELECT source, count(text) AS pages FROM documents GROUP BY source
 ), b AS (
     SELECT l.source, own FROM l JOIN t ON t.source IS NOT DISTINCT FROM l.source WHERE own <> ''
-    GROUP BY l.source, own HAVING count(DISTINCT text) >= 5 AND 100 * count(DISTINCT text) >= 8 * any_value(pages)
+    GROUP BY l.source, own HAVING count(DISTINCT doc_id) >= 3 AND 100 * count(DISTINCT doc_id) >= 7 * any_value(pages)
 ), k AS (
     SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept
     FROM l ANTI JOIN b ON b.source IS NOT DISTINCT FROM l.source AND b.own = l.own GROUP BY doc_id
@@ -127,7 +127,7 @@ FROM f
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -155,7 +155,15 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS compon
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_QUERIES = {
     "op1_packing": op1_packing,
     "op2_lm_score": op2_lm_score,
     "op3_line_dedup": op3_line_dedup,
@@ -167,4 +175,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_set_join": op10_set_join,
 }
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _registered(query) for name, query in _QUERIES.items()}
 ORACLE = {"op3_line_dedup": OP3_SQL, "op6_near_vectors": OP6_SQL, "op7_substrings": OP7_SQL, "op8_warc": OP8_SQL, "op10_set_join": OP10_SQL}

@@ -16,7 +16,11 @@ grows with the corpus: runs are sent to them.
 
 Documents without an id (null) are neither changed nor referred to. Rows with
 the same id and text are changed alike, and never because of each other. Null
-and empty texts, and texts of fewer than 13 words, are returned as they are.
+and empty texts, and texts of fewer than 13 words, are returned as they are; an
+empty table gives an empty one. Of equal windows the one in the smallest id
+stays; within a document nothing is removed for its own sake. Very long texts
+are hashed in segments. A result column whose name the table has already is
+given an underscore more.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketch
-from .common import WORD, discard, materialise, mix64, small_batches, word_spans
+from .common import WORD, discard, materialise, mix64, unused, word_spans
 
 #: Words of a window and of the grams whose least is its minimizer.
 WINDOW, GRAM = 13, 5
@@ -238,7 +242,6 @@ def _shard(window: int):
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, mark, starts): starts of the windows to remove, for each document (id and hash of the text) that has any."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,14 +308,14 @@ def cut(text: bytes, starts: list[int], window: int) -> tuple[bytes, int]:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs, its text without repeated passages, with n_words (before) and n_removed."""
     starts = materialise(repeats(docs, key, text, window, gram), "starts")
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    counted = docs.select(*(f"`{c}`" for c in columns), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    n_words, n_removed, doc, mark, at_, own = unused(docs.columns, "n_words", "n_removed", "doc", "mark", "starts", "own")
+    counted = docs.select("*", F.coalesce(F.regexp_count(f"`{text}`", F.lit(WORD)), F.lit(0)).cast("long").alias(n_words))
     hit, rest = sketch.parted(counted, key, starts.select("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
-            at, by = names.index(text), names.index("_starts")
+            at, by = names.index(text), names.index(at_)
             made, removed = [], []
             for t, s in zip(b.column(at), b.column(by), strict=True):
                 if s.is_valid:
@@ -323,9 +326,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                     made.append(t.as_py())
                     removed.append(0)
             arrays = [pa.array(made, pa.string()) if i == at else b.column(i) for i in range(len(names)) if i != by]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, pa.int64())], [*(n for i, n in enumerate(names) if i != by), "n_removed"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed, pa.int64())], [*(n for i, n in enumerate(names) if i != by), n_removed])
 
-    schema = T.StructType([*counted.schema.fields, T.StructField("n_removed", T.LongType())])
-    mine = starts.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("starts").alias("_starts"))
-    hit = hit.withColumn("_m", F.xxhash64(text)).join(mine, (F.col(key) == F.col("_doc")) & (F.col("_m") == F.col("_mark")), "left").select(*(f"`{f.name}`" for f in counted.schema.fields), "_starts")
-    return hit.mapInArrow(run, schema).union(rest.withColumn("n_removed", F.lit(0).cast("long")))
+    schema = T.StructType([*counted.schema.fields, T.StructField(n_removed, T.LongType())])
+    mine = starts.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("starts").alias(at_))
+    same = (F.col(f"`{key}`") == F.col(doc)) & (F.col(own) == F.col(mark))
+    hit = hit.withColumn(own, F.xxhash64(f"`{text}`")).join(mine, same, "left").select(*(f"`{f.name}`" for f in counted.schema.fields), at_)
+    return hit.mapInArrow(run, schema).union(rest.withColumn(n_removed, F.lit(0).cast("long")))

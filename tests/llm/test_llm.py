@@ -7,11 +7,13 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -100,7 +102,6 @@ def test_components(spark):
 
 def test_packing(docs, none):
     own = Tokenizer.from_file(BPE)
-    own.encode_special_tokens = True
     rows = packing.pack_documents(docs, BPE).collect()
     want = []
     for d, t, *_ in corpus():
@@ -124,7 +125,7 @@ def test_packing(docs, none):
 
 def test_packing_has_the_ids_of_the_tokenizer_as_loaded(spark, tmp_path):
     own = Tokenizer.from_file(BPE)
-    texts = [t for _, t, *_ in corpus()] + ["<|endoftext|> x", "a<|endoftext|><|endoftext|>\n b", "<|endoftext", "x " * 2000 + "<|endoftext|>"]
+    texts = [t for _, t, *_ in corpus()] + ["<|endoftext|> x", "a<|endoftext|><|endoftext|>\n b", "<|endoftext", "x " * 2000 + "<|endoftext|>", " " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "q" * 1_000_000 + " <|endoftext|>", " 7" * 300_000]
     assert own.encode("<|endoftext|> x", add_special_tokens=False).ids == [50256, 2124]
     spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     want = []
@@ -236,13 +237,24 @@ def test_every_word_of_every_document_is_a_target(spark, monkeypatch):
 def test_lines(spark):
     rows = [(i, f"boiler \nown {i}\n\nboiler", "h") for i in range(9)] + [(20, "boiler\nx", "other"), (21, None, "h"), (22, "", None), (23, "alone\n", None), (9, "copy\nq", "h")] + [(10 + i, "copy\nq", "h") for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("mine"))
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup(df, percent=50).collect()}
+    df = df.withColumn("Host", F.lit("mine")).withColumn("own", F.lit(1))
+    rows = line_dedup.dedup(df, percent=50).collect()
+    got = {r["doc_id"]: (r["text"], r["n_lines_"], r["n_dropped"]) for r in rows}
+    assert {(r["n_lines"], r["Host"], r["own"]) for r in rows} == {("mine", "mine", 1)}
     assert got[3] == ("own 3\n", 4, 2) and got[20] == ("boiler\nx", 2, 0) and got[21] == (None, 0, 0) and got[22] == ("", 1, 0) and got[23] == ("alone\n", 2, 0)
-    # Copies of one page are one page.
+    # A line of 7 of the host's 16 pages is below one half; of one distinct page of ten, too.
     assert got[12] == ("copy\nq", 2, 0)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, percent=40).collect()}[12] == ""
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, percent=40, distinct=True).collect()}[12] == "copy\nq"
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_long_pages_of_boilerplate(spark):
+    text = "\n".join(f"line {i}" for i in range(5000))
+    df = spark.createDataFrame([(i, f"{text}\nown {i}", "h") for i in range(4)], "doc_id long, text string, source string")
+    assert {(r["text"], r["n_dropped"]) for r in line_dedup.dedup(df).collect()} == {(f"own {i}", 5000) for i in range(4)}
+
+
 # --- 4 tokens ------------------------------------------------------------------------------
 
 
@@ -351,7 +363,7 @@ def plain_removed(rows, window):
 
 def test_passages(docs, none, monkeypatch):
     monkeypatch.setattr(substrings, "PER_SHARD", 3)
-    got = [(r["doc_id"], r["n_words"], r["n_removed"], " ".join(words(r["text"]))) for r in substrings.dedup(docs).collect()]
+    got = [(r["doc_id"], r["n_words_"], r["n_removed"], " ".join(words(r["text"]))) for r in substrings.dedup(docs).collect()]
     key = lambda x: tuple(-1 if v is None else v for v in x)
     assert sorted(got, key=key) == sorted(plain_removed(corpus(), 13), key=key)
     left = substrings.dedup(docs).where("doc_id = 4").first()
@@ -414,30 +426,49 @@ def plain_counts(text):
     w, t = words(text), text or ""
     lines = [x for x in t.split("\n") if words(x)]
     windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
-    again = set()
+    often, again = Counter(windows), set()
     for i, x in enumerate(windows):
-        if windows.count(x) > 1:
+        if often[x] > 1:
             again.update(range(i, i + 8))
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again)
 
 
+def plain_scores(rows, trusted, n=quality.BUCKETS):
+    """The mean log ratio of each row's n-grams, by plain counting."""
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words(text)]
+        two = [xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<Q", a), 42)) for a, b in itertools.pairwise(h)]
+        return [(x - (1 << 64) if x >> 63 else x) % n for x in h + two]
+
+    raw, good = [1] * n, [1] * n
+    for d, t, *_ in rows:
+        for g in grams(t):
+            raw[g] += 1
+            good[g] += d in trusted
+    ratio = [math.log(g / sum(good)) - math.log(r / sum(raw)) for g, r in zip(good, raw)]
+    return [sum(ratio[g] for g in grams(t)) / len(grams(t)) if words(t) else None for _, t, *_ in rows]
+
+
 def test_quality(spark):
     extra = [(200, "a#b\n a\n\na#b\n$ <é>", "", "", 0), (201, " ".join((prose(10, 3) + " ") * 2 for _ in range(3)) + "tail", "", "", 0), (202, prose(9, 1) + " " + prose(30, 9) + " " + prose(9, 1), "", "", 0)]
-    rows = [r for r in corpus() if len(words(r[1])) < 1000] + extra
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("mine"))
+    rows = corpus() + extra
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("mine")).withColumn("verdict", F.lit(1))
     labels = spark.createDataFrame([(4, 1, 0), (7, 1, None), (8, 0, 0), (None, 1, 0), (12, 1, 1)], "doc_id long, quality int, toxic int")
     assert sorted(r[0] for r in quality.trusted_ids(labels).collect()) == [4, 7]
     got = quality.judge(df, labels).collect()
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
-    for d, t, *_ in rows:
+    scores = plain_scores(rows, {4, 7})
+    assert {(r["kept"], r["verdict"]) for r in got} == {("mine", 1)}
+    for i, (d, t, *_) in enumerate(rows):
         r, (n, *rest) = by[d], plain_counts(t)
+        assert r["llr"] is None if scores[i] is None else math.isclose(r["llr"], scores[i], rel_tol=1e-9, abs_tol=1e-12)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, *rest)
         assert r["base_failed"] == (n < 20 or 100 * rest[-1] > 30 * n)
-        assert r["kept"] == (not r["base_failed"] and r["llr"] >= quality.THRESHOLD)
-    assert by[0]["llr"] is None and not by[0]["kept"]
+        assert r["kept_"] == (not r["base_failed"] and scores[i] >= quality.THRESHOLD)
+    assert by[0]["llr"] is None and not by[0]["kept_"]
     # A verdict used as a filter is the same verdict.
-    assert quality.judge(df, labels).where("kept").count() == sum(r["kept"] for r in got)
+    assert quality.judge(df, labels).where("kept_").count() == sum(r["kept_"] for r in got)
     assert quality.judge(df.limit(0), labels).count() == 0
 
 
@@ -451,6 +482,19 @@ def test_quality_ratios_are_those_of_the_counts(spark):
     assert sum(math.isclose(x, absent) for x in ratios) >= 64 - 7
 
 
+def test_threshold_is_drawn_from_held_out_labels(spark):
+    assert quality.drawn([(5, True, 10), (9, True, 90), (-3, False, 20)]) == (-2 + 5) / 2 / 1000
+    # Rejecting a tenth of the good would cost twice a tenth, keeping a tenth of the bad costs less.
+    assert quality.drawn([(5, True, 10), (9, True, 90), (6, False, 1), (-3, False, 9)]) == (-2 + 5) / 2 / 1000
+    assert quality.drawn([(5, True, 10)]) is None and quality.drawn([]) is None
+    clean = [(i, prose(40, i)) for i in range(200)]
+    junk = [(1000 + i, " ".join(f"{w}%%%" for w in prose(40, i).split())) for i in range(60)]
+    df = spark.createDataFrame(clean + junk, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(1000 + i, 0, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.judge(df, labels).where("kept").collect()}
+    assert kept == set(range(200))
+
+
 # --- 10 sets -------------------------------------------------------------------------------
 
 
