@@ -1,4 +1,4 @@
-"""Bitmaps of hashed keys: who is in a table, in a fixed number of bits, with no false negative."""
+"""Who is in a table of keys: by a bitmap of hashed keys, bounded in size and with no false negative, or by a shuffle where the keys are too many for it."""
 
 from __future__ import annotations
 
@@ -9,14 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, unused
 
 #: Bits for each key, and the bounds of their number as powers of two (2 ** 27 bits are 16 MiB).
 PER_KEY, LEAST, MOST = 16, 16, 27
+#: With fewer bits for each key than this a bitmap lets too many strangers pass to be of use.
+SPARSE = 4
 PAGES = 256
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
+def fits(count: int) -> bool:
+    """Whether a bitmap of so many keys tells them from strangers."""
+    return count * SPARSE <= 1 << MOST
+
+
 def _bits(h: np.ndarray, power: int) -> np.ndarray:
     return mix64(h.view(np.uint64) ^ _SALT) >> np.uint64(64 - power)
 
@@ -52,7 +59,13 @@ def contains(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def parted(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """df in two parts by a long column: rows whose key may be in the one column of ids (a written table), and rows whose key isn't or is null."""
-    bits = df.sparkSession.sparkContext.broadcast(bitmap(ids, ids.count()))
+    count = ids.count()
+    if not fits(count):
+        (name,) = unused(df.columns, "_id")
+        own = ids.toDF(name).distinct()
+        same = F.col(key).cast("long") == F.col(name)
+        return df.join(own, same, "left_semi"), df.join(own, same, "left_anti")
+    bits = df.sparkSession.sparkContext.broadcast(bitmap(ids, count))
 
     @F.pandas_udf("boolean")
     def may(values):
@@ -60,5 +73,6 @@ def parted(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFram
 
         return pd.Series(contains(bits.value, values.to_numpy().astype(np.int64)))
 
-    marked = df.withColumn("_hit", may(F.coalesce(F.col(key).cast("long"), F.lit(0))) & F.col(key).isNotNull())
-    return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")
+    (hit,) = unused(df.columns, "_hit")
+    marked = df.withColumn(hit, may(F.coalesce(F.col(key).cast("long"), F.lit(0))) & F.col(key).isNotNull())
+    return marked.where(F.col(hit)).drop(hit), marked.where(~F.col(hit)).drop(hit)
