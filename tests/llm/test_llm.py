@@ -484,7 +484,7 @@ def test_quality_ratios_are_those_of_the_counts(spark):
 
 def test_threshold_is_drawn_from_held_out_labels(spark):
     assert quality.drawn([(5, True, 10), (9, True, 90), (-3, False, 20)]) == (-2 + 5) / 2 / 1000
-    # Rejecting a tenth of the good would cost twice a tenth, keeping a tenth of the bad costs less.
+    # Rejecting a tenth of the good would cost four times a tenth, keeping a tenth of the bad costs less.
     assert quality.drawn([(5, True, 10), (9, True, 90), (6, False, 1), (-3, False, 9)]) == (-2 + 5) / 2 / 1000
     assert quality.drawn([(5, True, 10)]) is None and quality.drawn([]) is None
     clean = [(i, prose(40, i)) for i in range(200)]
