@@ -1,22 +1,36 @@
 """Change events: coalescing, the plan of a flush, and a stream that applies flushes to the index.
 
-Batch coalescing keeps, for each key, what came after its last removal: the
-first structural action decides, a modification is a flag. The tracker is the
-full rule set with paths, renames and moves; it needs the order of events and so
-runs for one folder at a time.
+coalesced() keeps, for each key, what came after its last removal: the first
+structural action decides, a modification is a flag.
+
+tracked() has the full rules, with renames and moves. A lane is a path between
+two times that it is moved away; a lane's events are folded in order into a
+state (first action, old path, modified, content hash), and a lane that is
+moved hands its state on to the lane it is moved to. Lanes without a move into
+them are final after one fold, and each further round settles those one move
+behind, so there are as many rounds as the longest chain of moves in the batch.
+No folder is one group: the order of a folder's events is only needed for the
+event before each, and lanes are folded on their own.
+
+Rules: an addition stays one through renames; renames chain to the first old
+path; a removal clears what came before it; a removal right after an addition
+of the same name is a move from the added path to the removed one; content
+counts as modified if its hash is known and differs; any event on a private
+database is its removal. A modification alone moves on with its file.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.filters import private_database
+
 ADD, REMOVE, MODIFIED, OLD_NAME, NEW_NAME = "add", "remove", "modified", "old_name", "new_name"
+_STATE = "struct<first:string,old:string,modified:boolean,content:string>"
 
 
 def coalesced(changes: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
@@ -35,83 +49,91 @@ def planned(rows: DataFrame) -> DataFrame:
     return rows.withColumn("plan", plan)
 
 
-@dataclass
-class Entry:
-    actions: list[tuple[str, str]] = field(default_factory=list)
-    modified: bool = False
-
-
-class Tracker:
-    """Events of one folder in order, to what a flush has to do. Content hashes tell real modifications from touched files."""
-
-    def __init__(self) -> None:
-        self.entries: dict[str, Entry] = {}
-        self.hashes: dict[str, str] = {}
-        self.last: tuple[str, str] = ("", "")
-
-    def moved(self, new: str, old: str) -> None:
-        entry, before = self.entries.setdefault(new, Entry()), self.entries.get(old)
-        if old in self.hashes:
-            self.hashes[new] = self.hashes.pop(old)
-        if before is None or not before.actions:
-            entry.actions.append(("rename", old))
-            return
-        (kind, origin), rest = before.actions[0], before.actions[1:]
-        if kind == "add":
-            entry.actions += [("add", ""), *rest]
-        elif kind == "rename":
-            entry.actions += [("rename", origin), *rest]
+def _steps(events: DataFrame, folder: str, order: str) -> DataFrame:
+    """folder, order, path, what, content, source: what happens to which path. A move is an out at its source and an in, two rows."""
+    by = Window.partitionBy(folder).orderBy(order)
+    name = lambda path: F.element_at(F.split(path, "/"), -1)
+    path, event = F.col("path"), F.when(private_database(F.col("path")), REMOVE).otherwise(F.col("event"))
+    seen = events.select(folder, order, path, event.alias("event"), "content", private_database(path).alias("private"))
+    seen = seen.withColumn("before", F.lag("path").over(by)).withColumn("event_before", F.lag("event").over(by))
+    moved = (F.col("event") == NEW_NAME) | ((F.col("event") == REMOVE) & ~F.col("private") & (F.col("event_before") == ADD) & (name(F.col("before")) == name(path)))
+    seen = seen.withColumn("source", F.when(moved & (F.col("before") != path), F.col("before"))).where((F.col("event") != OLD_NAME) & ((F.col("event") != NEW_NAME) | F.col("source").isNotNull()))
+    step = lambda path, what, content, source: F.struct(path.alias("path"), F.lit(what).alias("what") if isinstance(what, str) else what.alias("what"), content.alias("content"), source.alias("source"))
+    nothing = F.lit(None).cast("string")
+    both = F.array(step(F.col("source"), "out", nothing, nothing), step(path, "in", nothing, F.col("source")))
+    one = F.array(step(path, F.col("event"), F.col("content"), nothing))
+    return seen.select(folder, order, F.explode(F.when(F.col("source").isNotNull(), both).otherwise(one)).alias("s")).select(folder, order, "s.*")
+
+
+def _fold(steps: Column) -> Column:
+    """The state after a lane's steps, an array in order of structs (order, what, content, source, carried)."""
+
+    def after(state: Column, s: Column) -> Column:
+        carried, what = s["carried"], s["what"]
+        # What a move brings: an addition stays one, a rename keeps its first old path, anything else is renamed from its source.
+        brought = F.when(carried["first"].isin(ADD, "rename"), carried["first"]).otherwise("rename")
+        came_from = F.when(carried["first"] == ADD, F.lit(None)).when(carried["first"] == "rename", carried["old"]).otherwise(s["source"])
+        action = F.when(what == ADD, F.lit(ADD)).when(what == "in", brought)
+        differs = F.coalesce(state["content"] != s["content"], F.lit(False))
+        first = F.when(what == REMOVE, REMOVE).otherwise(F.coalesce(state["first"], action))
+        old = F.when(what == REMOVE, F.lit(None)).when((what == "in") & state["first"].isNull(), came_from).otherwise(state["old"])
+        modified = F.when(what == REMOVE, False).when(what == MODIFIED, differs).when(what == "in", state["modified"] | F.coalesce(carried["modified"], F.lit(False))).otherwise(state["modified"])
+        content = F.when(what == MODIFIED, F.coalesce(s["content"], state["content"])).when(what == "in", F.coalesce(carried["content"], state["content"])).otherwise(state["content"])
+        return F.struct(first.alias("first"), old.cast("string").alias("old"), modified.alias("modified"), content.alias("content")).cast(_STATE)
+
+    start = F.struct(F.lit(None).alias("first"), F.lit(None).alias("old"), F.lit(False).alias("modified"), F.first("known").alias("content")).cast(_STATE)
+    return F.aggregate(F.sort_array(steps), start, after)
+
+
+def lanes(events: DataFrame, folder: str = "folder", order: str = "seq", known: DataFrame | None = None) -> DataFrame:
+    """(folder, path, lane, moved, state) of a batch. known: path, content of files seen before, whose hashes a batch may keep for the next."""
+    steps = _steps(events, folder, order)
+    out = (F.col("what") == "out").cast("int")
+    lane = F.coalesce(F.sum(out).over(Window.partitionBy(folder, "path").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    steps = steps.withColumn("lane", lane)
+    sources = steps.where("what = 'out'").select(folder, order, F.col("path").alias("source"), F.col("lane").alias("from"))
+    steps = steps.join(sources, [folder, order, "source"], "left")
+    before = known.select("path", F.col("content").alias("known")) if known is not None else steps.sparkSession.createDataFrame([], "path string, known string")
+    steps = steps.join(before, "path", "left").withColumn("known", F.when(F.col("lane") == 0, F.col("known"))).cache()
+    own = [folder, "path", "lane"]
+    rounds, found = 0, None
+    while True:
+        if found is None:
+            met = steps.withColumn("carried", F.lit(None).cast(_STATE))
         else:
-            entry.actions += [("rename", old), *before.actions]
-        entry.modified |= before.modified
-        del self.entries[old]
-
-    def record(self, event: str, path: str, content: str | None = None) -> None:
-        name = path.rsplit("/", 1)[-1]
-        if event == ADD:
-            self.entries.setdefault(path, Entry()).actions.append(("add", ""))
-        elif event == REMOVE:
-            kind, before = self.last
-            if kind == ADD and before.rsplit("/", 1)[-1] == name:
-                # A removal right after an addition of the same name: what the addition began goes on at the removed path.
-                self.moved(path, before)
-            else:
-                self.entries[path] = Entry([("remove", "")])
-        elif event == MODIFIED:
-            known = self.hashes.get(path)
-            self.entries.setdefault(path, Entry()).modified = known is not None and content is not None and known != content
-            if content is not None:
-                self.hashes[path] = content
-        elif event == NEW_NAME:
-            self.moved(path, self.last[1])
-        self.last = (event, path)
-
-    def plan(self) -> Iterator[tuple[str, str, str]]:
-        """(operation, path, old path)."""
-        for path, e in self.entries.items():
-            kind, old = e.actions[0] if e.actions else ("", "")
-            if kind in ("remove", "") and (kind or e.modified):
-                yield "delete", path, ""
-            if kind == "add" or (e.modified and kind in ("", "rename")):
-                yield "add", path, ""
-            if kind == "rename":
-                yield ("delete", old, "") if e.modified else ("rename", path, old)
-
-
-def tracked(events: DataFrame, folder: str = "folder", order: str = "seq") -> DataFrame:
+            brought = found.select(folder, F.col("path").alias("source"), F.col("lane").alias("from"), F.col("state").alias("carried"))
+            met = steps.join(brought, [folder, "source", "from"], "left")
+        folded = met.groupBy(*own).agg(
+            _fold(F.collect_list(F.struct(order, "what", "content", "source", "carried"))).alias("state"), F.bool_or(F.col("what") == "out").alias("moved")
+        ).cache()
+        changed = found is None or folded.alias("a").join(found.alias("b"), own).where(~F.col("a.state").eqNullSafe(F.col("b.state"))).limit(1).count()
+        if found is not None:
+            found.unpersist()
+        found, rounds = folded, rounds + 1
+        if not changed:
+            return found
+
+
+def tracked(events: DataFrame, folder: str = "folder", order: str = "seq", known: DataFrame | None = None) -> DataFrame:
     """(folder, operation, path, old) of a batch of events: folder, seq, event, path, content."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t = Tracker()
-        for event, path, content in rows.sort_values(order)[["event", "path", "content"]].itertuples(index=False):
-            t.record(event, path, content)
-        return pd.DataFrame([(rows[folder].iloc[0], *p) for p in t.plan()], columns=["folder", "operation", "path", "old"])
-
-    return events.groupBy(folder).applyInPandas(run, "folder string, operation string, path string, old string")
+    end = lanes(events, folder, order, known).where("not moved").select(folder, "path", "state.*")
+    first, modified, row = F.col("first"), F.col("modified"), lambda operation, path, old=None: F.struct(F.lit(operation).alias("operation"), path.alias("path"), (F.lit("") if old is None else old).alias("old"))
+    path, old = F.col("path"), F.col("old")
+    todo = (
+        F.when(first.isNull() & modified, F.array(row("delete", path), row("add", path)))
+        .when(first == REMOVE, F.array(row("delete", path)))
+        .when(first == ADD, F.array(row("add", path)))
+        .when((first == "rename") & modified, F.array(row("delete", old), row("add", path)))
+        .when(first == "rename", F.array(row("rename", path, old)))
+    )
+    return end.select(folder, F.explode(todo).alias("todo")).select(folder, "todo.*")
 
 
 def watch(events: DataFrame, flush: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None) -> StreamingQuery:
-    """Plans each micro-batch and hands it to flush. Without seconds it takes what there is and ends."""
+    """Plans each micro-batch and hands it to flush. Without seconds it takes what there is and ends.
+
+    Batches follow one another, so one flush runs at a time. The bound of events
+    for a flush is the source's own (maxFilesPerTrigger and the like)."""
     writer = events.writeStream.foreachBatch(lambda batch, n: flush(planned(coalesced(batch)), n)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
 
