@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,10 @@ from sondage.functions import lists
 
 HALF_LIFE_DAYS, LEAST_VOTES, GAIN = 7.0, 10, 7.0
 FACTORS, BLENDS = [0.7, 0.9, 1.0, 1.1, 1.3], [-0.15, 0.0, 0.15]
-SIGNALS = ["w_path_fts", "w_path_prefix", "w_semantic_text", "w_semantic_image", "w_content_fts"]
+#: In the order of the grid: of equal objectives the first candidate wins.
+SIGNALS = ["w_path_fts", "w_path_prefix", "w_content_fts", "w_semantic_text", "w_semantic_image"]
+#: Candidates that one group of a query ranks.
+CHUNK = 625
 NDCG, MRR, RECALL, DOWN = 0.45, 0.30, 0.20, 1.25
 
 
@@ -68,29 +73,69 @@ def candidates(spark: SparkSession, current: dict[str, float], factors: list[flo
     return spark.createDataFrame(rows, "candidate int, " + ", ".join(f"{s} double" for s in SIGNALS) + ", blend double")
 
 
+def current_candidate(factors: list[float] = FACTORS, blends: list[float] = BLENDS) -> int:
+    """The candidate that changes nothing."""
+    at = 0
+    for _ in SIGNALS:
+        at = at * len(factors) + factors.index(1.0)
+    return at * len(blends) + blends.index(0.0)
+
+
+def _scores(values: np.ndarray, reranker: np.ndarray, code: np.ndarray, weights: np.ndarray, blend: np.ndarray) -> np.ndarray:
+    """Score of each path (row) by each candidate (column)."""
+    total = values[:, :1] * weights[0]
+    for i in range(1, len(weights)):
+        total = total + values[:, i : i + 1] * weights[i]
+    known = ~np.isnan(reranker)
+    if known.any():
+        share = total / np.maximum(total.max(axis=0), 1e-9)
+        total = np.where(blend > 0, (1 - blend) * share + blend * np.where(known, reranker, 0.0)[:, None], total)
+    return np.round(total * code[:, None], 9)
+
+
 def ranked_by(signals: DataFrame, grid: DataFrame, k: int = 10) -> DataFrame:
-    """candidate, query, path, rank of the first k. signals: query, path and a column for each signal; the grid is broadcast (its size is fixed)."""
-    total = sum((F.col(f"s.{s}") * F.col(f"g.{s}") for s in SIGNALS[1:]), F.col(f"s.{SIGNALS[0]}") * F.col(f"g.{SIGNALS[0]}"))
-    scored = signals.alias("s").crossJoin(F.broadcast(grid).alias("g")).select("g.candidate", "s.query", "s.path", F.round(total, 9).alias("score"))
-    w = Window.partitionBy("candidate", "query").orderBy(F.desc("score"), "path")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """candidate, query, path, rank of the first k.
+
+    signals: query, path, a column for each signal, reranker (between 0 and 1,
+    null where there is none) and code (what a path's score is multiplied by).
+    Channels bound the paths of a query and the grid has a fixed size, so a query
+    and a chunk of the grid are a group, ranked as one matrix."""
+    rows = grid.orderBy("candidate").collect()
+    ids = np.array([r["candidate"] for r in rows], np.int32)
+    weights, blend = np.array([[r[s] for r in rows] for s in SIGNALS]), np.array([r["blend"] for r in rows])
+    chunks = -(-len(rows) // CHUNK)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("path")
+        at = int(t.column("chunk")[0].as_py())
+        own = slice(at * CHUNK, (at + 1) * CHUNK)
+        column = lambda name: t.column(name).to_numpy().astype(np.float64)
+        score = _scores(np.stack([column(s) for s in SIGNALS], axis=1), column("reranker"), column("code"), weights[:, own], blend[own])
+        best = np.argsort(-score, axis=0, kind="stable")[:k]
+        paths = t.column("path").combine_chunks().take(pa.array(best.T.ravel()))
+        found = len(ids[own]) * len(best)
+        query = pa.array([t.column("query")[0].as_py()] * found, pa.string())
+        return pa.table([pa.array(np.repeat(ids[own], len(best))), query, paths, pa.array(np.tile(np.arange(1, len(best) + 1, dtype=np.int32), len(ids[own])))], ["candidate", "query", "path", "rank"])
+
+    dealt = signals.select("query", "path", *SIGNALS, "reranker", "code", F.explode(F.sequence(F.lit(0), F.lit(max(0, chunks - 1)))).alias("chunk"))
+    return dealt.groupBy("query", "chunk").applyInArrow(run, "candidate int, query string, path string, rank int")
 
 
 def objective(ranked: DataFrame, votes: DataFrame, k: int = 10) -> DataFrame:
-    """candidate, objective: votes' weighted NDCG, MRR and recall less the downvotes near the top. votes are few rows: broadcast."""
+    """candidate, objective: votes' weighted NDCG, MRR and recall less the downvotes near the top."""
     v = votes.select("query", "path", "feedback", "weight")
     up = v.where("feedback > 0")
     best = up.withColumn("_i", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("weight"), "path"))).groupBy("query").agg(
         F.sum(F.when(F.col("_i") <= k, F.col("weight") / F.log2(F.col("_i") + 1)).otherwise(0.0)).alias("_ideal"), F.max("weight").alias("_top"), F.sum("weight").alias("_up")
     )
     weights = v.groupBy("query").agg(F.sum("weight").alias("_w")).join(best, "query", "left")
-    met = ranked.join(F.broadcast(v), ["query", "path"], "left")
+    met = ranked.join(v, ["query", "path"], "left")
     by = met.groupBy("candidate", "query").agg(
         F.sum(F.when(F.col("feedback") > 0, F.col("weight") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("_dcg"),
         F.max(F.when(F.col("feedback") > 0, F.col("weight") / F.col("rank"))).alias("_rr"),
         F.sum(F.when((F.col("feedback") > 0) & (F.col("rank") <= 8), F.col("weight")).otherwise(0.0)).alias("_found"),
         F.sum(F.when(F.col("feedback") < 0, F.col("weight") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("_down"),
-    ).join(F.broadcast(weights), "query")
+    ).join(weights, "query")
     part = lambda c: F.coalesce(c, F.lit(0.0))
     value = NDCG * part(F.col("_dcg") / F.col("_ideal")) + MRR * part(F.col("_rr") / F.col("_top")) + RECALL * part(F.col("_found") / F.col("_up")) - DOWN * F.col("_down") / F.col("_w")
     return by.groupBy("candidate").agg(F.round(F.sum(value * F.col("_w")) / F.sum("_w"), 9).alias("objective"))
@@ -100,6 +145,14 @@ def best_candidate(objectives: DataFrame) -> DataFrame:
     return objectives.orderBy(F.desc("objective"), "candidate").limit(1)
 
 
+def published(config: DataFrame, grid: DataFrame, best: DataFrame, current: int) -> DataFrame:
+    """key, value of the configuration with the best candidate's weights; it stays as it is if that is the current one."""
+    keys = [*SIGNALS, "w_reranker_blend"]
+    won = grid.join(best.where(F.col("candidate") != current).select("candidate"), "candidate").withColumnRenamed("blend", "w_reranker_blend")
+    new = won.select(F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).alias("new")) for c in keys))).alias("x")).select("x.*")
+    return config.join(new, "key", "full").select("key", F.coalesce("new", "value").alias("value"))
+
+
 def loaded(stored: DataFrame, defaults: DataFrame) -> DataFrame:
     """Stored weights over the defaults; a stored value that makes no sense is left out, the blend is held between 0 and 1."""
     v = F.col("_v")

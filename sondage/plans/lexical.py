@@ -163,9 +163,9 @@ def _merged(spark, d):
     return ranking.merge([(channels.path_any(p, PART_TEXT), 1.0), (channels.path_prefix(p, PART_TEXT), 0.5)])
 
 
-@query("r1_rrf_score", "SELECT i, w / (60.0 + i + 1) AS rrf FROM (SELECT CAST(o_orderkey % 50 AS BIGINT) AS i, CAST(o_orderkey % 7 AS DOUBLE) AS w FROM orders WHERE o_orderkey % 10 = 0)")
+@query("r1_rrf_score", "SELECT i, w / (60.0 + i + 1) AS rrf FROM (SELECT CAST(o_orderkey % 50 AS BIGINT) AS i, CAST(o_orderkey % 7 AS DOUBLE) AS w FROM orders)")
 def r1(spark, d):
-    o = V.table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    o = V.table(spark, d, "orders")
     i, w = F.col("o_orderkey") % 50, (F.col("o_orderkey") % 7).cast("double")
     return o.select(i.alias("i"), (w / (60.0 + i + 1)).alias("rrf"))
 

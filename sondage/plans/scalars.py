@@ -153,15 +153,15 @@ def p18(spark, d):
     return sums.select("p_name", "i", F.round(F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("p_name"))), 6).alias("x"))
 
 
-@query("p19_static_embedding", f"SELECT p_name, i, round(s / sqrt(sum(s * s) OVER (PARTITION BY p_name)), 6) AS x FROM (SELECT p_name, i, sum(v[i]) AS s FROM (SELECT p_name, unnest({_WORDS.format('p_name')}) AS w FROM (SELECT DISTINCT p_name FROM part)) JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) ON vec_id = {_H.format('w')} % 500, unnest(range(1, 17)) t(i) GROUP BY p_name, i)")
+@query("p19_static_embedding", f"SELECT p_name, i, round(s / sqrt(sum(s * s) OVER (PARTITION BY p_name)), 6) AS x FROM (SELECT p_name, i, sum(v[i]) AS s FROM (SELECT p_name, unnest({_WORDS.format('p_name')}) AS w FROM (SELECT DISTINCT p_name FROM part)) JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) ON vec_id = {_H.format('w')} % (SELECT max(vec_id) + 1 FROM embeddings), unnest(range(1, len(v) + 1)) t(i) GROUP BY p_name, i)")
 def p19(spark, d):
     """Rows of a table of token vectors, added up and brought to length 1."""
     from pyspark.sql import Window
 
-    h = F.conv(F.substr(F.md5("w"), F.lit(1), F.lit(7)), 16, 10).cast("long") % 500
-    w = V.table(spark, d, "part").select("p_name").distinct().select("p_name", F.explode(T.words(F.col("p_name"))).alias("w")).withColumn("vec_id", h)
-    e = V.table(spark, d, "embeddings").where("vec_id < 500").select("vec_id", F.posexplode(F.slice(X.doubles(F.col("embedding")), 1, 16)).alias("i", "v"))
-    s = w.join(e, "vec_id").groupBy("p_name", "i").agg(F.sum("v").alias("s"))
+    h = F.conv(F.substr(F.md5("w"), F.lit(1), F.lit(7)), 16, 10).cast("long")
+    vectors = V.table(spark, d, "embeddings").select("vec_id", X.doubles(F.col("embedding")).alias("x"))
+    w = V.table(spark, d, "part").select("p_name").distinct().select("p_name", F.explode(T.words(F.col("p_name"))).alias("w")).crossJoin(vectors.agg((F.max("vec_id") + 1).alias("ids"))).withColumn("vec_id", h % F.col("ids"))
+    s = w.join(vectors, "vec_id").select("p_name", F.posexplode("x").alias("i", "v")).groupBy("p_name", "i").agg(F.sum("v").alias("s"))
     return s.select("p_name", (F.col("i") + 1).cast("long").alias("i"), F.round(F.col("s") / F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("p_name"))), 6).alias("x"))
 
 

@@ -17,7 +17,7 @@ from .registry import query
 # --- aggregates ----------------------------------------------------------------------------
 
 _SCORED = "SELECT 'q' || (doc_id % 40) AS query, path, doc_id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY size DESC, path) AS rank FROM files_v"
-_QRELS = "SELECT 'q' || (f.doc_id % 40) AS query, path, 3.0 * quality AS gain FROM labels l JOIN files_v f ON f.doc_id = l.doc_id WHERE f.doc_id % 3 = 0"
+_QRELS = "SELECT 'q' || (f.doc_id % 40) AS query, path, 3.0 * quality AS gain FROM labels l JOIN files_v f ON f.doc_id = l.doc_id"
 _METRICS = """SELECT r.query, round(CASE WHEN b.n IS NULL THEN 1.0 ELSE coalesce(h.dcg / b.best, 0.0) END, 6) AS ndcg, round(CASE WHEN b.n IS NULL THEN 1.0 ELSE coalesce(h.hits / CAST(b.n AS DOUBLE), 0.0) END, 6) AS recall,
     round(CASE WHEN b.n IS NULL THEN 1.0 ELSE coalesce(1.0 / h.first, 0.0) END, 6) AS mrr
     FROM (SELECT DISTINCT query FROM ranked) r
@@ -32,7 +32,7 @@ def _ranked(spark, d):
 
 
 def _qrels(spark, d):
-    r = _ranked(spark, d).where("doc_id % 3 = 0")
+    r = _ranked(spark, d)
     return V.table(spark, d, "labels").join(r, "doc_id").select("query", "path", (F.col("quality") * 3.0).alias("gain"))
 
 
@@ -141,28 +141,36 @@ def e6(spark, d):
     return E.positive_metrics(_rank(spark, d), _votes(spark, d))
 
 
-_SIG = [f"(CAST('0x' || substr(md5(query || path || '{i}'), 1, 4) AS BIGINT) / 65536.0) AS {s}" for i, s in enumerate(E.SIGNALS)]
-_SIGNALS = f"SELECT query, path, {', '.join(_SIG)} FROM (SELECT DISTINCT query, path FROM feedback_v)"
+_HASH = "(CAST('0x' || substr(md5(query || path || '{i}'), 1, 4) AS BIGINT) / 65536.0)"
+_SIG = [f"{_HASH.format(i=i)} AS {s}" for i, s in enumerate(E.SIGNALS)]
+_MORE = f"CASE WHEN {_HASH.format(i=6)} < 0.75 THEN {_HASH.format(i=5)} END AS reranker, CASE WHEN {_HASH.format(i=7)} < 0.25 THEN 0.5 ELSE 1.0 END::DOUBLE AS code"
+_SIGNALS = f"SELECT query, path, {', '.join(_SIG)}, {_MORE} FROM (SELECT DISTINCT query, path FROM feedback_v)"
 
 
 def _signals(spark, d):
     h = lambda i: F.conv(F.substr(F.md5(F.concat("query", "path", F.lit(str(i)))), F.lit(1), F.lit(4)), 16, 10).cast("double") / 65536.0
-    return V.feedback(spark, d).select("query", "path").distinct().select("query", "path", *(h(i).alias(s) for i, s in enumerate(E.SIGNALS)))
+    more = F.when(h(6) < 0.75, h(5)).alias("reranker"), F.when(h(7) < 0.25, 0.5).otherwise(1.0).alias("code")
+    return V.feedback(spark, d).select("query", "path").distinct().select("query", "path", *(h(i).alias(s) for i, s in enumerate(E.SIGNALS)), *more)
 
 
-_FACTORS, _BLENDS = [0.7, 1.0, 1.3], [-0.15, 0.15]
 _W = lists.WEIGHTS
 
 
 def _grid_sql() -> str:
-    f = "(VALUES " + ", ".join(f"({i}, {x})" for i, x in enumerate(_FACTORS)) + ")"
-    tables = ", ".join(f"{f} g{i}(i, x)" for i in range(5)) + ", (VALUES " + ", ".join(f"({i}, {b})" for i, b in enumerate(_BLENDS)) + ") b(i, x)"
-    number = "((((g0.i * 3 + g1.i) * 3 + g2.i) * 3 + g3.i) * 3 + g4.i) * 2 + b.i"
-    return f"SELECT CAST({number} AS INTEGER) AS candidate, {', '.join(f'CAST({_W[s]} AS DOUBLE) * CAST(g{i}.x AS DOUBLE) AS {s}' for i, s in enumerate(E.SIGNALS))} FROM {tables}"
+    f = "(VALUES " + ", ".join(f"({i}, {x})" for i, x in enumerate(E.FACTORS)) + ")"
+    tables = ", ".join(f"{f} g{i}(i, x)" for i in range(5)) + ", (VALUES " + ", ".join(f"({i}, {b})" for i, b in enumerate(E.BLENDS)) + ") b(i, x)"
+    n, m = len(E.FACTORS), len(E.BLENDS)
+    number = f"((((g0.i * {n} + g1.i) * {n} + g2.i) * {n} + g3.i) * {n} + g4.i) * {m} + b.i"
+    weights = ", ".join(f"CAST({_W[s]} AS DOUBLE) * CAST(g{i}.x AS DOUBLE) AS {s}" for i, s in enumerate(E.SIGNALS))
+    return f"SELECT CAST({number} AS INTEGER) AS candidate, {weights}, least(1.0, greatest(0.0, CAST({_W['w_reranker_blend']} AS DOUBLE) + CAST(b.x AS DOUBLE))) AS blend FROM {tables}"
 
 
 _TOTAL = " + ".join(f"s.{s} * g.{s}" for s in E.SIGNALS)
-_RANKED = f"SELECT * FROM (SELECT candidate, query, path, row_number() OVER (PARTITION BY candidate, query ORDER BY score DESC, path) AS rank FROM (SELECT g.candidate, s.query, s.path, round({_TOTAL}, 9) AS score FROM s, g)) WHERE rank <= 10"
+_TOTALS = f"SELECT g.candidate, g.blend, s.query, s.path, s.reranker, s.code, {_TOTAL} AS total FROM s, g"
+_TOPS = "SELECT candidate, query, greatest(max(total), 1e-9) AS top, count(reranker) > 0 AS known FROM t GROUP BY ALL"
+_BLENDED = "code * CASE WHEN blend > 0 AND known THEN (1 - blend) * (total / top) + blend * coalesce(reranker, 0) ELSE total END"
+_RANKED = f"SELECT * FROM (SELECT candidate, query, path, row_number() OVER (PARTITION BY candidate, query ORDER BY score DESC, path) AS rank FROM (SELECT candidate, query, path, round({_BLENDED}, 9) AS score FROM t JOIN o USING (candidate, query))) WHERE rank <= 10"
+_GRID = {"s": _SIGNALS, "g": _grid_sql(), "t": _TOTALS, "o": _TOPS, "k": _RANKED}
 _OBJECTIVE = """SELECT candidate, round(sum(val * w) / sum(w), 9) AS objective FROM (SELECT x.candidate, x.query, b.w,
         0.45 * coalesce(dcg / ideal, 0) + 0.30 * coalesce(rr / top, 0) + 0.20 * coalesce(found / up, 0) - 1.25 * down / b.w AS val
     FROM (SELECT k.candidate, k.query, sum(CASE WHEN feedback > 0 THEN weight / log2(rank + 1) ELSE 0 END) AS dcg, max(CASE WHEN feedback > 0 THEN weight / rank END) AS rr,
@@ -173,22 +181,35 @@ _OBJECTIVE = """SELECT candidate, round(sum(val * w) / sum(w), 9) AS objective F
         FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY weight DESC, path) AS i FROM v WHERE feedback > 0) GROUP BY query) p ON p.query = v.query GROUP BY v.query) b ON b.query = x.query) GROUP BY candidate"""
 
 
-@query("e7_signal_ranking", V.with_views("SELECT candidate, query, path, rank FROM k WHERE candidate < 5", *_VIEWS, more={"s": _SIGNALS, "g": _grid_sql(), "k": _RANKED}))
+_FIRSTS = "SELECT candidate, query, max(CASE WHEN rank = 1 THEN path END) AS first, max(CASE WHEN rank = 10 THEN path END) AS tenth, count(*) AS n FROM k GROUP BY candidate, query"
+
+
+@query("e7_signal_ranking", V.with_views(_FIRSTS, *_VIEWS, more=_GRID))
 def e7(spark, d):
-    grid = E.candidates(spark, _W, _FACTORS, _BLENDS).where("candidate < 5")
-    return E.ranked_by(_signals(spark, d), grid).select("candidate", "query", "path", "rank")
+    ranked = E.ranked_by(_signals(spark, d), E.candidates(spark, _W))
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("path")))
+    return ranked.groupBy("candidate", "query").agg(at(1).alias("first"), at(10).alias("tenth"), F.count("*").alias("n"))
 
 
-@query("e8_objective", V.with_views(_OBJECTIVE, *_VIEWS, more={"v": _LATEST, "s": _SIGNALS, "g": f"SELECT * FROM ({_grid_sql()}) WHERE candidate < 20", "k": _RANKED}))
+@query("e8_objective", V.with_views(_OBJECTIVE, *_VIEWS, more={"v": _LATEST, **_GRID}))
 def e8(spark, d):
-    grid = E.candidates(spark, _W, _FACTORS, _BLENDS).where("candidate < 20")
-    return E.objective(E.ranked_by(_signals(spark, d), grid), _votes(spark, d))
+    return E.objective(E.ranked_by(_signals(spark, d), E.candidates(spark, _W)), _votes(spark, d))
+
+
+_BEST = f"SELECT candidate, objective FROM ({_OBJECTIVE}) ORDER BY objective DESC, candidate LIMIT 1"
 
 
-@query("e9_grid_search", V.with_views(f"SELECT candidate, objective FROM ({_OBJECTIVE}) ORDER BY objective DESC, candidate LIMIT 1", *_VIEWS, more={"v": _LATEST, "s": _SIGNALS, "g": _grid_sql(), "k": _RANKED}))
+@query("e9_grid_search", V.with_views(_BEST, *_VIEWS, more={"v": _LATEST, **_GRID}))
 def e9(spark, d):
-    grid = E.candidates(spark, _W, _FACTORS, _BLENDS)
-    return E.best_candidate(E.objective(E.ranked_by(_signals(spark, d), grid), _votes(spark, d)))
+    return E.best_candidate(e8(spark, d))
+
+
+_WON = " UNION ALL ".join(f"SELECT '{c}' AS key, {'blend' if c == 'w_reranker_blend' else c} AS new FROM g JOIN w USING (candidate) WHERE candidate <> {E.current_candidate()}" for c in (*E.SIGNALS, "w_reranker_blend"))
+
+
+@query("e10_publish", V.with_views(f"SELECT coalesce(c.key, n.key) AS key, CAST(coalesce(n.new, c.value) AS DOUBLE) AS value FROM config_v c FULL JOIN ({_WON}) n ON n.key = c.key", *_VIEWS, "config_v", more={"v": _LATEST, **_GRID, "w": _BEST}))
+def e10(spark, d):
+    return E.published(V.config(spark), E.candidates(spark, _W), E.best_candidate(e8(spark, d)), E.current_candidate())
 
 
 _STORED = [("rrf_k", -5.0), ("rerank_top_n", 20.0), ("w_reranker_blend", 1.7), ("w_recency", 0.1), ("unknown", 3.0)]
