@@ -8,19 +8,24 @@ word within the class by softmax. The FREQUENT most frequent words of the corpus
 are words of their own, others share hashed ids, so every word has an id. In
 score_corpus() a word's probability is that of its id times the word's own share
 of the id's count in the corpus. The table of these shares has a row for every
-word, grows with the corpus, and is joined to the documents' words by shuffle.
+word and grows with the corpus: the KNOWN most frequent words' part goes along
+with the network, the others' part is joined to the documents' words by shuffle.
 
 Everything gathered from the corpus covers all of it: word counts come from a
 group-by over all documents, and each task trains a copy of the network from
 the same start on every word of all its documents. The copies are averaged,
 weighted by their words, in blocks that are summed as a stream; the averaged
-network, of fixed size, scores all words.
+network, of fixed size, scores all words. So scores depend on how the rows are
+dealt to tasks, as the order of training does.
 
-A word's 64-bit hash stands for the word in the join. Shares are summed as whole
-billionths, so that the order of a sum doesn't change it.
+A word's 63-bit hash stands for the word in the join. Shares are summed there as
+whole billionths, so that the order of a sum doesn't change it.
 
 Null and empty texts have no words: n_tokens 0, log_prob 0, mean_log_prob null.
-Repeated rows get equal scores. On an empty table the network is untrained.
+Repeated rows get equal scores, rows without an id too. Of words equally
+frequent the smaller counts as more frequent. Very long texts are scored whole,
+in portions. Other columns aren't read. On an empty table the network is
+untrained and there are no scores.
 """
 
 from __future__ import annotations
@@ -39,32 +44,63 @@ from .common import materialise, words_of
 
 #: Words with ids of their own, hashed ids, words of a class, width of the hidden layer, neighbours on either side.
 FREQUENT, HASHED, CLASS, HIDDEN, SIDE = 1024, 1024, 64, 16, 2
-#: Words of a step; rate; words handled at a time.
-STEP, RATE, PORTION = 2048, 0.1, 50_000
+#: Words whose share is at hand.
+KNOWN = 65_536
+#: Words of the first steps, how many those are, words of later steps; rate; words handled at a time.
+STEP, SHORT, LONG_STEP, RATE, PORTION = 2048, 32, 8192, 0.1, 50_000
 SEED, BLOCKS = 20240101, 64
 SIZE = FREQUENT + HASHED
 CLASSES = SIZE // CLASS
 
 
+class Known(dict):
+    """Places of the KNOWN most frequent words (bytes) by frequency; n: their counts."""
+
+    def __init__(self, words: list[bytes], n: list[int]):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.n = np.array(n, np.int64)
+
+
+_HASH = 1 << 63
+
+
 class Ids(dict):
-    """Ids of words (bytes); remembered up to a bound."""
+    """Codes of words (bytes), remembered up to a bound: the place of a known word, else its hash with the topmost bit set."""
 
     LIMIT = 1_000_000
 
-    def __init__(self, frequent: dict[bytes, int]):
-        super().__init__(frequent)
-        self.frequent = frequent
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.known = known
+        #: Ids of the known words.
+        self.table = np.fromiter((i if i < FREQUENT else FREQUENT + self._hash(w) % HASHED for w, i in known.items()), np.int64, len(known))
+
+    @staticmethod
+    def _hash(word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word) | _HASH
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-            self.update(self.frequent)
-        i = self[word] = FREQUENT + xxhash.xxh3_64_intdigest(word) % HASHED
-        return i
+            self.update(self.known)
+        code = self[word] = self._hash(word)
+        return code
 
-    def of(self, text: bytes | None) -> np.ndarray:
+    def codes(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        out = (codes % np.uint64(HASHED)).astype(np.int64) + FREQUENT
+        known = codes < np.uint64(KNOWN)
+        out[known] = self.table[codes[known].astype(np.int64)]
+        return out
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        return self.ids(self.codes(text))
+
+    def id(self, word: bytes) -> int:
+        return int(self.ids(np.array([self[word]], np.uint64))[0])
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -72,39 +108,46 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     return materialise(docs.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
 
 
-def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> tuple[dict[bytes, int], np.ndarray]:
-    """Ids of the most frequent words, and the corpus count of every id. counts: counted(docs), where it is there already."""
+def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> tuple[Known, np.ndarray]:
+    """The most frequent words, and the corpus count of every id. counts: counted(docs), where it is there already."""
     counts = counted(docs, text) if counts is None else counts
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    ids = {r["word"].encode(): i for i, r in enumerate(top)}
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # KNOWN rows at most
+    known = Known([r["word"].encode() for r in top], [r["n"] for r in top])
+    given = counts.sparkSession.sparkContext.broadcast(known)
     number = np.zeros(SIZE)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Ids(ids)
+        own = Ids(given.value)
         sums = np.zeros(SIZE, np.int64)
         for b in batches:
-            np.add.at(sums, [own[w.encode()] for w in b.column(0).to_pylist()], np.asarray(b.column(1)))
+            codes = np.fromiter((own[w.encode()] for w in b.column(0).to_pylist()), np.uint64, b.num_rows)
+            np.add.at(sums, own.ids(codes), np.asarray(b.column(1)))
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums)), pa.array(sums[sums > 0])], ["id", "n"])
 
     for r in counts.mapInArrow(hashed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # SIZE rows at most
         number[r["id"]] = r["n"]
-    return ids, number
+    return known, number
+
 
+def known_shares(known: Known, number: np.ndarray) -> np.ndarray:
+    """Log of each known word's part of its id's count."""
+    return np.log(known.n / number[Ids(known).table]) if len(known) else np.zeros(0)
 
-def shares(counts: DataFrame, ids: dict[bytes, int], number: np.ndarray) -> DataFrame:
-    """word (its hash), share (log of its part of its id's count, in billionths) of every word that shares an id."""
-    given = counts.sparkSession.sparkContext.broadcast((ids, number))
+
+def shares(counts: DataFrame, known: Known, number: np.ndarray) -> DataFrame:
+    """word (its code), share (log of its part of its id's count, in billionths) of every word that isn't known."""
+    given = counts.sparkSession.sparkContext.broadcast((known, number))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, sums = given.value
         own = Ids(frequent)
         for b in batches:
-            i = np.fromiter((own[w.encode()] for w in b.column(1).to_pylist()), np.int64, b.num_rows)
-            part = np.rint(1e9 * np.log(np.asarray(b.column(2)) / sums[i])).astype(np.int64)
-            rare = pa.array(i >= FREQUENT)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(rare), pa.array(part).filter(rare)], ["word", "share"])
+            codes = np.fromiter((own[w.encode()] for w in b.column(0).to_pylist()), np.uint64, b.num_rows)
+            rare = codes >= np.uint64(_HASH)
+            part = np.rint(1e9 * np.log(np.asarray(b.column(1))[rare] / sums[own.ids(codes[rare])])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(codes[rare].view(np.int64)), pa.array(part)], ["word", "share"])
 
-    return counts.select(F.xxhash64("word"), "word", "n").mapInArrow(run, "word long, share long")
+    return counts.select("word", "n").mapInArrow(run, "word long, share long")
 
 
 @dataclass
@@ -151,31 +194,41 @@ class Network:
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target given its neighbours."""
-        h = self.hidden(context)
+        order = np.argsort(target.astype(np.int16), kind="stable")
+        target, h = target[order], self.hidden(context[order])
         kind, place = target // CLASS, target % CLASS
-        out = _log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(h)), kind].astype(np.float64)
-        for k, rows in _by(kind):
-            out[rows] += _log_softmax(h[rows] @ self.to_word[k] + self.word_bias[k])[np.arange(len(rows)), place[rows]]
-        return out
+        out = _log_prob(self.to_class.T @ h.T + self.class_bias[:, None], kind)
+        for k, a, b in _runs(kind):
+            out[a:b] += _log_prob(self.to_word[k].T @ h[a:b].T + self.word_bias[k][:, None], place[a:b])
+        found = np.empty_like(out)
+        found[order] = out
+        return found
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+# Logits have a column for each word: reductions then go over whole rows at a time, which is several times faster than along short rows.
+
+
+def _log_prob(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Log-softmax of each column at its row."""
+    x -= x.max(axis=0)
+    own = x[row, np.arange(x.shape[1])].astype(np.float64)
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=0))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """The softmax of each row, in place."""
-    x -= x.max(axis=1, keepdims=True)
+def _slope(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The softmax of each column less one at its row, in place."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= x.sum(axis=0)
+    x[row, np.arange(x.shape[1])] -= 1
     return x
 
 
-def _by(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(keys.astype(np.int16), kind="stable")  # ids and classes are below 2 ** 15; short keys sort by radix
-    at = np.flatnonzero(np.diff(keys[order], prepend=-1))
-    return [(int(keys[rows[0]]), rows) for rows in np.split(order, at[1:])] if len(keys) else []
+def _runs(kind: np.ndarray) -> list[tuple[int, int, int]]:
+    """(class, from, to) of the classes that occur in a sorted array."""
+    ends = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    return [(k, a, b) for k, (a, b) in enumerate(itertools.pairwise(ends)) if a < b]
 
 
 class Trainer:
@@ -191,28 +244,33 @@ class Trainer:
         slope /= np.sqrt(past)
         self.net.parts()[i][at] -= slope
 
+    def run(self, context: np.ndarray, target: np.ndarray, before: int) -> int:
+        """Steps over some words, short ones at first; before: steps made so far. Returns how many were made."""
+        size = STEP if before < SHORT else max(1, len(target))
+        made = range(0, len(target), size)
+        for i in made:
+            self.step(context[i : i + size], target[i : i + size])
+        return len(made)
+
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, len(target)
         order = np.argsort(target.astype(np.int16), kind="stable")
         context, target = context[order], target[order]
         h = net.hidden(context)
         kind, place = target // CLASS, target % CLASS
-        d = _softmax(h @ net.to_class + net.class_bias)
-        d[np.arange(n), kind] -= 1
-        dh = d @ net.to_class.T
-        self._move(2, h.T @ d / n)
-        self._move(3, d.sum(0) / n)
+        d = _slope(net.to_class.T @ h.T + net.class_bias[:, None], kind)
+        dh = net.to_class @ d
+        self._move(2, (d @ h).T / n)
+        self._move(3, d.sum(1) / n)
         slopes, biases = np.zeros_like(net.to_word), np.zeros_like(net.word_bias)
-        ends = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
-        for k, (a, b) in enumerate(itertools.pairwise(ends)):
-            if a < b:
-                d = _softmax(h[a:b] @ net.to_word[k] + net.word_bias[k])
-                d[np.arange(b - a), place[a:b]] -= 1
-                dh[a:b] += d @ net.to_word[k].T
-                slopes[k], biases[k] = h[a:b].T @ d, d.sum(0)
+        for k, a, b in _runs(kind):
+            d = _slope(net.to_word[k].T @ h[a:b].T + net.word_bias[k][:, None], place[a:b])
+            dh[:, a:b] += net.to_word[k] @ d
+            slopes[k], biases[k] = (d @ h[a:b]).T, d.sum(1)
         self._move(4, slopes / n)
         self._move(5, biases / n)
-        dh *= 1 - h * h
+        dh = dh.T
+        dh = dh * (1 - h * h)
         self._move(1, dh.sum(0) / n)
         dh /= n
         for o in range(2 * SIDE):
@@ -229,30 +287,29 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([wide[at + SIDE + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def train(docs: DataFrame, ids: dict[bytes, int], counts: np.ndarray, text: str = "text") -> Network:
+def train(docs: DataFrame, known: Known, counts: np.ndarray, text: str = "text") -> Network:
     """The averaged network of the copies that the tasks train on their documents."""
     start = Network.start(counts)
-    given = docs.sparkSession.sparkContext.broadcast((ids, start))
+    given = docs.sparkSession.sparkContext.broadcast((known, start))
     length = -(-len(start.flat()) // BLOCKS)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, first = given.value
         own, net = Ids(frequent), first.filled(first.flat())
-        trainer, held, size, seen = Trainer(net), [], 0, 0
+        trainer, held, size, seen, steps = Trainer(net), [], 0, 0, 0
         for b in batches:
             for t in b.column(0):
                 x = own.of(t.as_buffer().to_pybytes() if t.is_valid else None)
-                held.append((contexts(x, np.arange(len(x))), x))
+                held.append(x)
                 size += len(x)
-                if size >= STEP:
-                    c, y = np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held])
-                    whole = size - size % STEP
-                    for i in range(0, whole, STEP):
-                        trainer.step(c[i : i + STEP], y[i : i + STEP])
-                    seen += whole
-                    held, size = [(c[whole:], y[whole:])], size - whole
+                if size >= LONG_STEP:
+                    c, y = np.concatenate([contexts(x, np.arange(len(x))) for x in held]), np.concatenate(held)
+                    for i in range(0, size, LONG_STEP):
+                        steps += trainer.run(c[i : i + LONG_STEP], y[i : i + LONG_STEP], steps)
+                    seen += size
+                    held, size = [], 0
         if size:
-            trainer.step(np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held]))
+            trainer.run(np.concatenate([contexts(x, np.arange(len(x))) for x in held]), np.concatenate(held), steps)
             seen += size
         if seen:
             flat = net.flat()
@@ -271,66 +328,63 @@ def train(docs: DataFrame, ids: dict[bytes, int], counts: np.ndarray, text: str
     return start.filled(np.concatenate([np.frombuffer(r["data"]) for r in sorted(found, key=lambda r: r["block"])])) if found else start
 
 
-def score(docs: DataFrame, net: Network, ids: dict[bytes, int], key: str = "doc_id", text: str = "text") -> DataFrame:
+_SCORED = "doc_id long, n_tokens long, log_prob double, mean_log_prob double, rare array<long>"
+
+
+def score(docs: DataFrame, net: Network, known: Known, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_prob, mean_log_prob of every row, log_prob being that of the words' ids."""
-    return _scored(docs, net, ids, key, text).drop("_text")
+    return _scored(docs, net, known, None, key, text).drop("rare")
 
 
-def _scored(docs: DataFrame, net: Network, ids: dict[bytes, int], key: str, text: str) -> DataFrame:
-    """score() with _text, the text's hash."""
-    given = docs.sparkSession.sparkContext.broadcast((ids, net))
+def _scored(docs: DataFrame, net: Network, known: Known, number: np.ndarray | None, key: str, text: str) -> DataFrame:
+    """score() with the codes of the words that aren't known; with number, known words have their own probabilities."""
+    own_shares = np.zeros(len(known)) if number is None else known_shares(known, number)
+    given = docs.sparkSession.sparkContext.broadcast((known, net, own_shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, model = given.value
+        frequent, model, share = given.value
         own = Ids(frequent)
 
-        def scored(docs_: list[np.ndarray]) -> np.ndarray:
-            sizes = [len(x) for x in docs_]
-            c, y = np.concatenate([contexts(x, np.arange(len(x))) for x in docs_]), np.concatenate(docs_)
-            p = np.concatenate([model.log_prob(c[i : i + PORTION], y[i : i + PORTION]) for i in range(0, max(1, len(y)), PORTION)])
-            ends = np.cumsum(sizes)
-            return np.array([p[e - n : e].sum() for n, e in zip(sizes, ends, strict=True)])
+        def scored(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of each document the sum and the number of rare words, and these words."""
+            ends, every = np.cumsum([0, *map(len, codes)]), np.concatenate(codes)
+            ids = own.ids(every)
+            c = np.concatenate([contexts(ids[a:e], np.arange(e - a)) for a, e in itertools.pairwise(ends.tolist())])
+            p = np.concatenate([model.log_prob(c[i : i + PORTION], ids[i : i + PORTION]) for i in range(0, max(1, len(ids)), PORTION)])
+            rare = every >= np.uint64(_HASH)
+            p[~rare] += share[every[~rare].astype(np.int64)]
+            sums = np.array([p[a:e].sum() for a, e in itertools.pairwise(ends.tolist())])
+            return sums, np.diff(np.concatenate([[0], np.cumsum(rare)])[ends]), every[rare].view(np.int64)
 
         for b in batches:
-            sizes, sums, held, size = [], [], [], 0
+            sizes, held, size, made = [], [], 0, [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for t in b.column(1):
-                x = own.of(t.as_buffer().to_pybytes() if t.is_valid else None)
+                x = own.codes(t.as_buffer().to_pybytes() if t.is_valid else None)
                 sizes.append(len(x))
                 held.append(x)
                 size += len(x)
                 if size >= PORTION:
-                    sums.append(scored(held))
+                    made.append(scored(held))
                     held, size = [], 0
             if held:
-                sums.append(scored(held))
-            total, n = np.concatenate(sums) if sums else np.zeros(0), np.array(sizes, np.int64)
+                made.append(scored(held))
+            total, rares, words = (np.concatenate(x) for x in zip(*made, strict=True))
+            n = np.array(sizes, np.int64)
             mean = pa.array(np.divide(total, np.maximum(n, 1)), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), mean, b.column(2)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "_text"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rares)]), pa.int32()), pa.array(words))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), mean, lists], ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "rare"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(text)).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double, _text long")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _SCORED)
 
 
 def score_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Vocabulary, training and scoring on the same documents."""
     words = counted(docs, text)
-    ids, counts = vocabulary(docs, text, words)
-    scored = _scored(docs, train(docs, ids, counts, text), ids, key, text)
-    return _within_ids(docs, scored, words, ids, counts, key, text)
-
-
-def _within_ids(docs: DataFrame, scored: DataFrame, words: DataFrame, ids: dict[bytes, int], counts: np.ndarray, key: str, text: str) -> DataFrame:
-    """scored, log_prob being that of the words.
-
-    Rows are told apart by id and text. Repeated rows are one row with a count
-    and are set out again at the end, so no row needs a number of its own.
-    """
-    spark = docs.sparkSession
-    frequent = {r[0] for r in spark.createDataFrame([(w.decode(),) for w in ids], "word string").select(F.xxhash64("word")).collect()} if ids else set()
-    hashes = F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w))
-    said = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_of"), F.explode(hashes).alias("word")).where(~F.col("word").isin(frequent) if frequent else F.lit(True))
-    sums = said.join(shares(words, ids, counts).hint("shuffle_hash"), "word").groupBy("_id", "_of").agg(F.sum("share").alias("_share"))
-    rows = scored.groupBy("doc_id", "_text").agg(F.count("*").alias("_rows"), F.first("n_tokens").alias("n_tokens"), F.first("log_prob").alias("_log_prob"))
-    met = rows.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left")
-    log_prob = F.col("_log_prob") + F.coalesce(F.col("_share") / F.col("_rows"), F.lit(0.0)) / 1e9
-    made = met.select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.explode(F.array_repeat(F.lit(0), F.col("_rows").cast("int"))))
-    return made.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
+    known, number = vocabulary(docs, text, words)
+    net = train(docs, known, number, text)
+    scored = materialise(_scored(docs, net, known, number, key, text).withColumn("row", F.monotonically_increasing_id()), "scored")
+    rare = scored.select("row", F.explode("rare").alias("word")).join(shares(words, known, number), "word")
+    sums = rare.groupBy("row").agg(F.sum("share").alias("share"))
+    met = scored.select("row", "doc_id", "n_tokens", "log_prob").join(sums, "row", "left")
+    log_prob = F.col("log_prob") + F.coalesce(F.col("share"), F.lit(0)) / F.lit(1e9)
+    return met.select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))
