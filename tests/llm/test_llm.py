@@ -3,9 +3,11 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -281,17 +283,90 @@ def test_byte_bpe_on_odd_characters():
 # --- 5 pages -------------------------------------------------------------------------------
 
 
-def test_html(spark):
+def test_markup():
+    text = lambda page: html_text.main_text(html_text.lines(page))
     page = "<html><head><title>T</title></head><body><nav>menu</nav><header>top</header><div class='cookie-notice'>we</div><article><h1>A &amp; b</h1><p>one\n  two<br>three<p>four<script>if(a</p>)</script><aside>x</aside><form>f</form></article><section id=comments><p>c</p></section><footer>&copy;</footer>"
-    assert html_text.lines(page) == (["A & b", "one two three", "four"], True)
-    assert html_text.lines("") == ([], True) and html_text.lines("<p>cut <a hre") == (["cut"], False)
+    assert text(page) == "A & b\none two three\nfour"
+    assert {line for place, line in html_text.lines(page) if place == html_text.OUT} == {"menu", "top", "we", "x", "f", "c", "©"}
+    assert text("") == "" and text("<p>cut <a hre") == "cut" and text("</b></p>x</i>") == "x"
+    # In an article, what only holds such a word stays, and what is nothing but one goes.
+    assert text("<article><p class='lead social-history'>a</p><div class='widget-body'><p>b</p></div><div class=ad>c</div><p class=notice>d</p><nav>e</nav></article>") == "a\nb\nd"
+    doubt = html_text.lines("<main><p>own</p><div class='share-box'>tell others</div></main>")
+    assert html_text.main_text(doubt) == "own\ntell others" and html_text.main_text(doubt, frozenset([0, 1])) == "own"
+
+
+def test_markup_of_hostile_pages_takes_linear_time():
+    for part in ("<a ", "<i>", "</b>", "<i></b>", "<a \"", "<!--", "<script ", "<p>x", "<a '\""):
+        took = []
+        for size in (50_000, 200_000):
+            began = time.process_time()
+            html_text.main_text(html_text.lines(part * (size // len(part))))
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.2, part
+
+
+def plain_extract(rows, reach):
+    """The query by plain means: every page against those around it, shared lines by a full table."""
+    def shared(a, b):
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(reversed(range(len(a))), reversed(range(len(b)))):
+            size[i][j] = size[i + 1][j + 1] + 1 if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
+        i = j = 0
+        out = set()
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.add(i)
+                i, j = i + 1, j + 1
+            elif size[i + 1][j] >= size[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    def place(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        return host, "/" + path
+
+    parsed = sorted((*place(url), page_id, html_text.lines(html)) for page_id, url, html in rows)
+    out = {}
+    for i, (host, path, page_id, own) in enumerate(parsed):
+        texts = [x for _, x in own]
+        near = [(len(os.path.commonprefix([path, p])), -abs(j - i), j) for j, (h, p, _, _) in enumerate(parsed) if h == host and j != i and abs(j - i) <= reach]
+        longest = next(x for x in texts if len(x) == max(map(len, texts)))
+        other = next((parsed[j][3] for *_, j in sorted(near, reverse=True) if longest not in [x for _, x in parsed[j][3]]), [])
+        out[page_id] = html_text.main_text(own, frozenset(shared(texts, [x for _, x in other])))
+    return out
+
+
+def test_html(spark, monkeypatch):
+    r = random.Random(5)
+    furniture = ["Home", "About us", "All rights reserved", "Read our notice"]
+    rows = []
+    for i in range(120):
+        host = f"h{i % 3}.example"
+        body = [prose(12, 1000 + i), "A saying that articles quote", prose(8, 2000 + i)]
+        parts = [f"<p>{x}</p>" for x in [*furniture[:2], *body, *furniture[2:]]]
+        if i % 3 == 1:
+            parts = ["<nav><a>Home</a></nav>", "<article>", *(f"<p>{x}</p>" for x in body), "<div class='share-box'>Tell your friends</div>", "</article>", f"<div class=ad>{prose(3, i)}</div>"]
+        if i % 10 == 9 and i >= 39:  # near copies of the page before on the host
+            parts = [*parts[:2], *re.findall("<p>.*?</p>", rows[i - 3][2])[2:4], f"<p>{prose(6, 3000 + i)}</p>", *parts[-2:]] if i % 3 != 1 else parts
+        rows.append((i, f"http://{host}/{r.choice('abc')}/{i:03d}", "".join(parts)))
+    monkeypatch.setattr(html_text, "CHUNK", 16)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("mark", F.lit("mine")).withColumn("text", F.lit(1)).repartition(3)
+    got = {x["page_id"]: x["text"] for x in html_text.extract(df).collect()}
+    assert got == plain_extract(rows, html_text.REACH)
+    assert got[0] == f"{prose(12, 1000)}\n{prose(8, 2000)}" and got[1] == f"{prose(12, 1001)}\nA saying that articles quote\n{prose(8, 2001)}"
+
+
+def test_html_of_odd_rows(spark):
     open_ = lambda body: f"<body><p>Site menu</p><p>{body}</p><p>All rights</p></body>"
-    rows = [(1, "http://a.b/x/1", open_("first")), (2, "http://a.b/x/2", open_("second")), (3, "http://c.d/1", open_("third")), (4, "http://e.f/1", open_("copy")), (5, "http://e.f/1", open_("copy")), (6, None, page), (7, "http://[bad", None), (None, "http://a.b/y", "")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
-    assert got[1] == "first" and got[2] == "second" and got[3] == "Site menu\nthird\nAll rights" and got[4] == got[5] == "Site menu\ncopy\nAll rights"
-    assert got[6] == "A & b\none two three\nfour" and got[7] == "" and got[None] == ""
-    assert html_text.extract(df.limit(0)).count() == 0
+    rows = [(1, "http://a.b/x/1", open_("the first page")), (2, "http://a.b/x/2", open_("the second one")), (3, "http://c.d/1", open_("third")), (4, "http://e.f/1", open_("copies of one page")), (5, "http://e.f/1", open_("copies of one page")), (6, None, "<p>x"), (7, "http://[bad", None), (None, "http://a.b/y", ""), (6, None, "<p>x"), (8, "http://g.h/1", "<p>" + "x " * 500_000)]
+    got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    texts = {d: t for d, t, _ in got}
+    assert len(got) == len(rows) and all(n == len(t) for _, t, n in got)
+    assert texts[1] == "the first page" and texts[2] == "the second one" and texts[3] == "Site menu\nthird\nAll rights" and texts[4] == texts[5] == "Site menu\ncopies of one page\nAll rights"
+    assert texts[6] == "x" and texts[7] == "" and texts[None] == "" and len(texts[8]) == 999_999
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_common_lines_is_a_longest_common_subsequence():
