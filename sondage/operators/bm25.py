@@ -2,7 +2,9 @@
 
 A query's phrases are few, so their frequencies are counted in each row's token
 array; the corpus figures (rows, mean length, rows with each phrase) are one
-aggregation with partial sums. Nothing is exploded or shuffled but one row.
+aggregation with partial sums. Nothing is shuffled but one row. Each of the two
+reads a row's text and makes its tokens once, however many phrases there are.
+Prepared counts the phrases of several channels in the same two readings.
 For many queries over one corpus postings() gives the exploded index.
 """
 
@@ -38,16 +40,19 @@ def phrase_count(words: list[str]):
     return [count]
 
 
-def score(rows: DataFrame, text: str, counts: list, every: bool = False) -> DataFrame:
-    """rows that hold one (or, with every, each) of the counted phrases, with their score rounded to 9 places."""
-    if not counts:
-        return rows.withColumn("score", F.lit(0.0)).limit(0)
+def _counted(rows: DataFrame, text: str, counts: list) -> tuple[DataFrame, DataFrame]:
+    """(rows with a phrase: columns of rows, _dl and _f0, _f1, ...; one row of corpus figures)."""
     names = [f"_f{i}" for i in range(len(counts))]
-    # One struct of one bound token array: a filter that is pushed below evaluates it once more, not once for each token.
     figures = F.transform(F.array(tokens(F.col(text))), lambda t: F.struct(F.size(t).alias("_dl"), *(c(t).alias(n) for c, n in zip(counts, names, strict=True))))
-    counted = rows.select("*", F.element_at(figures, 1).alias("_c")).select(*rows.columns, "_c.*")
-    corpus = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *(F.sum((F.col(n) > 0).cast("long")).alias(f"{n}_n") for n in names))
-    found = counted.where(" and ".join(f"{n} > 0" for n in names) if every else " or ".join(f"{n} > 0" for n in names))
+    # Rows without a phrase go as empty arrays: a filter would be pushed below and make the tokens anew for each of its terms.
+    some = F.filter(figures, lambda c: F.greatest(F.lit(0), F.lit(0), *(c[n] for n in names)) > 0)
+    found = rows.select(*rows.columns, F.explode(some).alias("_c")).select(*rows.columns, "_c.*")
+    every = rows.select(F.explode(figures).alias("_c")).select("_c.*")
+    return found, every.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *(F.sum((F.col(n) > 0).cast("long")).alias(f"{n}_n") for n in names))
+
+
+def _scored(found: DataFrame, corpus: DataFrame, columns: list[str], names: list[str], every: bool) -> DataFrame:
+    found = found.where(" and ".join(f"{n} > 0" for n in names) if every else " or ".join(f"{n} > 0" for n in names))
     joined = found.crossJoin(F.broadcast(corpus))  # one row
 
     def part(n: str) -> Column:
@@ -56,7 +61,42 @@ def score(rows: DataFrame, text: str, counts: list, every: bool = False) -> Data
         return F.greatest(idf, F.lit(LEAST_IDF)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
 
     total = sum((part(n) for n in names[1:]), part(names[0]))
-    return joined.select(*rows.columns, F.round(total, 9).alias("score"))
+    return joined.select(*columns, F.round(total, 9).alias("score"))
+
+
+def score(rows: DataFrame, text: str, counts: list, every: bool = False) -> DataFrame:
+    """rows that hold one (or, with every, each) of the counted phrases, with their score rounded to 9 places."""
+    if not counts:
+        return rows.withColumn("score", F.lit(0.0)).limit(0)
+    found, corpus = _counted(rows, text, counts)
+    return _scored(found, corpus, rows.columns, [f"_f{i}" for i in range(len(counts))], every)
+
+
+class Prepared:
+    """One reading of a corpus for several channels of a search: their hits (keys, lengths and counts) and the corpus figures are kept.
+
+    close() frees them; hits are at most the rows that any channel finds."""
+
+    def __init__(self, rows: DataFrame, text: str, keys: list[str], channels: dict[str, list]):
+        self.rows, self.keys, self.names = rows, keys, {}
+        counts: list = []
+        for channel, own in channels.items():
+            self.names[channel] = [f"_f{len(counts) + i}" for i in range(len(own))]
+            counts += own
+        self.kept = []
+        if counts:
+            found, corpus = _counted(rows.select(*keys, F.col(text).alias("_text")), "_text", counts)
+            self.kept = [found.drop("_text").persist(), corpus.persist()]
+
+    def score(self, channel: str, every: bool = False) -> DataFrame:
+        names = self.names[channel]
+        if not names:
+            return self.rows.select(*self.keys, F.lit(0.0).alias("score")).limit(0)
+        return _scored(*self.kept, self.keys, names, every)
+
+    def close(self) -> None:
+        for t in self.kept:
+            t.unpersist()
 
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:

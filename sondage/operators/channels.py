@@ -43,23 +43,56 @@ def rrf(rows: DataFrame, boost: float, k: float = K, by: Column | None = None) -
     return rows.select("path", (boost / (k + rank)).alias("rrf"))
 
 
-def path_any(paths: DataFrame, text: str, boost: float = 3.0) -> DataFrame:
-    return rrf(top(bm25.score(paths.select("path"), "path", _counts(text)), PATH_LIMIT), boost)
+def _all_counts(text: str) -> list:
+    return _counts(text) if len(text.split()) > 1 else []
 
 
-def path_all(paths: DataFrame, text: str, boost: float = 4.0) -> DataFrame:
-    counts = _counts(text) if len(text.split()) > 1 else []
-    return rrf(top(bm25.score(paths.select("path"), "path", counts, every=True), PATH_LIMIT), boost)
+def _prefix_counts(text: str) -> list:
+    return bm25.prefix_counts([t for w in text.split() if len(w.encode()) >= 2 for t in query_tokens(w)])
 
 
-def path_prefix(paths: DataFrame, text: str, boost: float = 1.5) -> DataFrame:
-    words = [t for w in text.split() if len(w.encode()) >= 2 for t in query_tokens(w)]
-    return rrf(top(bm25.score(paths.select("path"), "path", bm25.prefix_counts(words)), PATH_LIMIT), boost)
+def _short_counts(text: str) -> list:
+    return bm25.prefix_counts([w.lower()[:4] for w in text.split() if len(w.encode()) >= 4])
 
 
-def path_short_prefix(paths: DataFrame, text: str, boost: float = 1.0) -> DataFrame:
-    words = [w.lower()[:4] for w in text.split() if len(w.encode()) >= 4]
-    return rrf(top(bm25.score(paths.select("path"), "path", bm25.prefix_counts(words), every=True), PATH_LIMIT), boost)
+def _phrase_counts(text: str) -> list:
+    return bm25.phrase_count(query_tokens(text)) if query_tokens(text) else []
+
+
+def _fuzzy_counts(text: str) -> list:
+    return bm25.prefix_counts(_fuzzy_prefixes(text))
+
+
+def prepared_paths(paths: DataFrame, text: str) -> bm25.Prepared:
+    """What the path channels count, in one reading; they take it in place of the paths."""
+    return bm25.Prepared(paths, "path", ["path"], {"any": _counts(text), "all": _all_counts(text), "prefix": _prefix_counts(text), "short": _short_counts(text)})
+
+
+def prepared_chunks(chunks: DataFrame, text: str) -> bm25.Prepared:
+    """What the content channels count, in one reading; they take it in place of the chunks."""
+    return bm25.Prepared(chunks, "content", ["path", "chunk_no"], {"keyword": _counts(text), "phrase": _phrase_counts(text), "fuzzy": _fuzzy_counts(text)})
+
+
+def _score(rows: DataFrame | bm25.Prepared, channel: str, column: str, counts: list, every: bool = False) -> DataFrame:
+    if isinstance(rows, bm25.Prepared):
+        return rows.score(channel, every)
+    return bm25.score(rows.select("path") if column == "path" else rows.select("path", "chunk_no", column), column, counts, every)
+
+
+def path_any(paths: DataFrame | bm25.Prepared, text: str, boost: float = 3.0) -> DataFrame:
+    return rrf(top(_score(paths, "any", "path", _counts(text)), PATH_LIMIT), boost)
+
+
+def path_all(paths: DataFrame | bm25.Prepared, text: str, boost: float = 4.0) -> DataFrame:
+    return rrf(top(_score(paths, "all", "path", _all_counts(text), every=True), PATH_LIMIT), boost)
+
+
+def path_prefix(paths: DataFrame | bm25.Prepared, text: str, boost: float = 1.5) -> DataFrame:
+    return rrf(top(_score(paths, "prefix", "path", _prefix_counts(text)), PATH_LIMIT), boost)
+
+
+def path_short_prefix(paths: DataFrame | bm25.Prepared, text: str, boost: float = 1.0) -> DataFrame:
+    return rrf(top(_score(paths, "short", "path", _short_counts(text), every=True), PATH_LIMIT), boost)
 
 
 def substring_match(paths: DataFrame, text: str, limit: int = SUBSTRING_LIMIT) -> DataFrame:
@@ -88,16 +121,15 @@ def _chunk_channel(scored: DataFrame, limit: int, boost: float) -> DataFrame:
     return rrf(best_average(top(scored, limit, "path", "chunk_no")), boost)
 
 
-def content_keyword(chunks: DataFrame, text: str, boost: float = 10.0) -> DataFrame:
-    return _chunk_channel(bm25.score(chunks.select("path", "chunk_no", "content"), "content", _counts(text)), KEYWORD_LIMIT, boost)
+def content_keyword(chunks: DataFrame | bm25.Prepared, text: str, boost: float = 10.0) -> DataFrame:
+    return _chunk_channel(_score(chunks, "keyword", "content", _counts(text)), KEYWORD_LIMIT, boost)
 
 
-def phrase_chunks(chunks: DataFrame, text: str) -> DataFrame:
-    counts = bm25.phrase_count(query_tokens(text)) if query_tokens(text) else []
-    return top(bm25.score(chunks.select("path", "chunk_no", "content"), "content", counts), PHRASE_LIMIT, "path", "chunk_no")
+def phrase_chunks(chunks: DataFrame | bm25.Prepared, text: str) -> DataFrame:
+    return top(_score(chunks, "phrase", "content", _phrase_counts(text)), PHRASE_LIMIT, "path", "chunk_no")
 
 
-def content_phrase(chunks: DataFrame, text: str, boost: float = 50.0) -> DataFrame:
+def content_phrase(chunks: DataFrame | bm25.Prepared, text: str, boost: float = 50.0) -> DataFrame:
     """Paths with the whole text as a phrase; a single word earns no score here."""
     found = phrase_chunks(chunks, text)
     return rrf(best_average(found if len(text.split()) > 1 else found.limit(0)), boost)
@@ -107,11 +139,11 @@ def _fuzzy_prefixes(text: str) -> list[str]:
     return [w.lower()[: 3 if len(w) == 3 else 4] for w in text.split() if len(w.encode()) >= 3]
 
 
-def fuzzy_chunks(chunks: DataFrame, text: str) -> DataFrame:
-    return top(bm25.score(chunks.select("path", "chunk_no", "content"), "content", bm25.prefix_counts(_fuzzy_prefixes(text)), every=True), FUZZY_LIMIT, "path", "chunk_no")
+def fuzzy_chunks(chunks: DataFrame | bm25.Prepared, text: str) -> DataFrame:
+    return top(_score(chunks, "fuzzy", "content", _fuzzy_counts(text), every=True), FUZZY_LIMIT, "path", "chunk_no")
 
 
-def content_fuzzy(chunks: DataFrame, text: str, before: DataFrame, boost: float = 0.8, gate: int = 5) -> DataFrame:
+def content_fuzzy(chunks: DataFrame | bm25.Prepared, text: str, before: DataFrame, boost: float = 0.8, gate: int = 5) -> DataFrame:
     """Prefix hits in content, if the channels before found fewer than gate paths and the query has three bytes."""
     if len(text.encode()) < 3:
         return before.limit(0).select("path", F.lit(0.0).alias("rrf"))

@@ -14,10 +14,11 @@ from sondage.operators.parser import parse
 
 def channel_list(files: DataFrame, chunks: DataFrame, vecs: DataFrame | None, text: str, vector: list[float] | None, w: dict[str, float]) -> tuple[list[tuple[DataFrame, float]], list[DataFrame], DataFrame]:
     """(weighted channels, content channels, paths whose content matched)."""
-    path_any = channels.path_any(files, text, w["w_path_fts"])
-    path_all = channels.path_all(files, text, w["w_path_fts"] * 4 / 3)
-    prefix = channels.path_prefix(files, text, w["w_path_prefix"])
-    short = channels.path_short_prefix(files, text, w["w_path_prefix"] * 2 / 3)
+    paths, chunks = channels.prepared_paths(files, text), channels.prepared_chunks(chunks, text)
+    path_any = channels.path_any(paths, text, w["w_path_fts"])
+    path_all = channels.path_all(paths, text, w["w_path_fts"] * 4 / 3)
+    prefix = channels.path_prefix(paths, text, w["w_path_prefix"])
+    short = channels.path_short_prefix(paths, text, w["w_path_prefix"] * 2 / 3)
     before = channels.match_set(path_any, path_all, prefix, short)
     by_path = [path_any, path_all, prefix, short, channels.path_substring(files, text, before, w["w_path_prefix"] * 0.5)]
     phrase, keyword = channels.content_phrase(chunks, text), channels.content_keyword(chunks, text)
