@@ -8,8 +8,8 @@ word within the class by softmax. The FREQUENT most frequent words of the corpus
 are words of their own, others share hashed ids, so every word has an id. In
 score_corpus() a word's probability is that of its id times the word's own share
 of the id's count in the corpus. The table of these shares has a row for every
-word and grows with the corpus: the KNOWN most frequent words' part goes along
-with the network, the others' part is joined to the documents' words by shuffle.
+word and grows with the corpus: the part of the most frequent words (KNOWN at most, those
+of about equal counts all or none) goes along with the network, the others' part is joined to the documents' words by shuffle.
 
 Everything gathered from the corpus covers all of it: word counts come from a
 group-by over all documents, and each task trains a copy of the network from
@@ -44,10 +44,10 @@ from .common import materialise, words_of
 
 #: Words with ids of their own, hashed ids, words of a class, width of the hidden layer, neighbours on either side.
 FREQUENT, HASHED, CLASS, HIDDEN, SIDE = 1024, 1024, 64, 16, 2
-#: Words whose share is at hand.
-KNOWN = 65_536
+#: Words whose share is at hand, at most; bins of a doubling of counts by which these are chosen.
+KNOWN, BINS = 65_536, 64
 #: Words of the first steps, how many those are, words of later steps; rate; words handled at a time.
-STEP, SHORT, LONG_STEP, RATE, PORTION = 2048, 32, 8192, 0.1, 50_000
+STEP, SHORT, LONG_STEP, RATE, PORTION = 2048, 32, 16_384, 0.1, 16_384
 SEED, BLOCKS = 20240101, 64
 SIZE = FREQUENT + HASHED
 CLASSES = SIZE // CLASS
@@ -111,7 +111,15 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
 def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> tuple[Known, np.ndarray]:
     """The most frequent words, and the corpus count of every id. counts: counted(docs), where it is there already."""
     counts = counted(docs, text) if counts is None else counts
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # KNOWN rows at most
+    # The least count of a known word is set by a histogram of counts, so that no more than KNOWN words reach the driver.
+    by_bin = counts.groupBy(F.floor(F.log2("n") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
+    least, total = 1 << 62, 0
+    for r in sorted(by_bin.collect(), key=lambda r: -r["bin"]):  # some thousand rows at most
+        total += r["words"]
+        if total > KNOWN:
+            break
+        least = r["least"]
+    top = sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))
     known = Known([r["word"].encode() for r in top], [r["n"] for r in top])
     given = counts.sparkSession.sparkContext.broadcast(known)
     number = np.zeros(SIZE)
@@ -270,7 +278,7 @@ class Trainer:
         self._move(4, slopes / n)
         self._move(5, biases / n)
         dh = dh.T
-        dh = dh * (1 - h * h)
+        dh = np.ascontiguousarray(dh) * (1 - h * h)
         self._move(1, dh.sum(0) / n)
         dh /= n
         for o in range(2 * SIDE):
