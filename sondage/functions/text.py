@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+
+def _accented() -> tuple[str, str]:
+    """Lower-case letters of the basic plane that are one letter with combining marks, and that letter."""
+    found = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and all(map(unicodedata.combining, marks)) and unicodedata.category(c) == "Ll":
+            found[c] = base
+    return "".join(found), "".join(found.values())
+
+
 #: Accented letters and what they are compared as.
-ACCENTED, PLAIN = "äçèéêíñóöü", "aceeeinoou"
+ACCENTED, PLAIN = _accented()
 
 
 def fold(s: Column) -> Column:
-    return F.translate(F.lower(s), ACCENTED, PLAIN)
+    """Lower case without accents; ASCII strings are spared the table."""
+    return F.when(F.octet_length(s) == F.length(s), F.lower(s)).otherwise(F.translate(F.lower(s), ACCENTED, PLAIN))
 
 
 def tokens(s: Column) -> Column:

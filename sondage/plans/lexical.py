@@ -14,7 +14,7 @@ from .search import search, text_search
 
 PART_TEXT, CONTENT_TEXT, PHRASE = "small ring", "idiot clown loser", "in the"
 TYPO = "smal rign"
-_FOLD = "translate(lower({0}), 'äçèéêíñóöü', 'aceeeinoou')"
+_FOLD = "strip_accents(lower({0}))"
 _TOKENS = "list_filter(string_split_regex(" + _FOLD + r", '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 

@@ -85,3 +85,12 @@ def test_evaluation(spark):
     by_query, _ = evaluate(spark, search, [(1, "x", "k", {"b": 3.0}), (2, "y", "k", {"c": 1.0})])
     got = {r["query"]: (round(r["ndcg"], 4), r["recall"], r["mrr"]) for r in by_query.collect()}
     assert got == {"1": (0.6309, 1.0, 0.5), "2": (1.0, 1.0, 1.0)}
+
+
+def test_every_accent_is_folded(spark):
+    from sondage.functions.text import tokens
+    from sondage.operators.channels import query_tokens
+
+    text = "Voilà l'Ångström, ÉTUDE šťastný ệ ø Ærø straße plain"
+    want = ["voila", "l", "angstrom", "etude", "stastny", "e", "ø", "ærø", "straße", "plain"]
+    assert spark.createDataFrame([(text,)], "t string").select(tokens(F.col("t"))).first()[0] == want == query_tokens(text)
