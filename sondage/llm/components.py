@@ -1,6 +1,6 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Every step is a group-by and a join on a node, written to the shared folder, so
+Every step is a group-by or a join on a node, written to the shared folder, so
 that no link or component is gathered on the driver or in one task; nodes with
 very many links are met by Spark's splitting of skewed joins, for which both
 sides of each join are exchanged on their own. Before the first step the links
@@ -62,23 +62,21 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(forest)
 
 
-def _star(edges: DataFrame) -> bool:
-    """Whether every node has one link, to a node that has none."""
-    u = edges.select("u")
-    twice = edges.groupBy("u").count().where("count > 1").limit(1).count()
-    return not twice and not edges.join(u.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link; component is the smallest node it is joined with."""
     a, b = F.col(a).cast("long"), F.col(b).cast("long")
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (a != b).alias("_")).where("_").drop("_")
     edges = materialise(edges.mapInArrow(_thin, "u long, v long").distinct(), "links")
-    while not _star(edges):
+    while True:
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).union(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        least = materialise(both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("m")), "least")
-        large = edges.join(least, edges["v"] == least["n"]).select("u", F.col("m").alias("v"))
-        large = materialise(large.distinct(), "large")
+        below = F.count_if(F.col("m") < F.col("n"))
+        # In a star a node has one smaller neighbour and no other, or only larger ones.
+        least = both.groupBy("n").agg(F.min("m").alias("m"), ((below > 1) | (below > 0) & (F.count("*") > below)).alias("open"))
+        least = materialise(least.select("n", F.least("n", "m").alias("m"), "open"), "least")
+        if not least.where("open").limit(1).count():
+            discard(least)
+            break
+        large = materialise(edges.join(least, edges["v"] == least["n"]).select("u", least["m"].alias("v")), "large")
         small = materialise(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), "small")
         moved = large.join(small, large["u"] == small["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         used = (edges, least, large, small)
