@@ -58,7 +58,7 @@ def chunks(docs: DataFrame, size: int = 512, overlap: int | None = None) -> Data
 
 
 def snippets(content: str, query: str, most: int, size: int = SNIPPET) -> list[str]:
-    """Up to most windows of size bytes around the query's words, none of which overlap; the head of the text if no word is found."""
+    """Up to most windows of size bytes, each around a word of the query that no earlier window covers; the head of the text if no word is found."""
     data = content.encode()
     if not data or most <= 0:
         return []

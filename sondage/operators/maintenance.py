@@ -68,6 +68,11 @@ def reset(files: DataFrame, folder: str | None = None) -> DataFrame:
     return files.withColumn("hash", F.when(here, "0").otherwise(F.col("hash"))).withColumn("content_indexed", F.when(here, 0).otherwise(F.col("content_indexed")))
 
 
+def reset_all(files: DataFrame, *contents: DataFrame) -> list[DataFrame]:
+    """files with their content waiting again, and the tables of texts and vectors empty."""
+    return [reset(files), *(c.limit(0) for c in contents)]
+
+
 def unindexed(files: DataFrame) -> DataFrame:
     """Files whose content waits to be indexed, the newest first."""
     return files.where("content_indexed = 0").orderBy(F.desc("mtime"), "path")

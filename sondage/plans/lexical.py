@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sondage.functions import lists
 from sondage.operators import bm25, channels, ranking
-from sondage.operators.parser import parse
 from sondage.sources import views as V
 
 from .registry import query
@@ -358,7 +357,3 @@ _TEXT = f"SELECT path, round(sum(rrf), 9) AS score FROM (SELECT * FROM ({path_sq
 @query("r16_text_search", V.with_views(f"SELECT path, round(score + round(({_filename_sql('path', CONTENT_TEXT.split())} + {_fuzzy_sql('path', CONTENT_TEXT.split())}) * 1.0, 9), 9) AS score FROM ({_TEXT})", "files_v", "chunks_v"))
 def r16(spark, d):
     return text_search(V.files(spark, d), V.chunks(spark, d), CONTENT_TEXT)
-
-
-def parsed_text(raw: str) -> str:
-    return parse(raw).text

@@ -7,8 +7,8 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from sondage.functions import lists, text as T, vectors as X
-from sondage.operators import filters, vectors
-from sondage.operators.parser import parse
+from sondage.operators import ann, chunking, filters, vectors
+from sondage.operators.parser import PART, parse, parsed, parts
 from sondage.sources import views as V
 
 from .registry import query
@@ -107,6 +107,20 @@ def p13(spark, d):
     return V.table(spark, d, "documents").select("doc_id", snippet.alias("snippet"))
 
 
+_ASCII = "SELECT doc_id, regexp_replace(text, '[^\\x01-\\x7F]', '?', 'g') AS content FROM documents"
+_ASKED = "loser the x"
+_HITS = "list_min([CASE WHEN instr(substr(low, covered + 1), w) > 0 THEN covered + instr(substr(low, covered + 1), w) - 1 END FOR w IN ['loser', 'the']])"
+_WALK = f"""SELECT doc_id, content, lower(content) AS low, length(content) AS n, 0 AS i, CAST(0 AS BIGINT) AS covered FROM ascii_v
+    UNION ALL SELECT doc_id, content, low, n, i + 1, greatest(0, least(place - 400, n - 800)) + 800 FROM (SELECT *, CASE WHEN i = 0 THEN coalesce({_HITS}, 0) ELSE {_HITS} END AS place FROM walk WHERE i < 3 AND n > 800) WHERE place IS NOT NULL"""
+
+
+@query("p13_snippet_windows", V.with_views("SELECT doc_id, i - 1 AS i, substr(content, covered - 799, 800) AS snippet FROM walk WHERE i > 0 UNION ALL SELECT doc_id, 0, content FROM walk WHERE i = 0 AND n BETWEEN 1 AND 800", more={"ascii_v": _ASCII, "walk": _WALK}))
+def p13_windows(spark, d):
+    # The windows are of bytes, so the texts are bound as one byte a character.
+    rows = V.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^\\x01-\\x7F]", "?").alias("content"))
+    return chunking.with_snippets(rows, _ASKED, 3).select("doc_id", F.posexplode("snippets").alias("i", "snippet"))
+
+
 _TIME = "strftime(make_timestamp(mtime // 1000), '%Y-%m-%dT%H:%M:%SZ')"
 _PARTS = "list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT contains(x, ':'))"
 
@@ -221,6 +235,40 @@ def s14(spark, d):
     return filters.page(V.files(spark, d).select("path", (F.col("size") / 20000.0).alias("score")), least=0.15, default=10, most=20)
 
 
+# --- queries in tables ---------------------------------------------------------------------
+
+_RAW = """SELECT p_partkey, p_name || ' "' || p_name || ' x"' || CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN ' ext:pdf' ELSE ' ext:.GO' END || ' size:>' || p_size
+    || 'mb modified:2023-' || (p_partkey % 12 + 1) || ' -' || p_brand || CASE WHEN p_partkey % 4 = 0 THEN ' photos' ELSE '' END || ' sort:name colour:red' AS raw FROM part"""
+
+
+def _raw_queries(spark, d):
+    key = F.col("p_partkey")
+    ext = F.when(key % 3 == 0, "").when(key % 2 == 0, " ext:pdf").otherwise(" ext:.GO")
+    photos = F.when(key % 4 == 0, " photos").otherwise("")
+    raw = F.format_string('%s "%s x"%s size:>%dmb modified:2023-%d -%s%s sort:name colour:red', "p_name", "p_name", ext, "p_size", key % 12 + 1, "p_brand", photos)
+    return V.table(spark, d, "part").select("p_partkey", raw.alias("raw"))
+
+
+@query("f1_query_parts", V.with_views(f"SELECT p_partkey, array_to_string(regexp_extract_all(raw, '{PART}'), '|') AS parts FROM raw_v", more={"raw_v": _RAW}))
+def f1(spark, d):
+    return _raw_queries(spark, d).select("p_partkey", F.array_join(parts(F.col("raw")), "|").alias("parts"))
+
+
+_F2 = f"""SELECT p_partkey, array_to_string(list_filter(ps, lambda p: NOT starts_with(p, '-') AND NOT regexp_matches(p, '^(ext|size|modified|sort):') AND (len(x) > 0 OR p <> 'photos')), ' ') AS text,
+    array_to_string(CASE WHEN len(x) > 0 THEN x WHEN list_contains(ps, 'photos') THEN [{_in(lists.HINT_EXTENSIONS['image'])}] END, '|') AS extensions,
+    CAST(regexp_extract(raw, 'size:>([0-9]+)mb', 1) AS BIGINT) * 1048576 AS size_min, CAST(NULL AS BIGINT) AS size_max, epoch_ns(month) AS modified_min, epoch_ns(month + INTERVAL 1 MONTH) AS modified_max,
+    array_to_string(list_transform(list_filter(ps, lambda p: starts_with(p, '-')), lambda p: lower(substr(p, 2))), '|') AS excluded, 'name' AS sort
+    FROM (SELECT *, list_transform(list_filter(ps, lambda p: starts_with(p, 'ext:')), lambda p: '.' || ltrim(lower(substr(p, 5)), '.')) AS x, make_timestamp(2023, CAST(regexp_extract(raw, 'modified:2023-([0-9]+)', 1) AS BIGINT), 1, 0, 0, 0.0) AS month
+        FROM (SELECT *, regexp_extract_all(raw, '{PART}') AS ps FROM raw_v))"""
+
+
+@query("f2_parsed_queries", V.with_views(f"SELECT * REPLACE (coalesce(extensions, '') AS extensions) FROM ({_F2})", more={"raw_v": _RAW}))
+def f2(spark, d):
+    q = parsed(_raw_queries(spark, d), "raw", NOW)
+    joined = lambda c: F.array_join(f"query.{c}", "|").alias(c)
+    return q.select("p_partkey", "query.text", joined("extensions"), "query.size_min", "query.size_max", "query.modified_min", "query.modified_max", joined("excluded"), "query.sort")
+
+
 # --- filters -------------------------------------------------------------------------------
 
 _HINT_ROWS = ", ".join(f"('{w}', '{x}')" for k, ws in lists.HINT_WORDS.items() for w in ws for x in lists.HINT_EXTENSIONS[k])
@@ -362,6 +410,14 @@ def v4(spark, d):
     return vectors.best_per_path(V.vectors(spark, d), _vector(spark, d), None, 10)
 
 
+@query("v5_approximate")
+def v5(spark, d):
+    """The ten nearest vectors of every hundredth one, by an index of all; the tests measure its recall."""
+    e = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    model = ann.fit(e)
+    return ann.search(ann.build(e, model), e, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), model)
+
+
 @query("v6_collections", V.with_views("SELECT collection, count(*) AS n, count(DISTINCT path) AS paths FROM vec_v GROUP BY collection", "vec_v"))
 def v6(spark, d):
     return V.vectors(spark, d).groupBy("collection").agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"))

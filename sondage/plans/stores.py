@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions import lists
 from sondage.functions.text import epoch_seconds
+from sondage.operators import chunking
 from sondage.operators import feedback as E
 from sondage.operators import maintenance as M
 from sondage.sources import views as V
@@ -293,6 +294,33 @@ def m6(spark, d):
     return M.deleted(_old(spark, d), _new(spark, d)).select("path")
 
 
+_GONE = " UNION ALL ".join(f"SELECT '{kind}' AS kind, path, count(*) AS n FROM {kind}_v WHERE path NOT IN (SELECT path FROM files_v WHERE doc_id % 4 = 0) GROUP BY path" for kind in ("files", "chunks", "vec"))
+
+
+def _tables(spark, d):
+    return {"files": V.files(spark, d), "chunks": V.chunks(spark, d), "vec": V.vectors(spark, d)}
+
+
+def _by_path(tables):
+    rows = [t.groupBy("path").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "path", "n") for kind, t in tables.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("m6_delete_everywhere", V.with_views(_GONE, "files_v", "chunks_v", "vec_v"))
+def m6_everywhere(spark, d):
+    gone = V.files(spark, d).where("doc_id % 4 = 0")
+    return _by_path({kind: M.deleted(t, gone) for kind, t in _tables(spark, d).items()})
+
+
+_MOVED = " UNION ALL ".join(f"SELECT '{kind}' AS kind, CASE WHEN path IN (SELECT path FROM files_v WHERE doc_id % 4 = 0) THEN 'moved/' || path ELSE path END AS path, count(*) AS n FROM {kind}_v GROUP BY ALL" for kind in ("files", "chunks", "vec"))
+
+
+@query("m7_rename_everywhere", V.with_views(_MOVED, "files_v", "chunks_v", "vec_v"))
+def m7_everywhere(spark, d):
+    pairs = V.files(spark, d).where("doc_id % 4 = 0").select(F.col("path").alias("old"), F.concat(F.lit("moved/"), "path").alias("new"))
+    return _by_path({kind: M.renamed(t, pairs) for kind, t in _tables(spark, d).items()})
+
+
 @query("m7_rename", V.with_views("SELECT CASE WHEN doc_id % 4 = 0 THEN 'moved/' || path ELSE path END AS path, chunk_no FROM chunks_v", "chunks_v"))
 def m7(spark, d):
     c = V.chunks(spark, d)
@@ -315,6 +343,17 @@ def m9(spark, d):
     return M.reset(V.files(spark, d), "corpus/src1").select("path", "hash", "content_indexed")
 
 
+@query("m9_reset_all", V.with_views("SELECT 'files' AS kind, count(*) AS n, count(*) AS waiting FROM files_v UNION ALL SELECT 'chunks', 0, 0 UNION ALL SELECT 'vec', 0, 0", "files_v"))
+def m9_all(spark, d):
+    t = _tables(spark, d)
+    files, *rest = M.reset_all(*t.values())
+    waiting = F.coalesce(F.sum(((F.col("hash") == "0") & (F.col("content_indexed") == 0)).cast("long")), F.lit(0).cast("long"))
+    rows = files.agg(F.count("*").alias("n"), waiting.alias("waiting")).select(F.lit("files").alias("kind"), "n", "waiting")
+    for kind, c in zip(("chunks", "vec"), rest, strict=True):
+        rows = rows.unionByName(c.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n", F.lit(0).cast("long").alias("waiting")))
+    return rows
+
+
 @query("m10_hash_lookup", V.with_views("SELECT n.path, coalesce(o.hash, '0') AS hash FROM n LEFT JOIN o ON o.path = n.path", "files_v", more=_O))
 def m10(spark, d):
     return M.hash_of(_old(spark, d), _new(spark, d))
@@ -325,6 +364,12 @@ def m11(spark, d):
     return V.chunks(spark, d).select("doc_id", "chunk_no", "content")
 
 
+@query("m11_recursive_chunks")
+def m11_recursive(spark, d):
+    docs = V.table(spark, d, "documents").join(V.files(spark, d).select("doc_id", "path"), "doc_id").select("path", F.col("text").alias("content"))
+    return chunking.chunks(docs)
+
+
 # --- set operations and change events ------------------------------------------------------
 
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -129,6 +129,11 @@ def tracked(events: DataFrame, folder: str = "folder", order: str = "seq", known
     return end.select(folder, F.explode(todo).alias("todo")).select(folder, "todo.*")
 
 
+def source(spark: SparkSession, folder: str, schema: str, files: int = 500) -> DataFrame:
+    """Change events that arrive as JSON files in a folder, at most so many files a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
+
+
 def watch(events: DataFrame, flush: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None) -> StreamingQuery:
     """Plans each micro-batch and hands it to flush. Without seconds it takes what there is and ends.
 
