@@ -5,12 +5,16 @@ array; the corpus figures (rows, mean length, rows with each phrase) are one
 aggregation with partial sums. Nothing is shuffled but one row. Each of the two
 reads a row's text and makes its tokens once, however many phrases there are.
 Prepared counts the phrases of several channels in the same two readings.
-For many queries over one corpus postings() gives the exploded index.
+For many queries over one corpus postings() gives the exploded index. An Index
+is written once, in the order of its tokens; a search by Stored then reads the
+row groups that hold its words and prefixes instead of the corpus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.functions.text import tokens
@@ -99,6 +103,66 @@ class Prepared:
             t.unpersist()
 
 
+@dataclass
+class Index:
+    """places: keys, dl, token, at (one row for each word of a corpus); corpus: one row (n, avgdl)."""
+
+    places: DataFrame
+    corpus: DataFrame
+
+    def save(self, folder: str) -> None:
+        """Written by ranges of tokens; a frequent token is spread over several tasks by the hash of its rows."""
+        p = self.places
+        keys = [c for c in p.columns if c not in ("dl", "token", "at")]
+        p.repartitionByRange(F.col("token"), F.xxhash64(*keys)).sortWithinPartitions("token", *keys).write.mode("overwrite").parquet(f"{folder}/places")
+        self.corpus.write.mode("overwrite").parquet(f"{folder}/corpus")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> Index:
+        return Index(spark.read.parquet(f"{folder}/places"), spark.read.parquet(f"{folder}/corpus"))
+
+
+def indexed(rows: DataFrame, text: str, keys: list[str]) -> Index:
+    """The index of a corpus whose keys are distinct. Rows without a word count in its figures only."""
+    t = rows.select(*keys, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    places = t.select(*keys, F.size("_t").alias("dl"), F.posexplode("_t").alias("at", "token")).select(*keys, "dl", "token", "at")
+    return Index(places, t.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl")))
+
+
+class Stored(Prepared):
+    """Hits and figures of several channels as Prepared keeps them, from an index. A channel is a list of phrases (lists of words) and prefixes (strings)."""
+
+    def __init__(self, index: Index, keys: list[str], channels: dict[str, list[list[str] | str]]):
+        self.rows, self.keys, self.names, self.kept = index.places, keys, {}, []
+        sought: list[list[str] | str] = []
+        for channel, own in channels.items():
+            self.names[channel] = [f"_f{len(sought) + i}" for i in range(len(own))]
+            sought += own
+        if not sought:
+            return
+        token, names = F.col("token"), [f"_f{i}" for i in range(len(sought))]
+        wanted = token.isin(sorted({w for s in sought if not isinstance(s, str) for w in s}))
+        for s in sought:
+            wanted = wanted | token.startswith(s) if isinstance(s, str) else wanted
+
+        def count(s: list[str] | str) -> Column:
+            if isinstance(s, str):
+                return F.count_if(token.startswith(s))
+            if len(s) == 1:
+                return F.count_if(token == s[0])
+            # Where the phrase would begin by each of its words.
+            begins = [F.collect_list(F.when(token == w, F.col("at") - i)) for i, w in enumerate(s)]
+            both = begins[0]
+            for b in begins[1:]:
+                both = F.array_intersect(both, b)
+            return F.size(both)
+
+        found = index.places.where(wanted).groupBy(*keys).agg(F.first("dl").alias("_dl"), *(count(s).alias(n) for s, n in zip(sought, names, strict=True))).persist()
+        figures = found.agg(*(F.coalesce(F.sum((F.col(n) > 0).cast("long")), F.lit(0).cast("long")).alias(f"{n}_n") for n in names))
+        corpus = index.corpus.select(F.col("n").alias("_n"), F.col("avgdl").alias("_avg"))
+        self.kept = [found, corpus.crossJoin(F.broadcast(figures)).persist()]  # one row each
+
+
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, f, dl): the index of a corpus, one row for each row and distinct token."""
     t = rows.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("token"))

@@ -68,8 +68,11 @@ def prepared_paths(paths: DataFrame, text: str) -> bm25.Prepared:
     return bm25.Prepared(paths, "path", ["path"], {"any": _counts(text), "all": _all_counts(text), "prefix": _prefix_counts(text), "short": _short_counts(text)})
 
 
-def prepared_chunks(chunks: DataFrame, text: str) -> bm25.Prepared:
-    """What the content channels count, in one reading; they take it in place of the chunks."""
+def prepared_chunks(chunks: DataFrame | bm25.Index, text: str) -> bm25.Prepared:
+    """What the content channels count, in one reading or from an index; they take it in place of the chunks."""
+    if isinstance(chunks, bm25.Index):
+        whole = query_tokens(text)
+        return bm25.Stored(chunks, ["path", "chunk_no"], {"keyword": phrases(text), "phrase": [whole] if whole else [], "fuzzy": _fuzzy_prefixes(text)})
     return bm25.Prepared(chunks, "content", ["path", "chunk_no"], {"keyword": _counts(text), "phrase": _phrase_counts(text), "fuzzy": _fuzzy_counts(text)})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sondage.functions import lists
 from sondage.operators import bm25, channels, ranking
 from sondage.sources import views as V
+from sondage.sources.files import shared_folder
 
 from .registry import query
 from .search import search, text_search
@@ -344,6 +345,15 @@ def search_lexical(spark, d):
     return found.select("path", "score", "size", "modified")
 
 
+@query("search_indexed", full_sql("chunks_v", "files_v", True))
+def search_indexed(spark, d):
+    """The same search over an index that is written first and read back."""
+    folder = shared_folder(spark, "index")
+    bm25.indexed(V.chunks(spark, d), "content", ["path", "chunk_no"]).save(folder)
+    found = search(V.files(spark, d), bm25.Index.load(spark, folder), CONTENT_TEXT + " size:0b-20000b", V.NOW * V.NS)
+    return found.select("path", "score", "size", "modified")
+
+
 @query("search_with_vectors")
 def search_vectors(spark, d):
     v = V.vectors(spark, d)

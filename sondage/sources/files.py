@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,16 @@ def load_index(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which all executors share; where it is unset and all runs in one process, a local one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="sondage-")
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def append_feedback(votes: DataFrame, folder: str) -> None:
     """Appends the valid votes of a batch."""
     filters.valid_feedback(votes).write.mode("append").parquet(folder)

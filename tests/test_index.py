@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.operators import ann, chunking, embedding
+from sondage.operators import ann, bm25, channels, chunking, embedding
 from sondage.operators.parser import parse, parsed, parts, split
 from sondage.plans import catalog
 from sondage.sources import config, files
@@ -146,3 +146,19 @@ def test_recursive_chunks_hold_every_word(spark):
     assert chunking.split_text("a b", 2) == ["a", "b"]
 
 
+
+
+def test_stored_index_finds_what_the_corpus_holds(spark, tmp_path):
+    """Words, repeated words, phrases, prefixes, accents, empty and null contents; filters on tokens reach the files."""
+    rows = [("a", 0, "red fox red fox, red"), ("a", 1, "fox red"), ("b", 0, ""), ("b", 1, None), ("c", 0, "Föx réd red-fox foxes"), ("d", 0, "blue"), ("e", 0, "red red fox red red fox")]
+    chunks = spark.createDataFrame(rows, "path string, chunk_no int, content string")
+    bm25.indexed(chunks, "content", ["path", "chunk_no"]).save(str(tmp_path))
+    stored = bm25.Index.load(spark, str(tmp_path))
+    for text in ("red fox", "red red fox", "foxes nothing", "absent", "", "Réd", "red-fox blue", "fo re"):
+        mine, plain = channels.prepared_chunks(stored, text), channels.prepared_chunks(chunks.fillna("", "content"), text)
+        for found in (channels.content_keyword, channels.phrase_chunks, channels.fuzzy_chunks):
+            got, want = (sorted(tuple(r) for r in found(x, text).collect()) for x in (mine, plain))
+            assert [g[:2] for g in got] == [w[:2] for w in want] and [g[-1] for g in got] == pytest.approx([w[-1] for w in want])
+        mine.close()
+        plain.close()
+    assert "PushedFilters: [Or(In(token" in str(stored.places.where(F.col("token").isin("a", "b") | F.col("token").startswith("c"))._jdf.queryExecution().toString())
