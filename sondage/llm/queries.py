@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, line_dedup, lm_score, near_vectors, packing, quality, set_join, substrings, warc
+from . import byte_bpe, html_text, line_dedup, lm_score, near_vectors, packing, quality, sessions, set_join, substrings, warc
 from .common import materialise, small_batches, table, words_of
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -155,6 +155,54 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS compon
 """
 
 
+def op13_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("v"), F.col("turn").cast("long").alias("t")).dropna()
+    hashed = turns.select("v", "t", F.crc32(F.col("v").cast("string")).alias("c"), F.crc32(F.concat_ws(":", "v", "t")).alias("h"))
+    events = hashed.selectExpr("2 * ((v - pmod(v, 8)) div 8) + c % 2 AS user", "(c div 2) % 7200 + 300 * t + h % 600 AS second", "h", "h div 600 AS g")
+    events = events.selectExpr("user", "second", "(second - pmod(second, 1800)) div 1800 + IF(g % 5 = 0, g % 4, 0) AS batch", "h")
+    return sessions.merge(events, gap=240)
+
+
+def _crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII string; crc_table.c holds the 256 steps."""
+    letters = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    step = "xor(a >> 8, c[CAST((xor(a, b) & 255) + 1 AS BIGINT)])"
+    return f"xor(list_reduce({letters}, lambda a, b: {step}, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+OP13_SQL = f"""
+WITH crc_table AS (
+    SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END, x)) AS c
+), r AS (
+    SELECT conv_id AS v, turn AS t, {_crc32_sql("CAST(conv_id AS VARCHAR)")} AS c1, {_crc32_sql("conv_id || ':' || turn")} AS h
+    FROM conversations, crc_table WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), e AS (
+    SELECT CAST(2 * floor(v / 8) + c1 % 2 AS BIGINT) AS u, (c1 // 2) % 7200 + 300 * t + h % 600 AS s, h FROM r
+), k AS (
+    SELECT u, s, h, CAST(floor(s / 1800) AS BIGINT) + CASE WHEN (h // 600) % 5 = 0 THEN (h // 600) % 4 ELSE 0 END AS b FROM e
+), f AS (
+    SELECT k.u, x.b AS now, k.s, k.h, k.b,
+        CASE WHEN k.s - lag(k.s) OVER (PARTITION BY k.u, x.b ORDER BY k.s) <= 240 THEN 0 ELSE 1 END AS cut
+    FROM k JOIN (SELECT DISTINCT u, b FROM k) x ON x.u = k.u AND k.b <= x.b
+), g AS (
+    SELECT *, sum(cut) OVER (PARTITION BY u, now ORDER BY s ROWS UNBOUNDED PRECEDING) AS n FROM f
+), v AS (
+    SELECT u, now AS b, min(s) AS lo, max(s) AS hi, count(*) AS n_events, count(*) FILTER (b = now) AS n_new, sum(h) AS h_sum
+    FROM g GROUP BY u, now, n HAVING count(*) FILTER (b = now) > 0
+), o AS (
+    SELECT v.u, v.b, v.lo, w.b AS rb, w.lo AS rlo, row_number() OVER (PARTITION BY v.u, v.b, v.lo ORDER BY w.b) AS first
+    FROM v JOIN v w ON w.u = v.u AND w.b > v.b AND w.lo <= v.lo AND w.hi >= v.hi
+), p AS (
+    SELECT * FROM o WHERE first = 1
+), q AS (
+    SELECT u, rb, rlo, count(*) AS n FROM p GROUP BY u, rb, rlo
+)
+SELECT v.u AS "user", v.b AS batch, v.lo AS start_s, v.hi AS end_s, v.n_events, v.n_new, coalesce(q.n, 0) AS n_retracted,
+    CAST(v.h_sum AS BIGINT) AS h_sum, p.rb AS retracted_batch, p.rlo AS retracted_start_s
+FROM v LEFT JOIN p ON p.u = v.u AND p.b = v.b AND p.lo = v.lo LEFT JOIN q ON q.u = v.u AND q.rb = v.b AND q.rlo = v.lo
+"""
+
+
 def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -174,6 +222,7 @@ _QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_set_join": op10_set_join,
+    "op13_sessions": op13_sessions,
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _registered(query) for name, query in _QUERIES.items()}
-ORACLE = {"op3_line_dedup": OP3_SQL, "op6_near_vectors": OP6_SQL, "op7_substrings": OP7_SQL, "op8_warc": OP8_SQL, "op10_set_join": OP10_SQL}
+ORACLE = {"op3_line_dedup": OP3_SQL, "op6_near_vectors": OP6_SQL, "op7_substrings": OP7_SQL, "op8_warc": OP8_SQL, "op10_set_join": OP10_SQL, "op13_sessions": OP13_SQL}
