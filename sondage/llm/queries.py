@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, line_dedup, lm_score, near_vectors, packing, quality, sessions, set_join, substrings, warc
+from . import byte_bpe, html_text, line_dedup, lm_score, near_vectors, packing, piece_bpe, quality, sessions, set_join, substrings, warc
 from .common import materialise, small_batches, table, words_of
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -155,6 +156,17 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS compon
 """
 
 
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = piece_bpe.decode(piece_bpe.encode(docs, PIECES).select("doc_id", "ids"), PIECES)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op13_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("v"), F.col("turn").cast("long").alias("t")).dropna()
     hashed = turns.select("v", "t", F.crc32(F.col("v").cast("string")).alias("c"), F.crc32(F.concat_ws(":", "v", "t")).alias("h"))
@@ -222,6 +234,7 @@ _QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_set_join": op10_set_join,
+    "op12_piece_bpe": op12_piece_bpe,
     "op13_sessions": op13_sessions,
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _registered(query) for name, query in _QUERIES.items()}
