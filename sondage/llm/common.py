@@ -36,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, a lost executor costs nothing."""
+def materialise(df: DataFrame, name: str = "table", **options: object) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, a lost executor costs nothing. options are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._written_to = path
     return made

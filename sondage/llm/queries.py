@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, line_dedup, lm_score, near_vectors, packing, piece_bpe, quality, sessions, set_join, substrings, warc
+from . import byte_bpe, html_text, line_dedup, lm_score, near_vectors, packing, piece_bpe, quality, ranked, sessions, set_join, substrings, warc
 from .common import materialise, small_batches, table, words_of
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -156,6 +156,38 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS compon
 """
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents WHERE text IS NOT NULL
+), z AS (
+    SELECT count(*) AS n_all, CAST(sum(len(w)) AS BIGINT) AS l_all FROM d WHERE len(w) > 0
+), q AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark
+), qt AS (
+    SELECT item_id, t, count(*) AS times FROM q GROUP BY item_id, t
+), p AS (
+    SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d
+), f AS (
+    SELECT doc_id, n, t, count(*) AS tf FROM p WHERE t IN (SELECT t FROM qt) GROUP BY doc_id, n, t
+), wt AS (
+    SELECT t, CAST(floor(1000 * ln((2 * any_value(n_all) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, z GROUP BY t
+), i AS (
+    SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_all) // l_all))) AS impact FROM f, z
+), s AS (
+    SELECT item_id, doc_id, CAST(sum(times * w * impact) AS BIGINT) AS score FROM qt JOIN wt USING (t) JOIN i USING (t) GROUP BY item_id, doc_id
+), r AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = piece_bpe.decode(piece_bpe.encode(docs, PIECES).select("doc_id", "ids"), PIECES)
@@ -234,8 +266,9 @@ _QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_set_join": op10_set_join,
+    "op11_ranked_search": op11_ranked_search,
     "op12_piece_bpe": op12_piece_bpe,
     "op13_sessions": op13_sessions,
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _registered(query) for name, query in _QUERIES.items()}
-ORACLE = {"op3_line_dedup": OP3_SQL, "op6_near_vectors": OP6_SQL, "op7_substrings": OP7_SQL, "op8_warc": OP8_SQL, "op10_set_join": OP10_SQL, "op13_sessions": OP13_SQL}
+ORACLE = {"op3_line_dedup": OP3_SQL, "op6_near_vectors": OP6_SQL, "op7_substrings": OP7_SQL, "op8_warc": OP8_SQL, "op10_set_join": OP10_SQL, "op11_ranked_search": OP11_SQL, "op13_sessions": OP13_SQL}
