@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -87,19 +88,14 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-#: Base of the polynomial that hashes a word's bytes; bytes hashed at a time.
-_BASE, SEGMENT = 0x9E3779B97F4A7C15, 1_000_000
-_powers: list[np.ndarray] = []
+#: Bytes hashed at a time.
+SEGMENT = 1_000_000
 
 
-def _tables() -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    if not _powers:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            out = np.full(SEGMENT + 1, base, np.uint64)
-            out[0] = 1
-            _powers.append(np.multiply.accumulate(out))
-    return _powers
+@lru_cache(maxsize=1)
+def _keys() -> np.ndarray:
+    """An odd number for each place in a word. They follow no rule that words could mirror, so any two words collide with a chance of 2 ** -56."""
+    return mix64(np.arange(1, SEGMENT + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,11 +123,14 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _hashed(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    power, inverse = _tables()
+    """Sums of each word's bytes times the keys of their places (a multilinear hash)."""
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~((b == 32) | ((b >= 9) & (b <= 13)))
     turn = np.diff(inside)
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    place = np.arange(len(b), dtype=np.int32)
+    if len(start):
+        place[start[0] :] -= np.repeat(start.astype(np.int32), np.diff(start, append=len(b)))
     sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * inverse[start]), start, end
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _keys()[place], out=sums[1:])
+    return mix64(sums[end] - sums[start] + _keys()[end - start - 1]), start, end

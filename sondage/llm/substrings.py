@@ -6,7 +6,7 @@ no size bound, so the corpus is first thinned without loss: every window has a
 minimizer (the least hashed 5-gram in it), and windows whose minimizer, and
 then whose own hash, occurs once cannot repeat. Both tests are bitmaps of
 bounded size that never miss a repeat. What is left are runs of windows with the
-same minimizer. Each distinct run goes, with its smallest document, to the
+same minimizer, named by 128 bits of their bytes. Each distinct run goes, with its smallest document, to the
 shard of its minimizer, where equal windows always meet. A shard's suffix
 automaton, built over the words of its runs, holds in each state the smallest
 document that its strings start in; the shard's runs are streamed through it,
@@ -27,10 +27,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,32 +89,11 @@ class Block:
         least = sliding_min(mix64(rolled(h, gram)), window - gram + 1)[: len(whole)]
         self.word = np.flatnonzero(own)
         self.doc, self.window, self.least = doc[: len(whole)][own], mix64(whole[own]), least[own]
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(len(h))[0])])
-
-    def hashes(self, word: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Hashes of n words from each of the words on."""
-        inverse = _powers(len(self.sums))[1]
-        return mix64((self.sums[word + n] - self.sums[word]) * inverse[word] + n.astype(np.uint64))
 
     def words(self, word: int, n: int) -> bytes:
         return b" ".join(self.data[self.start[word] : self.end[word + n - 1]].split())
 
 
-@lru_cache(maxsize=2)
-def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return tuple(out)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = _power_table(1 << max(20, n.bit_length()))
-    return a[:n], b[:n]
-
-
 def blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[Block]:
     """Blocks of about BLOCK_BYTES; the last column of a batch is the text. Nulls are left out."""
     rows, texts, size = [], [], 0
@@ -223,10 +202,10 @@ class Automaton:
 def _shard(window: int):
     def run(t: pa.Table) -> pa.Table:
         least: dict[bytes, int] = {}
-        name: dict[bytes, int] = {}
-        for run_, doc, text in zip(t.column("run").to_pylist(), t.column("doc").to_pylist(), t.column("words").to_pylist(), strict=True):
+        name: dict[bytes, tuple[int, int]] = {}
+        for *run_, doc, text in zip(t.column("run").to_pylist(), t.column("run2").to_pylist(), t.column("doc").to_pylist(), t.column("words").to_pylist(), strict=True):
             least[text] = min(doc, least.get(text, doc))
-            name[text] = run_
+            name[text] = tuple(run_)
         automaton = Automaton()
         ids: dict[bytes, int] = {}
         split = {text: [ids.setdefault(w, len(ids)) for w in text.split()] for text in least}
@@ -234,7 +213,8 @@ def _shard(window: int):
             automaton.add(split[text], doc)
         automaton.close()
         owners = [automaton.owners(split[text], window) for text in least]
-        return pa.table({"run": pa.array([name[x] for x in least], pa.int64()), "owners": pa.array(owners, pa.list_(pa.int64()))})
+        runs = (pa.array([name[x][i] for x in least], pa.int64()) for i in (0, 1))
+        return pa.table({**dict(zip(("run", "run2"), runs, strict=True)), "owners": pa.array(owners, pa.list_(pa.int64()))})
 
     return run
 
@@ -267,29 +247,30 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
             new[1:] = (np.diff(hit) != 1) | (b.least[hit][1:] != b.least[hit][:-1]) | (b.doc[hit][1:] != b.doc[hit][:-1])
             head = np.flatnonzero(new)
             at, n, doc = b.word[hit[head]], np.diff(head, append=len(hit)) + window - 1, b.doc[hit[head]]
-            names = b.hashes(at, n).view(np.int64)
+            texts = [b.words(*x) for x in zip(at.tolist(), n.tolist(), strict=True)]
+            names = [xxhash.xxh3_128_intdigest(x) for x in texts]
             ids, marks = (np.array([r[i] for r in b.rows], np.int64)[doc] for i in (0, 1))
             if len(sent) > MEMO:
                 sent.clear()
             own: list[bytes | None] = []
-            for i, (h, d) in enumerate(zip(names.tolist(), ids.tolist(), strict=True)):
+            for x, h, d in zip(texts, names, ids.tolist(), strict=True):
                 known = sent.get(h)
                 if known is None or d < known:
                     sent[h] = d
-                    own.append(b.words(at[i], n[i]))
+                    own.append(x)
                 else:
                     own.append(None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array(ids), pa.array(marks), pa.array((at - b.head[doc]).astype(np.int32)), pa.array(own, pa.binary()), pa.array(b.least[hit[head]].view(np.int64))],
-                ["run", "doc", "mark", "at", "words", "least"],
+                [*(pa.array([(h >> at_ & (1 << 64) - 1) - (1 << 63) for h in names], pa.int64()) for at_ in (64, 0)), pa.array(ids), pa.array(marks), pa.array((at - b.head[doc]).astype(np.int32)), pa.array(own, pa.binary()), pa.array(b.least[hit[head]].view(np.int64))],
+                ["run", "run2", "doc", "mark", "at", "words", "least"],
             )
 
-    found = materialise(rows.mapInArrow(runs, "run long, doc long, mark long, at int, words binary, least long"), "runs")
+    found = materialise(rows.mapInArrow(runs, "run long, run2 long, doc long, mark long, at int, words binary, least long"), "runs")
     sent = found.where("words is not null")
     shards = max(1, sent.count() // PER_SHARD)
-    first = sent.select("run", "doc", "words", F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_shard(window), "run long, owners array<bigint>")
+    first = sent.select("run", "run2", "doc", "words", F.pmod(F.xxhash64("least"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_shard(window), "run long, run2 long, owners array<bigint>")
     first = materialise(first, "owners")
-    met = found.select("run", "doc", "mark", "at").join(first, "run")
+    met = found.select("run", "run2", "doc", "mark", "at").join(first, ["run", "run2"])
     starts = F.filter(F.transform("owners", lambda x, i: F.when(x < F.col("doc"), F.col("at") + i)), lambda x: x.isNotNull())
     return met.select("doc", "mark", starts.alias("starts")).where(F.size("starts") > 0).groupBy("doc", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 

@@ -79,6 +79,19 @@ def test_word_spans():
     assert len(word_spans(b"")[0]) == len(word_spans(b" \n")[0]) == 0
 
 
+def thue_morse(n, a, b):
+    """Two words (or texts) that every polynomial modulo 2 ** 64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 8192])
+def test_words_that_polynomials_confuse(n):
+    one, other = ("".join(x) for x in thue_morse(n, "a", "b"))
+    h, _, _ = word_spans(f"{one} {other} {one}".encode())
+    assert h[0] == h[2] != h[1]
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5200)] + [(None, 1), (7, 7)]
@@ -448,6 +461,19 @@ def test_passages(docs, none, monkeypatch):
     assert substrings.dedup(none).count() == 0
 
 
+def test_passages_of_long_and_confusing_words(spark):
+    """Long words and long runs that a polynomial hash can't tell apart, and a very long text, through Spark."""
+    one, other = ("".join(x) for x in thue_morse(2048, "a", "b"))
+    run, twin = (" ".join(x) for x in thue_morse(2048, "yes", "no"))
+    tail = prose(12, 31)
+    texts = [f"{one} {tail}", f"{other} {tail}", f"{one} {tail}", run, twin, run, prose(60_000, 32), "x " + prose(60_000, 32)]
+    rows = list(enumerate(texts))
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    found = sorted((r["doc_id"], r["n_words"], r["n_removed"], " ".join(words(r["text"]))) for r in got.collect())
+    want = plain_removed(rows, 13)
+    assert found == want and [x[2] for x in want[:3]] == [0, 0, 13]
+
+
 def test_automaton_against_plain_search():
     r = random.Random(9)
     for _ in range(60):
@@ -619,6 +645,16 @@ def test_sets(spark, n, percent, monkeypatch):
     assert sorted((tuple(r) for r in got), key=key) == sorted(plain_sets(rows, n, percent), key=key)
 
 
+def test_sets_with_long_and_confusing_words(spark):
+    """Twelve of thirteen shingles in common would link at 0.9, eleven don't."""
+    one, other = ("".join(x) for x in thue_morse(2048, "a", "b"))
+    rest = " ".join(f"w{i}" for i in range(13))
+    long = prose(60_000, 41)
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one} {rest}"), (4, long), (5, long + " end")]
+    got = set_join.join(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=90)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 4)]
+
+
 def test_sets_of_an_empty_table(none):
     assert set_join.join(none).count() == 0 and set_join.dedup(none).count() == 0
 
