@@ -3,24 +3,29 @@
 Every page is put in the order of host and URL path and paired with the page
 around it whose path has most in common with its own. The text lines of the two,
 menus and all, are aligned by longest common subsequence, and the shared lines
-are deleted. Copies and near copies say nothing about what a site repeats, so a
-page that shares the longest line of the other is passed over for the next.
+are deleted. Copies and near copies say nothing about what a site repeats, so
+neighbours with the same longest line are one run, for which its first page
+stands, and a page that shares the longest line of the other is passed over for
+the next, as far out as the host goes.
 
 Markup is the second judge. It takes from what differencing leaves the lines of
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments,
 which may differ from page to page, and it stands up for the lines of an article
 or main element, which two articles may share (a quotation, a shared passage).
-Within an article a block is ruled out by its element or by a class that is
-nothing but one of WORDS; a paragraph, or a class that only contains one of
-them, leaves its lines in doubt, and differencing decides. Where there is no
-article or main element, differencing decides about all lines that markup
-doesn't rule out. A page left without any line keeps those in question.
+A line is what stands between two block elements. Within an article a part is
+ruled out by its element, or by a class or id that is made of STRONG words and
+fillers, unless it holds most of the article; of WEAK words, where a third of it
+is links. Other parts with such a word in a class leave their lines in doubt,
+and differencing decides. Where there is no article or main element,
+differencing decides about all lines that markup doesn't rule out. A page left
+without any line keeps those in question.
 
 Null and empty pages have an empty text. Null URLs are one host. Repeated rows
-are returned alike; pages of equal paths are ordered by id. An empty table gives
-an empty one. Unclosed elements and tags cut off at the end of a page are
-tolerated. Time is in proportion to a page's length (lines: times a logarithm),
-whatever is in it. Other columns aren't read.
+are returned alike; pages of equal paths are ordered by a hash of the row. An
+empty table gives an empty one. Unclosed elements and tags cut off at the end of
+a page are tolerated. Parsing takes time in proportion to a page's length,
+whatever is in it; aligning lines that recur very often takes the product of the
+two pages' lines, by 64 at a time. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -50,18 +56,27 @@ BLOCKS = {
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table",
     "tbody", "tfoot", "thead", "tr", "ul",
 }
-WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie",
-    "cookies", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination",
-    "popup", "promo", "recommended", "related", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+STRONG = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
+    "disqus", "footer", "gdpr", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "pagination", "popup", "respond", "sidebar", "signup",
+    "sponsor", "sponsored", "subscribe", "toolbar",
+}
+WEAK = {"banner", "login", "modal", "notice", "promo", "recommended", "related", "share", "sharing", "social", "widget"}
+WORDS = STRONG | WEAK
+# Words that say where or how large a part is, and nothing of what it is.
+FILLERS = {
+    "area", "bar", "block", "body", "bottom", "box", "container", "content", "inner", "item", "left", "list", "main", "outer", "page", "panel", "post", "reader",
+    "right", "section", "site", "slot", "top", "unit", "user", "wrap", "wrapper",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"}
 MAIN_WORDS = {"articlebody"}
 
-#: Pages of a chunk in which neighbours are compared, and pages on either side of one that are considered.
-CHUNK, REACH = 256, 6
-#: Matching places of two pages up to which any of equal lines may be aligned; beyond, the first with the first, the second with the second.
-MATCHES = 200_000
+#: Runs of pages of a chunk in which neighbours are compared, runs on either side that are considered in the first round, growth of both from round to round.
+CHUNK, REACH, WIDER = 256, 6, 8
+#: Matching places of two pages up to which they are aligned by them; beyond, by bits of integers. Bits of a table that is kept whole.
+MATCHES, TABLE = 200_000, 1 << 25
+#: A named part is furniture if links make up this share of it; if it holds more than half of the main text and this much, it isn't.
+LINKED, LARGE = 1 / 3, 500
 #: What markup says of a line: in the main text, open, in doubt, ruled out.
 MAIN, OPEN, DOUBT, OUT = range(4)
 
@@ -72,8 +87,22 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _named(value: str) -> str:
+    """What a class or id says of a part: 'strong' or 'weak' if one of its names is nothing but such words, 'doubt' if it holds one, else ''."""
+    found = ""
+    for name in value.split():
+        parts = {x for x in _SPLIT.split(_CAMEL.sub("-", name).lower()) if x}
+        if met := parts & WORDS:
+            if parts <= WORDS | FILLERS:
+                if met & STRONG:
+                    return "strong"
+                found = "weak"
+            found = found or "doubt"
+    return found
+
+
 def _kind(tag: str, attributes: str, inside: bool) -> str:
-    """'drop', 'main', 'doubt' or '' for an element; inside: whether it is in the main text."""
+    """'drop', 'main', 'strong', 'weak', 'doubt' or '' for an element; inside: whether it is in the main text."""
     if tag in DROPPED or (tag == "header" and not inside):
         return "drop"
     kind = "main" if tag in ("article", "main") else ""
@@ -86,13 +115,11 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
                 kind = "main" if value.lower() == "main" else kind
             elif low == "itemprop":
                 kind = "main" if value.lower() in MAIN_WORDS else kind
-            elif tag not in ("body", "html", "article", "main"):
-                if not inside and WORDS.intersection(_SPLIT.split(_CAMEL.sub("-", value).lower())):
+            elif tag not in ("body", "html", "article", "main") and (said := _named(value)):
+                if not inside and said in ("strong", "doubt"):
                     return "drop"
-                if inside and tag != "p" and WORDS.intersection(value.lower().split()):
-                    return "drop"
-                if inside and WORDS.intersection(_SPLIT.split(_CAMEL.sub("-", value).lower())):
-                    kind = kind or "doubt"
+                if kind in ("", "doubt", "weak"):
+                    kind = said if said == "strong" or kind != "weak" else kind
     return kind
 
 
@@ -104,12 +131,23 @@ def lines(page: str) -> list[tuple[int, str]]:
     opened: Counter[str] = Counter()
     kinds: Counter[str] = Counter()
     at, end = 0, len(page)
+    #: Outermost named parts: what the name says, characters and those of links; the part that each line is in; characters of links not yet in a line.
+    parts: list[list] = []
+    part_of: list[int] = []
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if held:
             if line := " ".join(_html.unescape("".join(held)).split()):
                 found.append((OUT if kinds["drop"] else OPEN if not kinds["main"] else DOUBT if kinds["doubt"] else MAIN, line))
+                named = kinds["strong"] or kinds["weak"]
+                part_of.append(len(parts) - 1 if named else -1)
+                if named:
+                    parts[-1][1] += len(line)
+                    parts[-1][2] += min(linked, len(line))
             held.clear()
+        linked = 0
 
     while at < end:
         m = _MARKUP.search(page, at)
@@ -118,6 +156,8 @@ def lines(page: str) -> list[tuple[int, str]]:
             stop = cut.start()
         if stop > at:
             held.append(page[at:stop])
+            if opened["a"]:
+                linked += stop - at
         if not m:
             break
         at = m.end()
@@ -131,14 +171,15 @@ def lines(page: str) -> list[tuple[int, str]]:
             if tag in BLOCKS:
                 flush()
             if opened[tag]:
-                flush()  # what is closed along with it may change what markup says
+                if any(kind for kind in _closed(stack, tag)):
+                    flush()  # what is closed changes what markup says
                 while True:
                     name, kind = stack.pop()
                     opened[name] -= 1
                     kinds[kind] -= 1
                     if name == tag:
                         break
-            elif tag in ("br", "td", "th"):
+            if tag in ("br", "td", "th"):
                 held.append(" ")
             continue
         if tag in RAW:
@@ -157,11 +198,31 @@ def lines(page: str) -> list[tuple[int, str]]:
         kind = _kind(tag, m[3], kinds["main"] > 0)
         if tag in BLOCKS or kind:
             flush()
+        if kind in ("strong", "weak") and not kinds["strong"] and not kinds["weak"]:
+            parts.append([kind, 0, 0])
         stack.append((tag, kind))
         opened[tag] += 1
         kinds[kind] += 1
     flush()
-    return found
+    return _judged(found, parts, part_of) if parts else found
+
+
+def _closed(stack: list[tuple[str, str]], tag: str) -> Iterator[str]:
+    """Kinds of the elements that the end of a tag closes."""
+    for name, kind in reversed(stack):
+        yield kind
+        if name == tag:
+            return
+
+
+def _judged(found: list[tuple[int, str]], parts: list[list], part_of: list[int]) -> list[tuple[int, str]]:
+    """Lines of named parts are ruled out or in doubt, by name, share of links and size."""
+    inside = sum(len(line) for place, line in found if place in (MAIN, DOUBT)) or sum(len(line) for place, line in found if place == OPEN)
+    said = []
+    for kind, size, links in parts:
+        bound = kind == "strong" or links >= LINKED * size
+        said.append(DOUBT if not bound or (2 * size > inside and size >= LARGE and links < LINKED * size) else OUT)
+    return [(place if i < 0 or place == OUT else OUT if said[i] == OUT else DOUBT if place != OPEN else OPEN, line) for (place, line), i in zip(found, part_of, strict=True)]
 
 
 def in_question(places: list[int]) -> int:
@@ -189,7 +250,7 @@ def common_lines(a: list, b: list) -> set[int]:
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     often = Counter(b)
     if sum(often[x] for x in a) > MATCHES:
-        a, b = _numbered_lines(a), _numbered_lines(b)
+        return out.union(i + head for i in _aligned(a, b))
     where: dict = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
@@ -211,12 +272,48 @@ def common_lines(a: list, b: list) -> set[int]:
     return out
 
 
-def _numbered_lines(x: list) -> list[tuple]:
-    seen: Counter = Counter()
-    out = []
-    for line in x:
-        out.append((line, seen[line]))
-        seen[line] += 1
+def _rows(a: list, b: list) -> Iterator[int]:
+    """For each beginning of a, an integer whose zeros are the places of b at which the longest common subsequence grows."""
+    places: dict = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        met = row & places.get(x, 0)
+        row = (row + met | row - met) & full
+        yield row
+
+
+def _lengths(row: int, n: int) -> np.ndarray:
+    """Length of the longest common subsequence with each beginning of b."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _aligned(a: list, b: list, at: int = 0) -> list[int]:
+    """Places in a, counted from at, of a longest common subsequence of a and b: from a table of bits, or by halves of a where that is too large."""
+    if not a or not b:
+        return []
+    if len(a) == 1:
+        return [at] if a[0] in b else []
+    if len(a) * len(b) > TABLE:
+        half = len(a) // 2
+        *_, before = _rows(a[:half], b)
+        *_, after = _rows(a[half:][::-1], b[::-1])
+        cut = int(np.argmax(_lengths(before, len(b)) + _lengths(after, len(b))[::-1]))
+        return _aligned(a[:half], b[:cut], at) + _aligned(a[half:], b[cut:], at + half)
+    rows = [(1 << len(b)) - 1, *_rows(a, b)]
+    i, j, out = len(a), len(b), []
+    have = j - rows[i].bit_count()
+    while have:
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+        elif j - (rows[i - 1] & (1 << j) - 1).bit_count() == have:
+            i -= 1
+        else:
+            out.append(at + i - 1)
+            i, j, have = i - 1, j - 1, have - 1
     return out
 
 
@@ -255,48 +352,83 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, n = TaskContext.get().partitionId(), 0
+    """Numbers the partition's runs of pages of one host that have the longest line in common; the first page of a run stands for it."""
+    part, run, last = TaskContext.get().partitionId(), -1, None
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(range(n, n + b.num_rows), pa.int64())], [*b.schema.names, "part", "n"])
-        n += b.num_rows
-
-
-def _differ(t: pa.Table) -> pa.Table:
-    rows = sorted(t.to_pylist(), key=lambda r: r["at"])
-    marks, shared_, asked_ = [], [], []
-    for i, r in enumerate(rows):
-        if not r["home"]:
-            continue
-        near = [(_alike(rows[j]["path"], r["path"]), -abs(j - i), j) for j in range(max(0, i - REACH), min(len(rows), i + REACH + 1)) if j != i and rows[j]["host"] == r["host"]]
-        shared: set[int] = set()
-        for *_, j in sorted(near, reverse=True):
-            if r["longest"] not in rows[j]["lines"]:
-                shared = common_lines(r["lines"], rows[j]["lines"])
-                break
-        marks.append(r["mark"])
-        shared_.append(sorted(shared))
-        asked_.append(sorted(shared.intersection(r["asked"])))
-    return pa.table({"mark": pa.array(marks, pa.int64()), "shared": pa.array(shared_, pa.list_(pa.int32())), "asked": pa.array(asked_, pa.list_(pa.int32()))})
+        runs, first = [], []
+        for own in zip(b.column("host").to_pylist(), b.column("longest").to_pylist(), strict=True):
+            first.append(own != last)
+            run, last = run + (own != last), own
+            runs.append(run)
+        added = [pa.array([part] * b.num_rows, pa.int32()), pa.array(runs, pa.int64()), pa.array(first, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*b.columns, *added], [*b.schema.names, "part", "run", "first"])
+
+
+def _nearest(reach: int):
+    """For each run that is at home in a chunk: the run of the nearest URL that lacks its longest line, and whether one may lie further away."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["at"])
+        out = []
+        for i, r in enumerate(rows):
+            if not r["home"]:
+                continue
+            lo, hi = max(0, i - reach), min(len(rows) - 1, i + reach)
+            around = [j for j in range(lo, hi + 1) if j != i and rows[j]["host"] == r["host"]]
+            near = sorted(((_alike(rows[j]["path"], r["path"]), -abs(j - i), j) for j in around), reverse=True)
+            found = next((rows[j]["at"] for *_, j in near if r["longest"] not in rows[j]["lines"]), None)
+            edge = any(abs(j - i) == reach for j in around)
+            out.append((r["at"], found, found is None and edge))
+        return pa.table({n: pa.array([x[k] for x in out], kind) for k, (n, kind) in enumerate((("at", pa.int64()), ("other", pa.int64()), ("further", pa.bool_())))})
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of mark, lines, asked, other (the lines of the page of the nearest URL): mark, shared, asked."""
+    for b in batches:
+        out = []
+        for mark, own, asked, other in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found = common_lines(own, other)
+            out.append((mark, sorted(found), sorted(found.intersection(asked))))
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["mark", "shared", "asked"])
 
 
 def difference(skeletons: DataFrame) -> DataFrame:
-    """(mark, shared, asked) of every page: places of the lines it shares with the page of the nearest URL, and those of them in question."""
-    order = ["host", "path", "mark"]
+    """(mark, shared, asked) of every page that differs from another of its host: places of the lines it shares with the page of the nearest URL, and
+    those of them in question."""
+    spark, order = skeletons.sparkSession, ["host", "path", "mark"]
     kept = skeletons.repartitionByRange(*order).sortWithinPartitions(*order)
-    kept = materialise(kept.mapInArrow(_numbered, f"{_SKELETON}, part int, n long"), "ordered")
-    before, total = {}, 0
-    for r in kept.groupBy("part").count().orderBy("part").collect():  # a row for each partition
-        before[r["part"]], total = total, total + r["count"]
-    if not total:
-        return kept.select("mark", F.array().cast("array<int>").alias("shared"), "asked")
-    start = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-    placed = kept.withColumn("at", start[F.col("part")] + F.col("n"))
-    chunk, rest = F.floor(F.col("at") / CHUNK).cast("long"), F.col("at") % CHUNK
-    own = F.array(F.struct(chunk.alias("chunk"), F.lit(True).alias("home")))
-    guest = lambda here, where: F.when(here, F.array(F.struct(where.alias("chunk"), F.lit(False).alias("home")))).otherwise(F.array().cast("array<struct<chunk:bigint,home:boolean>>"))
-    dealt = placed.select("*", F.explode(F.concat(own, guest(rest < REACH, chunk - 1), guest(rest >= CHUNK - REACH, chunk + 1))).alias("to"))
-    dealt = dealt.select("mark", "host", "path", "lines", "asked", "longest", "at", F.col("to.chunk").alias("chunk"), F.col("to.home").alias("home"))
-    return dealt.groupBy("chunk").applyInArrow(_differ, "mark long, shared array<int>, asked array<int>")
+    kept = materialise(kept.mapInArrow(_numbered, f"{_SKELETON}, part int, run long, first boolean"), "ordered")
+    before, total = [], 0
+    for r in kept.groupBy("part").agg((F.max("run") + 1).alias("runs")).orderBy("part").collect():  # a row for each partition
+        before.append((r["part"], total))
+        total += r["runs"]
+    starts = spark.createDataFrame(before, "part int, start long")
+    placed = kept.join(starts, "part").withColumn("at", F.col("start") + F.col("run"))
+    runs = materialise(placed.where("first").select("at", "host", "path", "lines", "longest"), "runs")
+    open_, found, reach, size = runs, None, REACH, CHUNK
+    while True:
+        chunk, rest = F.floor(F.col("at") / size).cast("long"), F.col("at") % size
+        home = F.struct(chunk.alias("chunk"), F.lit(True).alias("home"))
+        guest = lambda here, where: F.when(here, F.struct(where.alias("chunk"), F.lit(False).alias("home")))
+        to = F.filter(F.array(home, guest(rest < reach, chunk - 1), guest(rest >= size - reach, chunk + 1)), lambda x: x.isNotNull())
+        dealt = open_.select("*", F.explode(to).alias("to")).select("at", "host", "path", "lines", "longest", "to.*")
+        near = materialise(dealt.groupBy("chunk").applyInArrow(_nearest(reach), "at long, other long, further boolean"), "near")
+        ready = near.where("other is not null").select("at", "other")
+        found = ready if found is None else found.union(ready)
+        if reach >= total or not near.where("further").limit(1).count():
+            break
+        # Copies all around: hosts with such a run are searched again, further out. Runs that have their page find the same one again.
+        hosts = near.where("further").join(runs.select("at", "host"), "at").select("host").distinct()
+        open_ = runs.join(hosts, "host", "left_semi")
+        reach, size = reach * WIDER, size * WIDER
+    best = found.dropDuplicates(["at"]) if reach > REACH else found
+    lines_of = runs.select(F.col("at").alias("other"), F.col("lines").alias("against"))
+    chosen = best.join(lines_of, "other").select("at", "against")
+    pairs = placed.select("at", "mark", "lines", "asked").join(chosen, "at").select("mark", "lines", "asked", "against")
+    return pairs.mapInArrow(_shared, "mark long, shared array<int>, asked array<int>")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

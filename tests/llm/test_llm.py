@@ -1,6 +1,7 @@
 """Operators on small fixtures against plain versions: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import html.parser
 import itertools
 import math
 import os
@@ -318,8 +319,47 @@ def test_markup_of_hostile_pages_takes_linear_time():
         assert took[1] < 10 * took[0] + 0.2, part
 
 
-def plain_extract(rows, reach):
-    """The query by plain means: every page against those around it, shared lines by a full table."""
+class Reader(html.parser.HTMLParser):
+    """A parser of its own for plain pages: (in the article, in furniture, line) of what stands between block elements."""
+
+    ENDS = set("html body article main div p ul li table tr h1 h2 nav footer aside blockquote".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.found, self.held, self.open = [], "", []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        if self.held.split():
+            tags = [t for t, _ in self.open]
+            bad = any(t in ("nav", "footer", "aside", "script", "style") or k in ("ad", "reader-comments", "cookie-banner") for t, k in self.open)
+            self.found.append(("article" in tags or "main" in tags, bad, " ".join(self.held.split())))
+        self.held = ""
+
+    def handle_starttag(self, tag, attributes):
+        if tag in self.ENDS:
+            self.end()
+        if tag in ("td", "br"):
+            self.held += " "
+        if tag != "br":
+            self.open.append((tag, dict(attributes).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag in self.ENDS:
+            self.end()
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(t in ("script", "style") for t, _ in self.open):
+            self.held += data
+
+
+def plain_extract(rows):
+    """The query by plain means: a parser of its own, every page against all of its host, shared lines by a full table."""
     def shared(a, b):
         size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, j in itertools.product(reversed(range(len(a))), reversed(range(len(b)))):
@@ -340,17 +380,80 @@ def plain_extract(rows, reach):
         host, _, path = url.removeprefix("http://").partition("/")
         return host, "/" + path
 
-    parsed = sorted((*place(url), page_id, html_text.lines(html)) for page_id, url, html in rows)
+    parsed = sorted((*place(url), page_id, Reader(html).found) for page_id, url, html in rows)
+    longest = [next(x for *_, x in own if len(x) == max(len(y) for *_, y in own)) for *_, own in parsed]
+    run = []
+    for i, (host, *_) in enumerate(parsed):
+        run.append(run[-1] if i and (host, longest[i]) == (parsed[i - 1][0], longest[i - 1]) else i)
     out = {}
-    for i, (host, path, page_id, own) in enumerate(parsed):
-        texts = [x for _, x in own]
-        near = [(len(os.path.commonprefix([path, p])), -abs(j - i), j) for j, (h, p, _, _) in enumerate(parsed) if h == host and j != i and abs(j - i) <= reach]
-        longest = next(x for x in texts if len(x) == max(map(len, texts)))
-        other = next((parsed[j][3] for *_, j in sorted(near, reverse=True) if longest not in [x for _, x in parsed[j][3]]), [])
-        out[page_id] = html_text.main_text(own, frozenset(shared(texts, [x for _, x in other])))
+    for i, (host, _, page_id, own) in enumerate(parsed):
+        texts = [x for *_, x in own]
+        path = parsed[run[i]][1]
+        near = [(len(os.path.commonprefix([path, parsed[j][1]])), -abs(j - run[i]), j) for j in sorted(set(run)) if parsed[j][0] == host and j != run[i]]
+        other = next((j for *_, j in sorted(near, reverse=True) if longest[i] not in [x for *_, x in parsed[j][3]]), None)
+        gone = shared(texts, [x for *_, x in parsed[other][3]]) if other is not None else set()
+        main = [x for inside, bad, x in own if inside and not bad]
+        out[page_id] = "\n".join(main or [x for k, (_, bad, x) in enumerate(own) if not bad and k not in gone] or [x for _, bad, x in own if not bad])
     return out
 
 
+def test_lines_are_blocks():
+    """Inline markup, tables, nested blocks and references, against the other parser."""
+    text = lambda page: html_text.main_text(html_text.lines(page))
+    assert text('<p>foo <b>bar</b> baz <a href="x">link</a> end.</p>') == "foo bar baz link end."
+    assert text("H<sub>2</sub>O <i>x<b>y</i>z</b>w") == "H2O xyzw"
+    assert text("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>") == "a b\nc"
+    assert text("<article><p>a <span class=ad>buy</span> b</p></article>") == "a\nb"
+    r = random.Random(8)
+
+    def part(depth):
+        kind = r.choice(["text"] * 4 + ["inline"] * 3 + ["block", "table", "list", "ref"]) if depth else "text"
+        inner = lambda: "".join(part(depth - 1) for _ in range(r.randrange(1, 4)))
+        if kind == "text":
+            return r.choice(["one ", "two", " three\n", "x  y", ""])
+        if kind == "ref":
+            return r.choice(["&amp;", "&#233;", "&nbsp;", "&lt;b&gt;", "&copy"])
+        if kind == "inline":
+            return f"<{(t := r.choice(['b', 'i', 'a', 'span', 'sub']))}>{inner()}</{t}>"
+        if kind == "table":
+            return f"<table><tr><td>{inner()}</td><td>{inner()}</td></tr></table>"
+        if kind == "list":
+            return f"<ul><li>{inner()}</li><li>{inner()}</li></ul>"
+        tag = r.choice(["p", "div", "blockquote", "nav", "aside"])
+        return f"<{tag}{r.choice(['', ' class=ad', ' class=plain'])}>{inner()}</{tag}>"
+
+    for _ in range(800):
+        page = f"<html><body>{part(2)}<article>{part(4)}<h1>T</h1>{part(4)}</article>{part(2)}</body></html>"
+        want = "\n".join(x for inside, bad, x in Reader(page).found if inside and not bad)
+        assert text(page) == want, page
+
+
+def test_parts_are_judged_by_name_links_and_size():
+    def text(inside):
+        return html_text.main_text(html_text.lines(f"<main><p>{prose(30, 1)}</p>{inside}</main>")).split("\n")[1:]
+
+    for name in ("ad-slot", "cookie-banner", "reader-comments", "newsletter-signup", "adSlot"):
+        assert text(f"<div class='{name}'><p>buy this</p></div>") == [], name
+    assert text("<p class=ad>buy</p><p class='comment'>first!</p>") == []
+    assert text("<div class=widget><p>real text</p></div>") == ["real text"]
+    assert text("<div class=widget><p>see <a href=x>other things</a></p></div><div class=related><a>a</a></div>") == []
+    assert text(f"<div class=menu><p>{prose(200, 2)}</p></div>") == [prose(200, 2)]
+    assert text(f"<div class=menu><a>{prose(200, 2)}</a></div>") == []
+
+
+def test_alignment_by_bits_is_as_long_as_by_places(monkeypatch):
+    monkeypatch.setattr(html_text, "TABLE", 200)
+    r = random.Random(12)
+    for _ in range(150):
+        a, b = (r.choices("abcd", k=r.randrange(60)) for _ in range(2))
+        found = html_text._aligned(a, b)
+        assert len(found) == len(set(found)) == len(html_text.common_lines(a, b))
+        rest = iter(b)
+        assert all(a[i] in rest for i in sorted(found))
+    monkeypatch.setattr(html_text, "MATCHES", 0)
+    assert len(html_text.common_lines(["x"] * 3000 + ["y"], ["z"] + ["x"] * 2000 + ["y"])) == 2001
+
+
 def test_html(spark, monkeypatch):
     r = random.Random(5)
     furniture = ["Home", "About us", "All rights reserved", "Read our notice"]
@@ -360,14 +463,19 @@ def test_html(spark, monkeypatch):
         body = [prose(12, 1000 + i), "A saying that articles quote", prose(8, 2000 + i)]
         parts = [f"<p>{x}</p>" for x in [*furniture[:2], *body, *furniture[2:]]]
         if i % 3 == 1:
-            parts = ["<nav><a>Home</a></nav>", "<article>", *(f"<p>{x}</p>" for x in body), "<div class='share-box'>Tell your friends</div>", "</article>", f"<div class=ad>{prose(3, i)}</div>"]
+            parts = ["<nav><a>Home</a></nav>", "<article>", *(f"<p>{x}</p>" for x in body), "<div class='reader-comments'>Tell your friends</div>", "</article>", f"<div class=ad>{prose(3, i)}</div>"]
         if i % 10 == 9 and i >= 39:  # near copies of the page before on the host
             parts = [*parts[:2], *re.findall("<p>.*?</p>", rows[i - 3][2])[2:4], f"<p>{prose(6, 3000 + i)}</p>", *parts[-2:]] if i % 3 != 1 else parts
         rows.append((i, f"http://{host}/{r.choice('abc')}/{i:03d}", "".join(parts)))
+    # A host of copies of one page but for one, far from most of them.
+    rows += [(500 + i, f"http://far.example/a/{i:02d}", f"<p>Menu</p><p>{prose(20, 77)}</p><p>Foot {i}</p>") for i in range(30)]
+    rows.append((600, "http://far.example/b", f"<p>Menu</p><p>{prose(10, 78)}</p><p>Foot 3</p>"))
     monkeypatch.setattr(html_text, "CHUNK", 16)
+    monkeypatch.setattr(html_text, "REACH", 1)
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("mark", F.lit("mine")).withColumn("text", F.lit(1)).repartition(3)
     got = {x["page_id"]: x["text"] for x in html_text.extract(df).collect()}
-    assert got == plain_extract(rows, html_text.REACH)
+    assert got == plain_extract(rows)
+    assert got[501] == f"{prose(20, 77)}\nFoot 1" and got[600] == f"{prose(10, 78)}\nFoot 3"
     assert got[0] == f"{prose(12, 1000)}\n{prose(8, 2000)}" and got[1] == f"{prose(12, 1001)}\nA saying that articles quote\n{prose(8, 2001)}"
 
 
