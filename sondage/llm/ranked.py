@@ -313,7 +313,8 @@ def _search(docs: DataFrame, queries: list[Counter], k: int, visits: Accumulator
     vocabulary = sorted(set().union(*queries))
     width = len(vocabulary)
     counted = materialise(docs.mapInArrow(_counted(send(vocabulary)), "doc_id long, n long, terms array<int>, counts array<int>"), "counted")
-    size = counted.agg(F.count("*"), F.sum("n")).first()
+    indexed = (F.size("terms") > 0) & F.col("doc_id").isNotNull()
+    size = counted.agg(F.count("*"), F.sum("n"), F.count_if(indexed)).first()
     documents, length = size[0], size[1] or 1
     df = np.zeros(width, np.int64)
     for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most a block's terms
@@ -321,8 +322,11 @@ def _search(docs: DataFrame, queries: list[Counter], k: int, visits: Accumulator
     block = _Block(queries, vocabulary)
     block.weigh(documents, df)
 
-    able = counted.where((F.size("terms") > 0) & F.col("doc_id").isNotNull()).withColumn("hash", F.xxhash64("doc_id"))
-    sample = [np.array(r["terms"], np.int64) for r in able.orderBy("hash").limit(SAMPLE).select("terms").collect()]
+    able = counted.where(indexed).withColumn("hash", F.xxhash64("doc_id"))
+    # Cut by hash to somewhat more than the sample first: tasks would else send as many rows each.
+    share = min(1.0, 1.2 * SAMPLE / max(1, size[2]))
+    near = able.where(F.col("hash") <= int(share * ((1 << 64) - 1)) - (1 << 63)).orderBy("hash").limit(SAMPLE)
+    sample = [np.array(r["terms"], np.int64) for r in near.select("terms").collect()]
     tree = Bisection(sample, width)
     share = np.bincount(tree.leaves(np.concatenate([*sample, np.zeros(0, np.int64)]), np.array([len(s) for s in sample], np.int64)), minlength=1 << DEPTH)
     # A share is estimated; the 4 is for leaves that the sample hardly meets.

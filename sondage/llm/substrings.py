@@ -158,22 +158,29 @@ class Automaton:
         return made
 
     def add(self, sequence: list, owner: float) -> None:
+        next_, link, length, first, none = self.next, self.link, self.length, self.first, float("inf")
         last = 0
         for c in sequence:
-            q = self.next[last].get(c)
+            q = next_[last].get(c)
             if q is not None:
-                last = q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
+                last = q if length[q] == length[last] + 1 else self._split(last, c, q)
             else:
-                p, made = last, self._state({}, 0, self.length[last] + 1)
-                while p >= 0 and c not in self.next[p]:
-                    self.next[p][c] = made
-                    p = self.link[p]
-                if p >= 0:
-                    q = self.next[p][c]
-                    self.link[made] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
+                made, p = len(length), last
+                next_.append({})
+                link.append(0)
+                length.append(length[last] + 1)
+                first.append(none)
+                while p >= 0:
+                    moves = next_[p]
+                    if c in moves:
+                        q = moves[c]
+                        link[made] = q if length[q] == length[p] + 1 else self._split(p, c, q)
+                        break
+                    moves[c] = made
+                    p = link[p]
                 last = made
-            if owner < self.first[last]:
-                self.first[last] = owner
+            if owner < first[last]:
+                first[last] = owner
 
     def close(self) -> None:
         """After the last add(): owners are handed down the suffix links."""
@@ -184,18 +191,21 @@ class Automaton:
 
     def owners(self, sequence: list, window: int) -> list[float | None]:
         """For each start of a window, the smallest owner of an equal one, or None: from the matching statistics."""
+        next_, link, length, first = self.next, self.link, self.length, self.first
         out, state, matched = [], 0, 0
         for i, c in enumerate(sequence):
-            while state and c not in self.next[state]:
-                state = self.link[state]
-                matched = self.length[state]
-            if c in self.next[state]:
-                state, matched = self.next[state][c], matched + 1
-            while matched >= window and self.length[self.link[state]] >= window:
-                state = self.link[state]
-                matched = self.length[state]
+            to = next_[state].get(c)
+            while to is None and state:
+                state = link[state]
+                matched = length[state]
+                to = next_[state].get(c)
+            if to is not None:
+                state, matched = to, matched + 1
+            while matched >= window and length[link[state]] >= window:
+                state = link[state]
+                matched = length[state]
             if i >= window - 1:
-                out.append(self.first[state] if matched >= window else None)
+                out.append(first[state] if matched >= window else None)
         return out
 
 
