@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions.text import ACCENTED, PLAIN
 
-from . import bm25
+from . import bm25, segments
 
 K = 60.0
 PATH_LIMIT, SUBSTRING_LIMIT, KEYWORD_LIMIT, PHRASE_LIMIT, FUZZY_LIMIT, TEXT_LIMIT, IMAGE_LIMIT, BEST = 20, 30, 400, 500, 50, 200, 50, 3
@@ -68,11 +68,14 @@ def prepared_paths(paths: DataFrame, text: str) -> bm25.Prepared:
     return bm25.Prepared(paths, "path", ["path"], {"any": _counts(text), "all": _all_counts(text), "prefix": _prefix_counts(text), "short": _short_counts(text)})
 
 
-def prepared_chunks(chunks: DataFrame | bm25.Index, text: str) -> bm25.Prepared:
+def prepared_chunks(chunks: DataFrame | bm25.Index | segments.Segments, text: str) -> bm25.Prepared:
     """What the content channels count, in one reading or from an index; they take it in place of the chunks."""
-    if isinstance(chunks, bm25.Index):
+    if isinstance(chunks, bm25.Index | segments.Segments):
         whole = query_tokens(text)
-        return bm25.Stored(chunks, ["path", "chunk_no"], {"keyword": phrases(text), "phrase": [whole] if whole else [], "fuzzy": _fuzzy_prefixes(text)})
+        sought = {"keyword": phrases(text), "phrase": [whole] if whole else [], "fuzzy": _fuzzy_prefixes(text)}
+        if isinstance(chunks, segments.Segments):
+            return segments.Hits(chunks, sought, "keyword", KEYWORD_LIMIT)
+        return bm25.Stored(chunks, ["path", "chunk_no"], sought)
     return bm25.Prepared(chunks, "content", ["path", "chunk_no"], {"keyword": _counts(text), "phrase": _phrase_counts(text), "fuzzy": _fuzzy_counts(text)})
 
 

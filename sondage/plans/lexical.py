@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions import lists
 from sondage.operators import bm25, channels, ranking
+from sondage.operators.segments import Segments
 from sondage.sources import views as V
 from sondage.sources.files import shared_folder
 
@@ -354,6 +355,40 @@ def search_indexed(spark, d):
     return found.select("path", "score", "size", "modified")
 
 
+def _segments(spark, d):
+    return Segments.create(spark, shared_folder(spark, "segments")).upserted(V.chunks(spark, d))
+
+
+@query("l6_block_bounded", V.with_views(chunk_sql(_CW, 400, 10.0), "chunks_v"))
+def l6_blocks(spark, d):
+    """The keyword channel over an index in segments, blocks skipped by their bounds."""
+    return channels.content_keyword(channels.prepared_chunks(_segments(spark, d), CONTENT_TEXT), CONTENT_TEXT)
+
+
+@query("search_segments", full_sql("chunks_v", "files_v", True))
+def search_segments(spark, d):
+    found = search(V.files(spark, d), _segments(spark, d), CONTENT_TEXT + " size:0b-20000b", V.NOW * V.NS)
+    return found.select("path", "score", "size", "modified")
+
+
+_KEPT = """SELECT CASE WHEN doc_id % 5 = 0 THEN 'moved/' || path ELSE path END AS path, chunk_no, content FROM chunks_v WHERE doc_id % 7 <> 0 AND (doc_id % 11 <> 0 OR doc_id % 5 = 0)
+    UNION ALL SELECT path, chunk_no, content FROM chunks_v WHERE doc_id % 11 = 0 AND chunk_no < 2"""
+
+
+@query("m2_segments", V.with_views(f"SELECT * FROM ({bm25_sql('kept_v', 'path, chunk_no', 'content', _CW)}) ORDER BY score DESC, path, chunk_no LIMIT 400", "chunks_v", more={"kept_v": _KEPT}))
+def m2_segments(spark, d):
+    """Upserts, deletes, renames and a compaction of an index in segments, then a search."""
+    c = V.chunks(spark, d)
+    index = Segments.create(spark, shared_folder(spark, "segments"))
+    for i in range(3):
+        index = index.upserted(c.where(f"doc_id % 3 = {i}"))
+    files = V.files(spark, d)
+    index = index.deleted(files.where("doc_id % 7 = 0"))
+    index = index.renamed(files.where("doc_id % 5 = 0").select(F.col("path").alias("old"), F.concat(F.lit("moved/"), "path").alias("new")))
+    index = index.upserted(c.where("doc_id % 11 = 0 AND chunk_no < 2")).compacted(fan=3)
+    return index.best(CONTENT_TEXT.split(), 400)
+
+
 @query("search_with_vectors")
 def search_vectors(spark, d):
     v = V.vectors(spark, d)

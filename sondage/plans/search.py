@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.functions.lists import WEIGHTS
-from sondage.operators import bm25, channels, filters, ranking, vectors
+from sondage.operators import bm25, channels, filters, ranking, segments, vectors
 from sondage.operators.parser import parse
 
 
-def channel_list(files: DataFrame, chunks: DataFrame | bm25.Index, vecs: DataFrame | None, text: str, vector: list[float] | None, w: dict[str, float]) -> tuple[list[tuple[DataFrame, float]], list[DataFrame], DataFrame]:
+def channel_list(files: DataFrame, chunks: DataFrame | bm25.Index | segments.Segments, vecs: DataFrame | None, text: str, vector: list[float] | None, w: dict[str, float]) -> tuple[list[tuple[DataFrame, float]], list[DataFrame], DataFrame]:
     """(weighted channels, content channels, paths whose content matched)."""
     paths, chunks = channels.prepared_paths(files, text), channels.prepared_chunks(chunks, text)
     path_any = channels.path_any(paths, text, w["w_path_fts"])
@@ -32,7 +32,7 @@ def channel_list(files: DataFrame, chunks: DataFrame | bm25.Index, vecs: DataFra
     return [*((c, 1.0) for c in by_path), *content, *near], [c for c, _ in [*content, *near]], matched
 
 
-def search(files: DataFrame, chunks: DataFrame | bm25.Index, raw: str, now_ns: int, vecs: DataFrame | None = None, vector: list[float] | None = None, weights: dict[str, float] | None = None, logits: DataFrame | None = None, prefilter: bool = False) -> DataFrame:
+def search(files: DataFrame, chunks: DataFrame | bm25.Index | segments.Segments, raw: str, now_ns: int, vecs: DataFrame | None = None, vector: list[float] | None = None, weights: dict[str, float] | None = None, logits: DataFrame | None = None, prefilter: bool = False) -> DataFrame:
     """path, score, size, modified, mtime, ctime in the order asked for.
 
     Filters come after ranking, so that a narrow one may leave few rows; with prefilter they come first, which
@@ -43,7 +43,7 @@ def search(files: DataFrame, chunks: DataFrame | bm25.Index, raw: str, now_ns: i
     files = files.select("path", "size", "mtime", "ctime", "atime")
     keep = filters.matching(q, *(F.col(c) for c in ("path", "size", "mtime", "ctime", "atime")))
     if prefilter:
-        if isinstance(chunks, bm25.Index):
+        if isinstance(chunks, bm25.Index | segments.Segments):
             raise ValueError("prefilter needs the chunks, not their index")
         files = files.where(keep)
         chunks = chunks.join(files.select("path"), "path", "left_semi")
