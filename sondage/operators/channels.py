@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sondage.functions.text import ACCENTED, PLAIN
 
 from . import bm25, segments
+from .path_index import PathIndex
 
 K = 60.0
 PATH_LIMIT, SUBSTRING_LIMIT, KEYWORD_LIMIT, PHRASE_LIMIT, FUZZY_LIMIT, TEXT_LIMIT, IMAGE_LIMIT, BEST = 20, 30, 400, 500, 50, 200, 50, 3
@@ -47,12 +48,20 @@ def _all_counts(text: str) -> list:
     return _counts(text) if len(text.split()) > 1 else []
 
 
+def _prefixes(text: str) -> list[str]:
+    return [t for w in text.split() if len(w.encode()) >= 2 for t in query_tokens(w)]
+
+
+def _short_prefixes(text: str) -> list[str]:
+    return [w.lower()[:4] for w in text.split() if len(w.encode()) >= 4]
+
+
 def _prefix_counts(text: str) -> list:
-    return bm25.prefix_counts([t for w in text.split() if len(w.encode()) >= 2 for t in query_tokens(w)])
+    return bm25.prefix_counts(_prefixes(text))
 
 
 def _short_counts(text: str) -> list:
-    return bm25.prefix_counts([w.lower()[:4] for w in text.split() if len(w.encode()) >= 4])
+    return bm25.prefix_counts(_short_prefixes(text))
 
 
 def _phrase_counts(text: str) -> list:
@@ -63,8 +72,11 @@ def _fuzzy_counts(text: str) -> list:
     return bm25.prefix_counts(_fuzzy_prefixes(text))
 
 
-def prepared_paths(paths: DataFrame, text: str) -> bm25.Prepared:
-    """What the path channels count, in one reading; they take it in place of the paths."""
+def prepared_paths(paths: DataFrame | PathIndex, text: str) -> bm25.Prepared:
+    """What the path channels count, in one reading or from an index; they take it in place of the paths."""
+    if isinstance(paths, PathIndex):
+        every = phrases(text) if len(text.split()) > 1 else []
+        return bm25.Stored(paths.words, ["path"], {"any": phrases(text), "all": every, "prefix": _prefixes(text), "short": _short_prefixes(text)})
     return bm25.Prepared(paths, "path", ["path"], {"any": _counts(text), "all": _all_counts(text), "prefix": _prefix_counts(text), "short": _short_counts(text)})
 
 
@@ -101,16 +113,18 @@ def path_short_prefix(paths: DataFrame | bm25.Prepared, text: str, boost: float
     return rrf(top(_score(paths, "short", "path", _short_counts(text), every=True), PATH_LIMIT), boost)
 
 
-def substring_match(paths: DataFrame, text: str, limit: int = SUBSTRING_LIMIT) -> DataFrame:
+def substring_match(paths: DataFrame | PathIndex, text: str, limit: int = SUBSTRING_LIMIT) -> DataFrame:
     """Paths that contain a word of two bytes or more, in path order."""
     words = [w.lower() for w in text.split() if len(w.encode()) >= 2]
+    if isinstance(paths, PathIndex):
+        return paths.holding(words).orderBy("path").limit(limit)
     hit = F.lit(False)
     for w in words:
         hit = hit | F.contains(F.lower("path"), F.lit(w))
     return paths.where(hit).select("path").distinct().orderBy("path").limit(limit)
 
 
-def path_substring(paths: DataFrame, text: str, before: DataFrame, boost: float = 0.75, gate: int = PATH_LIMIT) -> DataFrame:
+def path_substring(paths: DataFrame | PathIndex, text: str, before: DataFrame, boost: float = 0.75, gate: int = PATH_LIMIT) -> DataFrame:
     """Substring hits, if the channels before found fewer than gate paths."""
     found = before.select("path").distinct().agg(F.count("*").alias("_found"))
     hits = substring_match(paths, text).crossJoin(F.broadcast(found)).where(F.col("_found") < gate)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,7 +59,9 @@ def chunks(docs: DataFrame, size: int = 512, overlap: int | None = None) -> Data
 
 
 def snippets(content: str, query: str, most: int, size: int = SNIPPET) -> list[str]:
-    """Up to most windows of size bytes, each around a word of the query that no earlier window covers; the head of the text if no word is found."""
+    """Up to most windows of size bytes, each around a word of the query that no earlier window covers; the head of the text if no word is found.
+
+    A character that an edge of a window cuts is left out of it."""
     data = content.encode()
     if not data or most <= 0:
         return []
@@ -71,6 +74,12 @@ def snippets(content: str, query: str, most: int, size: int = SNIPPET) -> list[s
         while at >= 0:
             places.append(at)
             at = low.find(word, at + len(word))
+    if len(low) != len(data):
+        # Some letters change their length in lower case: places are those of the text itself.
+        sizes = [(len(c.encode()), len(c.lower().encode())) for c in content]
+        starts = [0, *accumulate(n for n, _ in sizes)]
+        of_low = [starts[i] for i, (_, n) in enumerate(sizes) for _ in range(n)]
+        places = [of_low[p] if p < len(of_low) else len(data) for p in places]
     found, covered = [], -1
     for place in sorted(places) or [0]:
         if place >= covered and len(found) < most:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondage.functions import lists
+from sondage.sources.files import written
 
 HALF_LIFE_DAYS, LEAST_VOTES, GAIN = 7.0, 10, 7.0
 FACTORS, BLENDS = [0.7, 0.9, 1.0, 1.1, 1.3], [-0.15, 0.0, 0.15]
@@ -172,11 +173,32 @@ def migrated(stored: DataFrame, key: str, old: float, new: float) -> DataFrame:
     return stored.withColumn("value", F.when((F.col("key") == key) & (F.col("value") == old), new).otherwise(F.col("value")))
 
 
-def nearest_rank(values: DataFrame, by: str, value: str, percent: list[int]) -> DataFrame:
-    """Percentiles by nearest rank: the element at n * p // 100 of the sorted values."""
-    w = Window.partitionBy(by)
-    rows = values.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(value)))
-    return rows.groupBy(by).agg(*(F.max(F.when(F.col("_r") == F.floor(F.col("_n") * p / 100) + 1, F.col(value))).alias(f"p{p}") for p in percent))
+def nearest_rank(values: DataFrame, by: str, value: str, percent: list[int], buckets: int = 1024) -> DataFrame:
+    """Percentiles by nearest rank: the element at n * p // 100 of the sorted values; nulls aren't counted.
+
+    Each round counts the values between two bounds in a histogram and goes on within the bucket that holds the rank, until its values are
+    equal. No group's values are sorted or brought together. Infinite values come first and last, and NaN after them."""
+    kind = values.schema[value].dataType
+    rows = values.where(F.col(value).isNotNull()).select(F.col(by).alias("by"), F.col(value).cast("double").alias("v"))
+    low, high, nan = F.col("v") == float("-inf"), F.col("v") == float("inf"), F.isnan("v")
+    finite = F.when(~(low | high | nan), F.col("v"))
+    sizes = rows.groupBy("by").agg(F.count("*").alias("n"), F.count_if(low).alias("below"), F.count(finite).alias("between"), F.count_if(high).alias("above"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    ranked = sizes.select("*", F.explode(F.array(*map(F.lit, percent))).alias("p")).withColumn("rank", F.floor(F.col("n") * F.col("p") / 100) + 1 - F.col("below"))
+    edge = F.when(F.col("rank") <= 0, float("-inf")).when(F.col("rank") > F.col("between") + F.col("above"), float("nan")).when(F.col("rank") > F.col("between"), float("inf"))
+    state = written(ranked.select("by", "p", "rank", F.coalesce(edge, "lo").alias("lo"), F.coalesce(edge, "hi").alias("hi")), "ranks")
+    while True:
+        open_ = state.where("lo < hi")
+        if not open_.limit(1).count():
+            break
+        met = rows.withColumnRenamed("by", "_by").join(open_, F.col("_by").eqNullSafe(F.col("by"))).where(F.col("v").between(F.col("lo"), F.col("hi")))
+        width = F.col("hi") / 2 - F.col("lo") / 2
+        place = F.floor((F.col("v") / 2 - F.col("lo") / 2) / width * buckets)
+        bucket = F.when(width == 0, (F.col("v") > F.col("lo")).cast("long")).otherwise(F.least(place, F.lit(buckets - 1)))
+        counts = met.groupBy("by", "p", "rank", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        below = F.sum("n").over(Window.partitionBy("by", "p").orderBy("bucket")) - F.col("n")  # over the buckets of a histogram
+        chosen = counts.withColumn("below", below).where((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("n")))
+        state = written(chosen.select("by", "p", (F.col("rank") - F.col("below")).alias("rank"), "lo", "hi").union(state.where("NOT lo < hi")), "ranks")
+    return state.groupBy(F.col("by").alias(by)).agg(*(F.max(F.when(F.col("p") == p, F.col("lo"))).cast(kind).alias(f"p{p}") for p in percent))
 
 
 DEFAULTS = lists.WEIGHTS

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondage.functions import lists
-from sondage.operators import bm25, channels, ranking
+from sondage.operators import bm25, channels, path_index, ranking, typos
 from sondage.operators.segments import Segments
 from sondage.sources import views as V
 from sondage.sources.files import shared_folder
@@ -89,6 +89,26 @@ def l5(spark, d):
     return channels.path_substring(p, "izm", channels.path_any(p, "izm"))
 
 
+def _path_index(spark, d):
+    folder = shared_folder(spark, "paths")
+    path_index.indexed(V.parts(spark, d)).save(folder)
+    return path_index.PathIndex.load(spark, folder)
+
+
+_INDEXED = {
+    "l1_indexed": (path_sql("parts_v", _W, 3.0), channels.path_any), "l2_indexed": (path_sql("parts_v", _W, 4.0, True), channels.path_all),
+    "l3_indexed": (path_sql("parts_v", _P, 1.5), channels.path_prefix), "l4_indexed": (path_sql("parts_v", _S, 1.0, True), channels.path_short_prefix),
+}
+for _name, (_sql, _channel) in _INDEXED.items():
+    query(_name, V.with_views(_sql, "parts_v"))(lambda spark, d, channel=_channel: channel(channels.prepared_paths(_path_index(spark, d), PART_TEXT), PART_TEXT))
+
+
+@query("l5_indexed", V.with_views(rrf_sql("SELECT path, 0.0 AS score FROM (SELECT DISTINCT path FROM parts_v WHERE contains(lower(path), 'izm') ORDER BY path LIMIT 30)", 0.75), "parts_v"))
+def l5_indexed(spark, d):
+    i = _path_index(spark, d)
+    return channels.path_substring(i, "izm", channels.path_any(channels.prepared_paths(i, "izm"), "izm"))
+
+
 @query("l6_content_keyword", V.with_views(chunk_sql(_CW, 400, 10.0), "chunks_v"))
 def l6(spark, d):
     return channels.content_keyword(V.chunks(spark, d), CONTENT_TEXT)
@@ -141,6 +161,11 @@ def f15(spark, d):
     return channels.substring_match(V.parts(spark, d), PART_TEXT)
 
 
+@query("f15_indexed", V.with_views(_SUBSTR, "parts_v"))
+def f15_indexed(spark, d):
+    return channels.substring_match(_path_index(spark, d), PART_TEXT)
+
+
 _BATCH = """SELECT q AS query, path, chunk_no, round(sum(w), 9) AS score FROM (
     SELECT b.q, x.path, x.chunk_no, greatest(ln((n.n - df.df + 0.5) / (df.df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / n.a)) AS w
     FROM (SELECT path, chunk_no, dl, token, count(*) AS f FROM (SELECT path, chunk_no, len(t) AS dl, unnest(t) AS token FROM k) GROUP BY ALL) x
@@ -205,6 +230,21 @@ def r4(spark, d):
     return V.parts(spark, d).select("path", F.round(ranking.fuzzy_boost(F.col("path"), TYPO), 9).alias("boost"))
 
 
+_TYPED = "SELECT DISTINCT left(p_name, 1) || substr(p_name, 3) AS query FROM part"
+_TYPO_BASE = "SELECT path, strlen(name) AS base, list_filter(string_split_regex(lower(name), '[-_. /]+'), lambda n: strlen(n) >= 3) AS names FROM parts_v"
+_TYPO_ASKED = "SELECT query, list_filter(string_split_regex(lower(query), '[-_. /]+'), lambda w: w <> '') AS ws FROM q"
+_TYPO_MEAN = """SELECT query, path, base, coalesce(list_sum(list_transform(list_filter(ws, lambda w: strlen(w) >= 3), lambda w: strlen(w))), 0) AS size,
+    list_sum(list_transform(list_filter(ws, lambda w: strlen(w) >= 3), lambda w: coalesce(list_max(list_transform(names, lambda n: 1 - levenshtein(w, n) / CAST(greatest(length(n), length(w)) AS DOUBLE))), 0.0))) / len(ws) AS mean
+    FROM a, b"""
+
+
+@query("r4_typo_join", V.with_views("SELECT query, path, round(0.15 * mean * least(1.0, CAST(size AS DOUBLE) / base), 9) AS boost FROM m WHERE mean >= 0.55", "parts_v", more={"q": _TYPED, "a": _TYPO_ASKED, "b": _TYPO_BASE, "m": _TYPO_MEAN}))
+def r4_join(spark, d):
+    """Names of parts typed without their second letter, against all file names."""
+    typed = V.table(spark, d, "part").select(F.concat(F.substr("p_name", F.lit(1), F.lit(1)), F.substr("p_name", F.lit(3))).alias("query")).distinct()
+    return typos.fuzzy_boosts(typed, V.parts(spark, d)).withColumn("boost", F.round("boost", 9))
+
+
 _DELTA = f"round(({_filename_sql('path', PART_TEXT.split())} + {_fuzzy_sql('path', PART_TEXT.split())}) * 0.8, 9)"
 _BOOSTED = f"SELECT path, delta, round(score + delta, 9) AS score FROM (SELECT path, score, {_DELTA} AS delta FROM ({_MERGED}))"
 
@@ -367,7 +407,10 @@ def l6_blocks(spark, d):
 
 @query("search_segments", full_sql("chunks_v", "files_v", True))
 def search_segments(spark, d):
-    found = search(V.files(spark, d), _segments(spark, d), CONTENT_TEXT + " size:0b-20000b", V.NOW * V.NS)
+    """The same search over segments of chunks and an index of the paths."""
+    files, folder = V.files(spark, d), shared_folder(spark, "paths")
+    path_index.indexed(files).save(folder)
+    found = search(files, _segments(spark, d), CONTENT_TEXT + " size:0b-20000b", V.NOW * V.NS, paths=path_index.PathIndex.load(spark, folder))
     return found.select("path", "score", "size", "modified")
 
 

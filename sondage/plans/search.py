@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from sondage.functions.lists import WEIGHTS
 from sondage.operators import bm25, channels, filters, ranking, segments, vectors
 from sondage.operators.parser import parse
+from sondage.operators.path_index import PathIndex
 
 
-def channel_list(files: DataFrame, chunks: DataFrame | bm25.Index | segments.Segments, vecs: DataFrame | None, text: str, vector: list[float] | None, w: dict[str, float]) -> tuple[list[tuple[DataFrame, float]], list[DataFrame], DataFrame]:
+def channel_list(files: DataFrame | PathIndex, chunks: DataFrame | bm25.Index | segments.Segments, vecs: DataFrame | None, text: str, vector: list[float] | None, w: dict[str, float]) -> tuple[list[tuple[DataFrame, float]], list[DataFrame], DataFrame]:
     """(weighted channels, content channels, paths whose content matched)."""
     paths, chunks = channels.prepared_paths(files, text), channels.prepared_chunks(chunks, text)
     path_any = channels.path_any(paths, text, w["w_path_fts"])
@@ -32,22 +33,23 @@ def channel_list(files: DataFrame, chunks: DataFrame | bm25.Index | segments.Seg
     return [*((c, 1.0) for c in by_path), *content, *near], [c for c, _ in [*content, *near]], matched
 
 
-def search(files: DataFrame, chunks: DataFrame | bm25.Index | segments.Segments, raw: str, now_ns: int, vecs: DataFrame | None = None, vector: list[float] | None = None, weights: dict[str, float] | None = None, logits: DataFrame | None = None, prefilter: bool = False) -> DataFrame:
+def search(files: DataFrame, chunks: DataFrame | bm25.Index | segments.Segments, raw: str, now_ns: int, vecs: DataFrame | None = None, vector: list[float] | None = None, weights: dict[str, float] | None = None, logits: DataFrame | None = None, prefilter: bool = False, paths: PathIndex | None = None) -> DataFrame:
     """path, score, size, modified, mtime, ctime in the order asked for.
 
     Filters come after ranking, so that a narrow one may leave few rows; with prefilter they come first, which
-    changes the figures of the corpus and so needs the chunks themselves. Otherwise an index of them will do.
+    changes the figures of the corpus and so needs the chunks themselves. Otherwise an index of them will do, and
+    one of the paths of files.
     """
     w = WEIGHTS | (weights or {})
     q = parse(raw, datetime.fromtimestamp(now_ns / 1e9, timezone.utc))
     files = files.select("path", "size", "mtime", "ctime", "atime")
     keep = filters.matching(q, *(F.col(c) for c in ("path", "size", "mtime", "ctime", "atime")))
     if prefilter:
-        if isinstance(chunks, bm25.Index | segments.Segments):
-            raise ValueError("prefilter needs the chunks, not their index")
+        if paths is not None or isinstance(chunks, bm25.Index | segments.Segments):
+            raise ValueError("prefilter needs the chunks and files, not their indexes")
         files = files.where(keep)
         chunks = chunks.join(files.select("path"), "path", "left_semi")
-    weighted, content, matched = channel_list(files, chunks, vecs, q.text, vector, w)
+    weighted, content, matched = channel_list(files if paths is None else paths, chunks, vecs, q.text, vector, w)
     scores = ranking.boosted(ranking.merge(weighted), q.text, w["w_filename"])
     scores = ranking.capped(scores, channels.match_set(*content), w["path_only_cap"])
     scores = scores.select("path", (F.col("score") * ranking.noise_factor(F.col("path"))).alias("score"))
@@ -64,7 +66,9 @@ def search(files: DataFrame, chunks: DataFrame | bm25.Index | segments.Segments,
 
 def text_search(files: DataFrame, chunks: DataFrame, text: str, vecs: DataFrame | None = None, vector: list[float] | None = None) -> DataFrame:
     """Three channels and the name's boosts, without substrings, cap, penalties or recency."""
-    found = [(channels.path_any(files, text), 1.0), (channels.content_keyword(chunks, text), 1.0)]
+    paths = bm25.Prepared(files, "path", ["path"], {"any": channels._counts(text)})
+    content = bm25.Prepared(chunks, "content", ["path", "chunk_no"], {"keyword": channels._counts(text)})
+    found = [(channels.path_any(paths, text), 1.0), (channels.content_keyword(content, text), 1.0)]
     if vecs is not None and vector:
         found.append((vectors.knn_channel(vecs, vector, "text", 1.0), 1.0))
     return ranking.boosted(ranking.merge(found), text).select("path", "score").orderBy(F.desc("score"), "path")

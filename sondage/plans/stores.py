@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sondage.functions import lists
+from sondage.functions.json import json_set, json_value
 from sondage.functions.text import epoch_seconds
 from sondage.operators import chunking
 from sondage.operators import feedback as E
@@ -213,30 +214,43 @@ def e10(spark, d):
     return E.published(V.config(spark), E.candidates(spark, _W), E.best_candidate(e8(spark, d)), E.current_candidate())
 
 
-_STORED = [("rrf_k", -5.0), ("rerank_top_n", 20.0), ("w_reranker_blend", 1.7), ("w_recency", 0.1), ("unknown", 3.0)]
-_STORED_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _STORED) + ") t(key, value)"
+_LOADED = "SELECT c.key, CAST(CASE WHEN s.key IS NULL OR (s.key = 'rrf_k' AND s.value <= 0) OR (s.key = 'rerank_top_n' AND s.value < 1) THEN c.value WHEN s.key = 'w_reranker_blend' THEN least(greatest(s.value, 0.0), 1.0) ELSE s.value END AS DOUBLE) AS value FROM config_v c LEFT JOIN stored_v s ON s.key = c.key"
 
 
-def _stored(spark):
-    return spark.createDataFrame(_STORED, "key string, value double")
+@query("e11_weight_load", V.with_views(_LOADED, "config_v", "stored_v"))
+def e11(spark, d):
+    return E.loaded(V.stored(spark, d), V.config(spark))
 
 
-_LOADED = "SELECT c.key, CAST(CASE WHEN s.key IS NULL OR (s.key = 'rrf_k' AND s.value <= 0) OR (s.key = 'rerank_top_n' AND s.value < 1) THEN c.value WHEN s.key = 'w_reranker_blend' THEN least(greatest(s.value, 0.0), 1.0) ELSE s.value END AS DOUBLE) AS value FROM config_v c LEFT JOIN st s ON s.key = c.key"
+@query("e12_weight_deltas", V.with_views(f"SELECT l.key, CAST(round(l.value - c.value, 9) AS DOUBLE) AS delta FROM ({_LOADED}) l JOIN config_v c ON c.key = l.key WHERE round(l.value - c.value, 9) <> 0", "config_v", "stored_v"))
+def e12(spark, d):
+    return E.deltas(E.loaded(V.stored(spark, d), V.config(spark)), V.config(spark))
 
 
-@query("e11_weight_load", V.with_views(_LOADED, "config_v", more={"st": _STORED_SQL}))
-def e11(spark, d):
-    return E.loaded(_stored(spark), V.config(spark))
+@query("e13_migration", V.with_views("SELECT key, CAST(CASE WHEN key = 'rerank_top_n' AND value = 20 THEN 8 ELSE value END AS DOUBLE) AS value FROM stored_v", "stored_v"))
+def e13(spark, d):
+    return E.migrated(V.stored(spark, d), "rerank_top_n", 20.0, 8.0)
 
 
-@query("e12_weight_deltas", V.with_views(f"SELECT l.key, CAST(round(l.value - c.value, 9) AS DOUBLE) AS delta FROM ({_LOADED}) l JOIN config_v c ON c.key = l.key WHERE round(l.value - c.value, 9) <> 0", "config_v", more={"st": _STORED_SQL}))
-def e12(spark, d):
-    return E.deltas(E.loaded(_stored(spark), V.config(spark)), V.config(spark))
+# --- JSON ----------------------------------------------------------------------------------
 
+_J = "CASE WHEN json_valid({0}) THEN json_extract_string({0}, '{1}') END"
 
-@query("e13_migration", f"SELECT key, CAST(CASE WHEN key = 'rerank_top_n' AND value = 20 THEN 8 ELSE value END AS DOUBLE) AS value FROM ({_STORED_SQL})")
-def e13(spark, d):
-    return E.migrated(_stored(spark), "rerank_top_n", 20.0, 8.0)
+
+@query("j1_json_extract", "SELECT click_id, " + ", ".join(f"{_J.format('props', p)} AS {n}" for n, p in (("k", "$.k"), ("os", "$.device.os"), ("sku", "$.items[0].sku"))) + " FROM clicks")
+def j1(spark, d):
+    p = F.col("props")
+    return V.table(spark, d, "clicks").select("click_id", json_value(p, "$.k").alias("k"), json_value(p, "$.device.os").alias("os"), json_value(p, "$.items[0].sku").alias("sku"))
+
+
+_SET = "SELECT click_id, CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN json_merge_patch(props, json_object('k', kind || '/' || click_id)) END AS p FROM clicks"
+
+
+@query("j2_json_set", "SELECT click_id, " + ", ".join(f"{_J.format('p', x)} AS {n}" for n, x in (("k", "$.k"), ("ver", "$.device.ver"), ("qty", "$.items[0].qty"))) + f" FROM ({_SET})")
+def j2(spark, d):
+    made = V.table(spark, d, "clicks").select("click_id", json_set(F.col("props"), "k", F.concat_ws("/", "kind", F.col("click_id").cast("string"))).alias("p"), "kind")
+    p = F.when(F.col("kind").isNotNull(), F.col("p"))
+    return made.select("click_id", json_value(p, "$.k").alias("k"), json_value(F.col("p"), "$.device.ver").alias("ver"), json_value(F.col("p"), "$.items[0].qty").alias("qty"))
 
 
 # --- index maintenance ---------------------------------------------------------------------

@@ -28,10 +28,11 @@ def scan(spark: SparkSession, root: str, included: list[str] | None = None, excl
 
 
 def texts(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of plain text files up to the size limit; other files have an empty content and only their names are searched."""
+    """(path, content) of plain text files up to the size limit; other files have an empty content, aren't opened, and only their names are searched."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     plain = extension(F.col("path")).isin(lists.PLAIN_TEXT) & ~filters.too_large(F.col("length"))
-    return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.when(plain, F.decode("content", "UTF-8")).otherwise("").alias("content"))
+    path = F.regexp_replace("path", "^file:/+", "/").alias("path")
+    return raw.where(plain).select(path, F.decode("content", "UTF-8").alias("content")).union(raw.where(~plain).select(path, F.lit("")))
 
 
 def html_body(html: Column) -> Column:
@@ -74,3 +75,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def append_feedback(votes: DataFrame, folder: str) -> None:
     """Appends the valid votes of a batch."""
     filters.valid_feedback(votes).write.mode("append").parquet(folder)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a new shared folder and read back: its lineage ends there."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

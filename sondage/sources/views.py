@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if its files give fewer splits than half of them; larger inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
 
 
 def _ext(key):
@@ -59,9 +59,10 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir).where("doc_id < 200").select("doc_id", "path")
-    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 200).alias("doc_id"), F.when(F.col("label") == 0, "image").otherwise("text").alias("collection"), F.col("embedding").cast("array<double>").alias("vector"))
-    return e.join(F.broadcast(f), "doc_id").select("vec_id", "path", "collection", "vector")
+    f = files(spark, sf_dir).select("doc_id", "path")
+    count = table(spark, sf_dir, "documents").agg(F.count("*").alias("_n"))
+    e = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(count)).select("vec_id", (F.col("vec_id") % F.col("_n")).alias("doc_id"), F.when(F.col("label") == 0, "image").otherwise("text").alias("collection"), F.col("embedding").cast("array<double>").alias("vector"))
+    return e.join(f, "doc_id").select("vec_id", "path", "collection", "vector")
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,16 @@ def config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(lists.WEIGHTS.items()), "key string, value double")
 
 
+STORED = [*lists.WEIGHTS, "unknown"]
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights as they may be stored: the latest value for each key, some of them invalid."""
+    e = table(spark, sf_dir, "events")
+    key = F.element_at(F.array(*map(F.lit, STORED)), (F.col("event_id") % len(STORED)).cast("int") + 1)
+    return e.groupBy(key.alias("key")).agg((F.floor(F.max_by("value", "event_id")) % 25 - 2).cast("double").alias("value"))
+
+
 _EXT_SQL = "[" + ", ".join(f"'{x}'" for x in EXTENSIONS) + "]"
 _PATH_SQL = f"'corpus/' || source || '/' || lang || '/doc_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || {_EXT_SQL}[doc_id % 8 + 1]"
 #: Definitions of the views for the oracle, in the order in which they depend on each other.
@@ -95,10 +106,11 @@ SQL = {
     "parts_v": f"""SELECT *, regexp_extract(path, '[^/]*$') AS name, regexp_extract(lower(path), '(\\.[^./]*)$', 1) AS ext FROM (SELECT p_partkey,
         p_brand || '/' || p_type || '/' || replace(p_name, ' ', '_') || '_' || p_partkey || {_EXT_SQL}[p_partkey % 8 + 1] AS path, CAST(p_size AS BIGINT) * 100000 AS size FROM part)""",
     "vec_v": f"""SELECT vec_id, path, CASE WHEN label = 0 THEN 'image' ELSE 'text' END AS collection, CAST(embedding AS DOUBLE[]) AS vector
-        FROM embeddings JOIN (SELECT doc_id, {_PATH_SQL} AS path FROM documents WHERE doc_id < 200) f ON f.doc_id = vec_id % 200""",
+        FROM embeddings JOIN (SELECT doc_id, {_PATH_SQL} AS path FROM documents) f ON f.doc_id = vec_id % (SELECT count(*) FROM documents)""",
     "feedback_v": """SELECT event_id AS id, 'q' || (user_id % 20) AS query, 'doc_' || (event_id % 200) AS path,
         CASE WHEN event_type IN ('purchase', 'signup') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END AS feedback, CAST(floor(epoch(ts)) AS BIGINT) AS created_at FROM events""",
     "changes_v": """SELECT event_id AS seq, user_id AS key, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' WHEN 'view' THEN 'rename' ELSE 'modified' END AS action, ts FROM events""",
+    "stored_v": f"SELECT [{', '.join(repr(k) for k in STORED)}][event_id % {len(STORED)} + 1] AS key, CAST(floor(max_by(value, event_id)) % 25 - 2 AS DOUBLE) AS value FROM events GROUP BY 1",
     "config_v": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in lists.WEIGHTS.items()) + ") t(key, value)",
 }
 

@@ -9,8 +9,9 @@ state (first action, old path, modified, content hash), and a lane that is
 moved hands its state on to the lane it is moved to. Lanes without a move into
 them are final after one fold, and each further round settles those one move
 behind, so there are as many rounds as the longest chain of moves in the batch.
-No folder is one group: the order of a folder's events is only needed for the
-event before each, and lanes are folded on their own.
+Lanes are folded on their own; what a folder's events are brought together for
+is the event before each (a window over one batch's events of the folder).
+tracker.py keeps the state between batches instead.
 
 Rules: an addition stays one through renames; renames chain to the first old
 path; a removal clears what came before it; a removal right after an addition
