@@ -38,9 +38,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """x, each row times the power of two that brings its greatest component near one: squares then neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1])
+
+
 def classes(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame]:
     """All rows with their class (null if they link with nothing), and the classes."""
     x = F.col(embedding).cast("array<double>")
@@ -96,7 +102,7 @@ def _cells(made: DataFrame, by_length: dict[int, np.ndarray], r: float) -> DataF
 def _tile(cosine: float):
     def run(t: pa.Table) -> pa.Table:
         c, n, home, side = (np.asarray(t.column(k)) for k in ("_c", "_n", "home", "side"))
-        raw = _matrix(t.column("_x"))
+        raw = _scaled(_matrix(t.column("_x")))
         x = _unit(raw)
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left

@@ -537,6 +537,14 @@ def test_vectors(spark, monkeypatch):
     assert near_vectors.link(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_size(spark):
+    """Components whose squares leave the range of doubles; empty table, ties."""
+    rows = [(1, [1e200, 2e200]), (2, [1.0, 2.0]), (3, [1e-200, 2e-200]), (4, [2e-200, -1e-200]), (5, [1e308, 1e308]), (6, [5e-324, 5e-324])]
+    df = spark.createDataFrame([(i, x, "a") for i, x in rows], "vec_id long, embedding array<double>, label string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors.link(df).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 1, 5), (6, 1, 5)]
+
+
 # --- 7 passages ----------------------------------------------------------------------------
 
 
