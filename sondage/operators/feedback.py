@@ -160,7 +160,7 @@ def loaded(stored: DataFrame, defaults: DataFrame) -> DataFrame:
     sound = (~F.col("key").isin("rrf_k", "rerank_top_n")) | ((F.col("key") == "rrf_k") & (v > 0)) | ((F.col("key") == "rerank_top_n") & (v >= 1))
     held = F.when(F.col("key") == "w_reranker_blend", F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).otherwise(v)
     rows = defaults.join(stored.select("key", F.col("value").alias("_v")), "key", "left")
-    return rows.select("key", F.coalesce(F.when(sound, held), "value").alias("value"))
+    return rows.select("key", F.coalesce(F.when(v.isNotNull() & sound, held), "value").alias("value"))
 
 
 def deltas(current: DataFrame, defaults: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from sondage.sources import views as V
 from sondage.sources.files import shared_folder
 
 from .registry import query
+from .scalars import _knn_sql
 from .search import search, text_search
 
 PART_TEXT, CONTENT_TEXT, PHRASE = "small ring", "idiot clown loser", "in the"
@@ -358,8 +359,9 @@ def r15(spark, d):
     return ranking.capped(scores, scores.limit(0)).select("path", "score")
 
 
-def full_sql(view: str, files: str, recent: bool) -> str:
-    """The composite search over documents for a content query of three words."""
+def full_sql(view: str, files: str, recent: bool, near: dict[str, str] | None = None, keep: str = "WHERE size <= 20000") -> str:
+    """The composite search over documents for a content query of three words; near: further channels by name, whose paths count as content."""
+    near = near or {}
     ws = CONTENT_TEXT.split()
     channels_ = [
         path_sql(files, [_word(w) for w in ws], 3.0), path_sql(files, [_word(w) for w in ws], 4.0, True), path_sql(files, [_prefix(w) for w in ws], 1.5),
@@ -369,15 +371,15 @@ def full_sql(view: str, files: str, recent: bool) -> str:
     gate = f"SELECT * FROM ({sub}) WHERE (SELECT count(DISTINCT path) FROM (" + " UNION ALL ".join(f"SELECT path FROM ({c})" for c in channels_) + ")) < 20"
     phrase, keyword, fuzzy = chunk_sql([_phrase(ws)], 500, 50.0), chunk_sql([_word(w) for w in ws], 400, 10.0), chunk_sql([_prefix(w[:4]) for w in ws], 50, 0.8, True)
     gated = f"SELECT * FROM ({fuzzy}) WHERE (SELECT count(DISTINCT path) FROM (SELECT path FROM ph UNION ALL SELECT path FROM kw)) < 5"
-    views = {"ph": phrase, "kw": keyword, "fz": gated, "content": "SELECT path FROM ph UNION SELECT path FROM kw UNION SELECT path FROM fz"}
-    alls = " UNION ALL ".join(f"SELECT path, rrf FROM ({c})" for c in [*channels_, gate]) + " UNION ALL SELECT * FROM ph UNION ALL SELECT * FROM kw UNION ALL SELECT * FROM fz"
+    views = {"ph": phrase, "kw": keyword, "fz": gated, **near, "content": " UNION ".join(f"SELECT path FROM {n}" for n in ("ph", "kw", "fz", *near))}
+    alls = " UNION ALL ".join(f"SELECT path, rrf FROM ({c})" for c in [*channels_, gate]) + " UNION ALL " + " UNION ALL ".join(f"SELECT path, rrf FROM {n}" for n in ("ph", "kw", "fz", *near))
     views["merged"] = f"SELECT path, round(sum(rrf), 9) AS score FROM ({alls}) GROUP BY path"
     views["boosted"] = f"SELECT path, delta, round(score + delta, 9) AS score FROM (SELECT path, score, round({_filename_sql('path', ws)} + {_fuzzy_sql('path', ws)}, 9) AS delta FROM merged)"
     views["held"] = f"SELECT b.path, (CASE WHEN c.path IS NULL AND score > 0.12 AND delta < 0.10 THEN 0.12 ELSE score END) * {_NOISE.replace('path', 'b.path')} AS score FROM boosted b LEFT JOIN content c ON c.path = b.path"
     boost = f" + 0.3 * exp(-greatest(({V.NOW * V.NS} - mtime) / 86400000000000.0, 0.0) / 30.0)" if recent else ""
     views["dated"] = f"SELECT h.path, round(score{boost}, 9) AS score, size, mtime FROM held h LEFT JOIN files_v f ON f.path = h.path"
     code = f"regexp_extract(lower(path), '(\\.[^./]*)$', 1) IN ({_CODE}) AND NOT {_near_sql(CONTENT_TEXT)} AND path NOT IN (SELECT path FROM ph UNION ALL SELECT path FROM fz)"
-    return V.with_views(f"SELECT path, round(CASE WHEN {code} THEN score * 0.12 ELSE score END, 9) AS score, coalesce(size, 0) AS size, coalesce({_TIME}, '') AS modified FROM dated WHERE size <= 20000", "files_v", "chunks_v", more=views)
+    return V.with_views(f"SELECT path, round(CASE WHEN {code} THEN score * 0.12 ELSE score END, 9) AS score, coalesce(size, 0) AS size, coalesce({_TIME}, '') AS modified FROM dated {keep}", "files_v", "chunks_v", *(["vec_v"] if near else []), more=views)
 
 
 @query("search_hybrid_lexical", full_sql("chunks_v", "files_v", True))
@@ -432,7 +434,10 @@ def m2_segments(spark, d):
     return index.best(CONTENT_TEXT.split(), 400)
 
 
-@query("search_with_vectors")
+_NEAR = {f"near_{c}": _knn_sql(c, n, lists.WEIGHTS[f"w_semantic_{c}"]) for c, n in (("text", 200), ("image", 50))}
+
+
+@query("search_with_vectors", full_sql("chunks_v", "files_v", True, _NEAR, ""))
 def search_vectors(spark, d):
     v = V.vectors(spark, d)
     vector = v.where("vec_id = 0").first()["vector"]
