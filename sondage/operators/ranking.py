@@ -83,6 +83,43 @@ def fuzzy_boost(path: Column, query: str) -> Column:
     return F.element_at(F.transform(F.array(names), boost), 1)
 
 
+def _asked(query: Column, least: int) -> Column:
+    """Words of a query of so many bytes or more."""
+    return F.filter(F.split(F.lower(query), r"[-_. /]+"), lambda w: F.octet_length(w) >= least)
+
+
+def filename_boost_of(path: Column, query: Column) -> Column:
+    """filename_boost() for a column of queries."""
+    name = words(stem(percent_decode(basename(path))))
+
+    def worth(n: Column, q: Column) -> Column:
+        near = n.startswith(q) | F.startswith(q, n)
+        return F.when(n == q, EXACT).when(near, PREFIX).when(F.contains(n, q) | F.contains(q, n), SUBSTRING)
+
+    def boost(names: Column) -> Column:
+        kinds = F.filter(F.transform(_asked(query, 2), lambda q: worth(F.get(F.filter(names, lambda n: worth(n, q).isNotNull()), F.lit(0)), q)), lambda x: x.isNotNull())
+        more = lambda ks: F.aggregate(ks, F.lit(0.0), lambda a, x: a + x) + F.when(F.size(ks) >= 2, EACH_MORE * (F.size(ks) - 1)).otherwise(0.0)
+        return F.element_at(F.transform(F.array(kinds), more), 1)
+
+    return F.element_at(F.transform(F.array(name), boost), 1)
+
+
+def fuzzy_boost_of(path: Column, query: Column) -> Column:
+    """fuzzy_boost() for a column of queries."""
+    base = basename(path)
+    used = F.transform(_asked(query, 3), fold)
+    size = F.aggregate(_asked(query, 3), F.lit(0), lambda a, w: a + F.octet_length(w)).cast("double")
+    closest = lambda names, w: F.coalesce(F.array_max(F.transform(names, lambda n: word_similarity(w, n))), F.lit(0.0))
+
+    def boost(names: Column) -> Column:
+        mean = F.aggregate(F.transform(used, lambda w: closest(names, w)), F.lit(0.0), lambda a, x: a + x) / F.size(_asked(query, 1))
+        cover = F.least(F.lit(1.0), size / F.octet_length(base))
+        return F.element_at(F.transform(F.array(mean), lambda m: F.when(m < LEAST_SIMILARITY, 0.0).otherwise(FUZZY * m * cover)), 1)
+
+    names = F.transform(F.filter(words(base), lambda n: F.octet_length(n) >= 3), fold)
+    return F.when(F.size(used) > 0, F.element_at(F.transform(F.array(names), boost), 1)).otherwise(0.0)
+
+
 def boosted(scores: DataFrame, query: str, weight: float = 1.0) -> DataFrame:
     """scores with the name's boosts added, times the weight, and kept in delta."""
     delta = filename_boost(F.col("path"), query) + fuzzy_boost(F.col("path"), query)

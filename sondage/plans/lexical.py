@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondage.functions import lists
-from sondage.operators import bm25, channels, path_index, ranking, typos
+from sondage.operators import batch, bm25, channels, path_index, ranking, typos
 from sondage.operators.segments import Segments
 from sondage.sources import views as V
 from sondage.sources.files import shared_folder
@@ -450,3 +450,48 @@ _TEXT = f"SELECT path, round(sum(rrf), 9) AS score FROM (SELECT * FROM ({path_sq
 @query("r16_text_search", V.with_views(f"SELECT path, round(score + round(({_filename_sql('path', CONTENT_TEXT.split())} + {_fuzzy_sql('path', CONTENT_TEXT.split())}) * 1.0, 9), 9) AS score FROM ({_TEXT})", "files_v", "chunks_v"))
 def r16(spark, d):
     return text_search(V.files(spark, d), V.chunks(spark, d), CONTENT_TEXT)
+
+
+# --- many queries at once ------------------------------------------------------------------
+
+_ASKED = "SELECT DISTINCT array_to_string(string_split_regex(text, '\\s+')[1:3], ' ') AS query FROM benchmark WHERE text IS NOT NULL"
+_PHRASES = f"SELECT query, phrase, count(*) AS times FROM (SELECT query, {_TOKENS.format('w')} AS phrase FROM (SELECT query, unnest(string_split_regex(query, '\\s+')) AS w FROM asked_v)) WHERE len(phrase) > 0 GROUP BY ALL"
+
+
+def _batch_sql(view: str, keys: str, text: str) -> str:
+    """query, keys, score for every query of phrases_v."""
+    found = f"SELECT {keys}, len(t) AS dl, phrase, len(list_filter(range(1, len(t) - len(phrase) + 2), lambda i: t[i:i + len(phrase) - 1] = phrase)) AS f FROM (SELECT {keys}, {_TOKENS.format(text)} AS t FROM {view}) x JOIN (SELECT DISTINCT phrase FROM phrases_v) p ON list_contains(x.t, p.phrase[1])"
+    figures = f"SELECT count(*) AS n, avg(len({_TOKENS.format(text)})) AS a FROM {view}"
+    part = "times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * CAST(f AS DOUBLE) * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / a))"
+    return f"WITH c AS (SELECT * FROM ({found}) WHERE f > 0), h AS (SELECT phrase, count(*) AS df FROM c GROUP BY phrase) SELECT query, {keys}, round(sum({part}), 9) AS score FROM c JOIN h USING (phrase) JOIN phrases_v USING (phrase), ({figures}) GROUP BY query, {keys}"
+
+
+def _rank_sql(rows: str, order: str, limit: int) -> str:
+    return f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, {order}) AS r FROM ({rows})) WHERE r <= {limit}"
+
+
+def _batch_rrf(rows: str, boost: float) -> str:
+    return f"SELECT query, path, {boost} / (60.0 + row_number() OVER (PARTITION BY query ORDER BY score DESC, path)) AS rrf FROM ({rows})"
+
+
+_BEST3 = f"SELECT query, path, round(avg(score), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query, path ORDER BY score DESC, chunk_no) AS b FROM ({_rank_sql(_batch_sql('chunks_v', 'path, chunk_no', 'content'), 'path, chunk_no', 400)})) WHERE b <= 3 GROUP BY query, path"
+_BOTH = f"SELECT query, path, round(sum(rrf), 9) AS score FROM (SELECT * FROM ({_batch_rrf(_rank_sql(_batch_sql('files_v', 'path', 'path'), 'path', 20), 3.0)}) UNION ALL SELECT * FROM ({_batch_rrf(_BEST3, 10.0)})) GROUP BY query, path"
+_SPLIT = "list_filter(string_split_regex(lower({0}), '[-_. /]+'), lambda w: strlen(w) >= {1})"
+_WORTH = "CASE WHEN {n} = {q} THEN 0.30 WHEN starts_with({n}, {q}) OR starts_with({q}, {n}) THEN 0.10 WHEN contains({n}, {q}) OR contains({q}, {n}) THEN 0.04 END"
+_NAMED = f"""SELECT query, path, score, list_filter(list_transform({_SPLIT.format('query', 2)}, lambda q: list_filter(list_transform(stems, lambda n: {_WORTH.format(n='n', q='q')}), lambda x: x IS NOT NULL)[1]), lambda x: x IS NOT NULL) AS kinds,
+    coalesce(list_sum(list_transform({_SPLIT.format('query', 3)}, lambda q: coalesce(list_max(list_transform(names, lambda n: 1 - levenshtein(strip_accents(q), strip_accents(n)) / CAST(greatest(length(n), length(q)) AS DOUBLE))), 0.0))), 0.0) / len({_SPLIT.format('query', 1)}) AS mean,
+    coalesce(list_sum(list_transform({_SPLIT.format('query', 3)}, lambda q: strlen(q))), 0) / CAST(strlen(base) AS DOUBLE) AS cover
+    FROM (SELECT *, regexp_extract(path, '[^/]*$') AS base, list_filter(string_split_regex(regexp_replace(lower(regexp_extract(path, '[^/]*$')), '\\.[^./]*$', ''), '[-_. /]+'), lambda w: w <> '') AS stems,
+        {_SPLIT.format("regexp_extract(path, '[^/]*$')", 3)} AS names FROM both_v)"""
+_BATCH_SEARCH = "SELECT query, path, round(score + round(coalesce(list_sum(kinds), 0.0) + CASE WHEN len(kinds) >= 2 THEN 0.6 * (len(kinds) - 1) ELSE 0.0 END + CASE WHEN mean < 0.55 THEN 0.0 ELSE 0.15 * mean * least(1.0, cover) END, 9), 9) AS score FROM named_v"
+_BATCH_VIEWS = {"asked_v": _ASKED, "phrases_v": _PHRASES, "both_v": _BOTH, "named_v": _NAMED}
+
+
+def _asked(spark, d):
+    """The first three words of each benchmark item."""
+    return V.table(spark, d, "benchmark").where("text is not null").select(F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 3)).alias("query")).distinct()
+
+
+@query("r16_batch_search", V.with_views(_BATCH_SEARCH, "files_v", "chunks_v", more=_BATCH_VIEWS))
+def r16_batch(spark, d):
+    return batch.text_search(V.files(spark, d), V.chunks(spark, d), _asked(spark, d))

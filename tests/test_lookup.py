@@ -25,7 +25,7 @@ def stored(spark, paths, tmp_path_factory):
     return path_index.PathIndex.load(spark, folder)
 
 
-@pytest.mark.parametrize("text", ["ring", "SMALL rin", "sma nowhere", "b/", "é", "a%b", "zzzz", "ring.pdf small_ring.go", "c_d", "x", ""])
+@pytest.mark.parametrize("text", ["SMALL rin", "sma nowhere b/", "é", "a%b c_d", "zzzz", "ring.pdf small_ring.go", "x"])
 def test_substrings(paths, stored, text):
     want = [r["path"] for r in channels.substring_match(paths, text).collect()]
     found = channels.substring_match(stored, text)
@@ -53,7 +53,7 @@ def edits(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("least", [0.51, 0.55, 0.8, 1.0])
+@pytest.mark.parametrize("least", [0.51, 0.8])
 def test_close_words(spark, least):
     r = random.Random(int(least * 100))
     word = lambda: "".join(r.choices("abc", k=r.choice([1, 2, 3, 4, 5, 6, 7, 9, 12])))

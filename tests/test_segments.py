@@ -35,7 +35,7 @@ def test_changes_and_compactions(spark, tmp_path, monkeypatch):
     r = random.Random(1)
     folder = str(tmp_path / "index")
     index, state, compactions = Segments.create(spark, folder), {}, 0
-    for step, kind in enumerate(["upsert"] * 3 + ["delete", "upsert", "rename", "upsert", "swap", "upsert", "delete", "upsert"]):
+    for step, kind in enumerate(["upsert", "upsert", "delete", "upsert", "rename", "swap", "upsert", "upsert"]):
         before = files_in(folder)
         names = sorted(state)
         if kind == "upsert":
@@ -54,15 +54,15 @@ def test_changes_and_compactions(spark, tmp_path, monkeypatch):
         after = files_in(folder)
         # Whatever was written stays as it is.
         assert all(after[f] == t for f, t in before.items() if not f.endswith(".crc"))
-        if step in (4, 10):
+        if step in (3, 7):
             old = {s.no for s in index.segments}
             index = index.compacted(fan=2)
             compactions += {s.no for s in index.segments} != old
             assert all(files_in(folder)[f] == t for f, t in after.items() if not f.endswith(".crc"))
-        if step in (3, 7, 9, 10):
+        if step in (2, 5, 7):
             anew = table(spark, state)
             assert index.rows == sum(map(len, state.values()))
-            for query in (["w3"], ["w30", "w39", "w2"], ["w1", "w1", "nowhere"]):
+            for query in (["w30", "w39", "w2"], ["w1", "w1", "nowhere"]):
                 got = [(x["path"], x["chunk_no"], x["score"]) for x in index.best(query, 5).collect()]
                 assert got == whole(anew, query, 5)
     assert compactions >= 2
