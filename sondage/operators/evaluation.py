@@ -1,4 +1,4 @@
-"""Runs labelled queries through a search function and reports quality and time."""
+"""Runs labelled queries through a search function and reports quality: one by one with their times, or a table of them in one job."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import feedback
+from . import batch, feedback
 
 
 def evaluate(spark: SparkSession, search: Callable[[str], DataFrame], queries: list[tuple[int, str, str, dict[str, float]]], k: int = 10, runs: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -28,3 +28,14 @@ def evaluate(spark: SparkSession, search: Callable[[str], DataFrame], queries: l
     by_query = times.groupBy("query", "category").agg(F.avg("ms").alias("ms")).join(scores, "query")
     by_category = by_query.groupBy("category").agg(*(F.round(F.avg(c), 4).alias(c) for c in ("ndcg", "recall", "mrr", "ms")), F.count("*").alias("queries"))
     return by_query, by_category
+
+
+def evaluate_batch(search: Callable[[DataFrame], DataFrame], queries: DataFrame, relevant: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(by query, by category) of queries (query, category), all in one search. search gives (query, path, score); relevant: query, path, gain.
+
+    A query without a result counts as one with a wrong one. Nothing is collected."""
+    found = batch.ranked(search(queries.select("query")), k)
+    ranked = queries.select("query").join(found, "query", "left").select("query", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("rank", F.lit(1)).alias("rank"))
+    by_query = queries.select("query", "category").join(feedback.metrics(ranked, relevant, k), "query")
+    by_category = by_query.groupBy("category").agg(*(F.round(F.avg(c), 4).alias(c) for c in ("ndcg", "recall", "mrr")), F.count("*").alias("queries"))
+    return by_query, by_category

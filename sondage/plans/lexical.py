@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondage.functions import lists
-from sondage.operators import batch, bm25, channels, path_index, ranking, typos
+from sondage.operators import batch, bm25, channels, evaluation, path_index, ranking, typos
 from sondage.operators.segments import Segments
 from sondage.sources import views as V
 from sondage.sources.files import shared_folder
@@ -13,6 +13,7 @@ from sondage.sources.files import shared_folder
 from .registry import query
 from .scalars import _knn_sql
 from .search import search, text_search
+from .stores import _METRICS
 
 PART_TEXT, CONTENT_TEXT, PHRASE = "small ring", "idiot clown loser", "in the"
 TYPO = "smal rign"
@@ -495,3 +496,25 @@ def _asked(spark, d):
 @query("r16_batch_search", V.with_views(_BATCH_SEARCH, "files_v", "chunks_v", more=_BATCH_VIEWS))
 def r16_batch(spark, d):
     return batch.text_search(V.files(spark, d), V.chunks(spark, d), _asked(spark, d))
+
+
+_E2_VIEWS = {
+    **_BATCH_VIEWS, "found_v": _BATCH_SEARCH,
+    "best_v": "SELECT query, path, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS rank FROM found_v QUALIFY rank <= 10",
+    "ranked": "SELECT a.query, coalesce(b.path, '') AS path, coalesce(b.rank, 1) AS rank FROM asked_v a LEFT JOIN best_v b ON b.query = a.query",
+    "items_v": "SELECT array_to_string(string_split_regex(text, '\\s+')[1:3], ' ') AS query, min(item_id) AS item_id FROM benchmark WHERE text IS NOT NULL GROUP BY 1",
+    "qrels": "SELECT i.query, f.path, 3.0 * quality AS gain FROM labels l JOIN files_v f ON f.doc_id = l.doc_id JOIN items_v i ON i.item_id = l.doc_id % (SELECT count(*) FROM benchmark)",
+}
+
+
+@query("e2_batch_evaluation", V.with_views(f"SELECT m.*, CASE WHEN length(query) < 12 THEN 'short' ELSE 'long' END AS category FROM ({_METRICS}) m", "files_v", "chunks_v", more=_E2_VIEWS))
+def e2_batch(spark, d):
+    """NDCG, recall and MRR of the batched search, for all queries at once."""
+    items, b = _asked(spark, d), V.table(spark, d, "benchmark").where("text is not null")
+    of = b.select(F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 3)).alias("query"), "item_id").groupBy("query").agg(F.min("item_id").alias("item_id"))
+    count = F.broadcast(V.table(spark, d, "benchmark").agg(F.count("*").alias("n")))  # one row
+    bound = V.table(spark, d, "labels").crossJoin(count).select("doc_id", "quality", (F.col("doc_id") % F.col("n")).alias("item_id"))
+    relevant = bound.join(V.files(spark, d).select("doc_id", "path"), "doc_id").join(of, "item_id").select("query", "path", (F.col("quality") * 3.0).alias("gain"))
+    queries = items.withColumn("category", F.when(F.length("query") < 12, "short").otherwise("long"))
+    search_all = lambda qs: batch.text_search(V.files(spark, d), V.chunks(spark, d), qs)
+    return evaluation.evaluate_batch(search_all, queries, relevant)[0].select("query", "category", *(F.round(c, 6).alias(c) for c in ("ndcg", "recall", "mrr")))
