@@ -325,7 +325,8 @@ def _search(docs: DataFrame, queries: list[Counter], k: int, visits: Accumulator
     able = counted.where(indexed).withColumn("hash", F.xxhash64("doc_id"))
     # Cut by hash to somewhat more than the sample first: tasks would else send as many rows each.
     share = min(1.0, 1.2 * SAMPLE / max(1, size[2]))
-    near = able.where(F.col("hash") <= int(share * ((1 << 64) - 1)) - (1 << 63)).orderBy("hash").limit(SAMPLE)
+    cut = min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1)
+    near = able.where(F.col("hash") <= cut).orderBy("hash").limit(SAMPLE)
     sample = [np.array(r["terms"], np.int64) for r in near.select("terms").collect()]
     tree = Bisection(sample, width)
     share = np.bincount(tree.leaves(np.concatenate([*sample, np.zeros(0, np.int64)]), np.array([len(s) for s in sample], np.int64)), minlength=1 << DEPTH)
