@@ -58,3 +58,20 @@ def test_run(spark, tmp_path):
         first = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
         want += [(d, i, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))) for i, (a, b) in enumerate(itertools.pairwise([0, *range(first, len(ids) + 1, 1024)]))]
     assert sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Null ids, null and empty texts, repeated rows, a very long text, columns with names of the operators' own; then no rows at all."""
+    rows = [(None, prose(60, 1), "en", "s0", 1), (None, prose(60, 1), "en", "s0", 1), (1, None, None, None, None), (2, "", "en", "s0", 0), (3, prose(50, 3), "en", None, 1), (3, prose(50, 3), "en", None, 1)]
+    rows += [(4, prose(30_000, 4), "en", "s1", 1), (5, "x " * 40_000, "en", "s1", 1)] + [(10 + i, prose(60, 10 + i), "en", "s0", 1) for i in range(20)]
+    names = SCHEMA + ", row string, kept string, mark long, Starts int, piece int"
+    docs = spark.createDataFrame([(*r, "r", "k", 1, 2, 3) for r in rows], names)
+    for name, df in (("some", docs), ("none", docs.limit(0))):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(10 + i, 1, 0) for i in range(20)] if name == "some" else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    ids = [r["doc_id"] for r in got]
+    # Base rules reject what has no or few words or repeats itself; rows without an id have no copy of theirs to yield to.
+    assert set(ids) == {None, 3, 4, *range(10, 30)} and ids.count(3) == 1 and sum(r["doc_id"] == 4 for r in got) > 20
+    assert ids.count(None) == 2
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

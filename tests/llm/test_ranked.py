@@ -45,7 +45,7 @@ def texts(n, seed):
     return [" ".join(r.choices(words, k=r.randrange(0, 40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("part", [7, 4096])
+@pytest.mark.parametrize("part", [7])
 def test_search_is_a_full_scan(spark, monkeypatch, part):
     """Groups of copies with equal scores across shards, frequent words, nulls, repeated ids, a very long text, clashing columns."""
     monkeypatch.setattr(ranked, "PART", part)
