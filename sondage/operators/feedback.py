@@ -191,9 +191,11 @@ def nearest_rank(values: DataFrame, by: str, value: str, percent: list[int], buc
         if not open_.limit(1).count():
             break
         met = rows.withColumnRenamed("by", "_by").join(open_, F.col("_by").eqNullSafe(F.col("by"))).where(F.col("v").between(F.col("lo"), F.col("hi")))
-        width = F.col("hi") / 2 - F.col("lo") / 2
-        place = F.floor((F.col("v") / 2 - F.col("lo") / 2) / width * buckets)
-        bucket = F.when(width == 0, (F.col("v") > F.col("lo")).cast("long")).otherwise(F.least(place, F.lit(buckets - 1)))
+        # By logarithm, so that values of any size are told apart within a few rounds; bounds of nearly the same logarithm by their difference.
+        log = lambda x: F.when(F.col("lo") > 0, F.log(x)).when(F.col("hi") < 0, -F.log(-x)).otherwise(F.signum(x) * F.log1p(F.abs(x)))
+        wide, width = log(F.col("hi")) - log(F.col("lo")), F.col("hi") / 2 - F.col("lo") / 2
+        share = F.when(wide > 1e-9, (log(F.col("v")) - log(F.col("lo"))) / wide).when(width > 0, (F.col("v") / 2 - F.col("lo") / 2) / width).otherwise((F.col("v") > F.col("lo")).cast("double"))
+        bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1))
         counts = met.groupBy("by", "p", "rank", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         below = F.sum("n").over(Window.partitionBy("by", "p").orderBy("bucket")) - F.col("n")  # over the buckets of a histogram
         chosen = counts.withColumn("below", below).where((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("n")))

@@ -80,7 +80,7 @@ def test_percentiles_by_selection(spark):
     inf, nan = float("inf"), float("nan")
     groups = {"a": [r.gauss(0, 1) for _ in range(500)], "b": [1.0] * 7, "c": [10.0**r.randrange(-300, 300) for _ in range(90)], "d": [-inf, inf, 3.0, inf, nan], "e": [5e-324, 1e-323, 0.0, -1e308, 1e308], None: [2.0, 1.0], "f": [inf]}
     rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("g", None)]
-    got = feedback.nearest_rank(spark.createDataFrame(rows, "k string, v double"), "k", "v", [0, 50, 95, 99], buckets=8)
+    got = feedback.nearest_rank(spark.createDataFrame(rows, "k string, v double"), "k", "v", [0, 50, 95, 99], buckets=32)
     want = {}
     for k, vs in groups.items():
         own = sorted(vs, key=lambda v: (v != v, v))
