@@ -34,6 +34,13 @@ def tokens(s: Column) -> Column:
     return F.filter(F.split(fold(s), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def quoted(s: Column) -> Column:
+    """A query's words as phrases of a full-text search, any of which may match; a query without a word is one phrase."""
+    phrase = lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"'))
+    found = F.filter(F.split(s, r"\s+"), lambda w: w != "")
+    return F.when(F.size(found) > 0, F.array_join(F.transform(found, phrase), " OR ")).otherwise(phrase(s))
+
+
 def words(s: Column) -> Column:
     """Lower-cased parts between dashes, underscores, dots, blanks and slashes."""
     return F.filter(F.split(F.lower(s), r"[-_. /]+"), lambda t: t != "")

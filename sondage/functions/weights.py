@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Names under which embedding tables are looked for, in this order.
 TABLE_NAMES = ["embeddings", "embedding.weight", "embeddings.weight", "weight"]
@@ -51,3 +53,19 @@ def pixels(rgb: np.ndarray, mean: tuple[float, ...], deviation: tuple[float, ...
     """Height x width x 3 bytes as 3 x height x width floats, normalised by channel."""
     scaled = rgb.astype(np.float32) / 255
     return ((scaled - np.array(mean, np.float32)) / np.array(deviation, np.float32)).transpose(2, 0, 1)
+
+
+def half(bits: Column) -> Column:
+    """The number that 16 bits stand for as a half-precision float: subnormal ones, infinities and NaN included."""
+    sign = F.when(F.shiftright(bits, 15).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
+    power, rest = F.shiftright(bits, 10).bitwiseAND(F.lit(31)), bits.bitwiseAND(F.lit(1023))
+    special = F.when(rest == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return F.when(power == 31, sign * special).when(power == 0, sign * rest * 2.0**-24).otherwise(sign * (rest / 1024 + 1) * F.pow(F.lit(2.0), power - 15))
+
+
+def brain(bits: Column) -> Column:
+    """The same for 16 bits that are the upper half of a single-precision float."""
+    sign = F.when(F.shiftright(bits, 15).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
+    power, rest = F.shiftright(bits, 7).bitwiseAND(F.lit(255)), bits.bitwiseAND(F.lit(127))
+    special = F.when(rest == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return F.when(power == 255, sign * special).when(power == 0, sign * rest * 2.0**-133).otherwise(sign * (rest / 128 + 1) * F.pow(F.lit(2.0), power - 127))

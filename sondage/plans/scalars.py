@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from sondage.functions import lists, text as T, vectors as X
+from sondage.functions import dates, lists, text as T, vectors as X, weights as W
 from sondage.operators import ann, chunking, filters, vectors
 from sondage.operators.parser import PART, parse, parsed, parts
 from sondage.sources import views as V
@@ -421,3 +421,54 @@ def v5(spark, d):
 @query("v6_collections", V.with_views("SELECT collection, count(*) AS n, count(DISTINCT path) AS paths FROM vec_v GROUP BY collection", "vec_v"))
 def v6(spark, d):
     return V.vectors(spark, d).groupBy("collection").agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"))
+
+
+# --- 16-bit numbers, phrases, calendar -----------------------------------------------------
+
+_BITS = "SELECT ps AS n, CAST(ps * 40503 % 65536 AS INTEGER) AS b FROM (SELECT p_partkey AS ps FROM part)"
+_FLOAT = "CASE WHEN p = {top} THEN CASE WHEN r = 0 THEN s * CAST('Infinity' AS DOUBLE) ELSE CAST('NaN' AS DOUBLE) END WHEN p = 0 THEN s * r * 2.0 ** {low} ELSE s * (r / {scale}.0 + 1) * 2.0 ** (p - {bias}) END"
+
+
+def _sixteen_sql(shift: int, top: int, bias: int) -> str:
+    split = f"SELECT n, CASE WHEN b >= 32768 THEN CAST(-1.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS s, (b >> {shift}) & {top} AS p, b & {(1 << shift) - 1} AS r FROM ({_BITS})"
+    value = _FLOAT.format(top=top, low=f"({1 - bias - shift})", scale=1 << shift, bias=bias)
+    return f"SELECT n, CAST({value} AS DOUBLE) AS v FROM ({split})"
+
+
+@query("p12_half_decode", f"SELECT h.n AS part, CASE WHEN isnan(h.v) THEN 'NaN' WHEN isinf(h.v) THEN 'inf' ELSE CAST(CAST(round(h.v * 1048576) AS BIGINT) AS VARCHAR) END AS half, CASE WHEN isnan(b.v) THEN 'NaN' WHEN isinf(b.v) THEN 'inf' ELSE CAST(sign(b.v) * floor(log2(greatest(abs(b.v), 1e-40)) + 1e-9) AS VARCHAR) END AS brain FROM ({_sixteen_sql(10, 31, 15)}) h JOIN ({_sixteen_sql(7, 255, 127)}) b ON b.n = h.n")
+def p12(spark, d):
+    """Bits made of part keys, as numbers of half precision (in 2 ** -20) and as the upper halves of single ones (their magnitudes)."""
+    bits = (F.col("p_partkey") * 40503 % 65536).cast("int")
+    shown = lambda v, text: F.when(F.isnan(v), "NaN").when(F.abs(v) == float("inf"), "inf").otherwise(text)
+    h, b = F.col("h"), F.col("b")
+    size = F.signum(b) * F.floor(F.log2(F.greatest(F.abs(b), F.lit(1e-40))) + 1e-9)
+    rows = V.table(spark, d, "part").select("p_partkey", W.half(bits).alias("h"), W.brain(bits).alias("b"))
+    return rows.select(F.col("p_partkey").alias("part"), shown(h, F.round(h * 1048576).cast("long").cast("string")).alias("half"), shown(b, size.cast("string")).alias("brain"))
+
+
+_FIELDS = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
+_QUOTE = "'\"' || replace({0}, '\"', '\"\"') || '\"'"
+
+
+@query("p17_quoted_phrases", f"SELECT item_id, CASE WHEN len(f) > 0 THEN array_to_string(list_transform(f, lambda w: {_QUOTE.format('w')}), ' OR ') ELSE {_QUOTE.format('q')} END AS quoted FROM (SELECT item_id, q, {_FIELDS.format('q')} AS f FROM (SELECT item_id, replace(text, 'e', '\"') AS q FROM benchmark))")
+def p17(spark, d):
+    return V.table(spark, d, "benchmark").select("item_id", T.quoted(F.replace("text", F.lit("e"), F.lit('"'))).alias("quoted"))
+
+
+_LATER = "date_trunc('month', {0}) + to_months(CAST({1} AS INTEGER)) + ({0} - date_trunc('month', {0}))"
+_DAY = "CAST(o_orderdate AS TIMESTAMP)"
+
+
+@query("d1_months_later", f"SELECT o_orderkey, CAST(epoch({_LATER.format(_DAY, 'o_orderkey % 27 - 13')}) AS BIGINT) AS at FROM orders")
+def d1(spark, d):
+    t = dates.months_later(F.col("o_orderdate"), (F.col("o_orderkey") % 27 - 13).cast("int"))
+    return V.table(spark, d, "orders").select("o_orderkey", T.epoch_seconds(t).alias("at"))
+
+
+@query("d2_calendar_bounds", f"""SELECT DISTINCT year({_DAY}) AS year, month({_DAY}) AS month, CAST(epoch(date_trunc('year', {_DAY})) AS BIGINT) AS year_low, CAST(epoch(date_trunc('year', {_DAY}) + INTERVAL 1 YEAR) AS BIGINT) AS year_high,
+    CAST(epoch(date_trunc('month', {_DAY})) AS BIGINT) AS month_low, CAST(epoch(date_trunc('month', {_DAY}) + INTERVAL 1 MONTH) AS BIGINT) AS month_high FROM orders""")
+def d2(spark, d):
+    own = V.table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("year"), F.month("o_orderdate").cast("long").alias("month")).distinct()
+    y, m = F.col("year").cast("int"), F.col("month").cast("int")
+    of = lambda bounds, name: [T.epoch_seconds(x).alias(f"{name}_{side}") for x, side in zip(bounds, ("low", "high"), strict=True)]
+    return own.select("year", "month", *of(dates.year_bounds(y), "year"), *of(dates.month_bounds(y, m), "month"))
