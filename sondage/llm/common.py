@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +66,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def released() -> None:
+    """Gives what a task no longer needs back to the system: a worker keeps it otherwise, for whatever stage it runs next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(columns: Iterable[str], *names: str) -> list[str]:
     """names, each with as many underscores at its end as it takes to be no column's (letter case aside) and no other's."""
     taken, out = {c.lower() for c in columns}, []
@@ -89,7 +99,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 #: Bytes hashed at a time.
-SEGMENT = 1_000_000
+SEGMENT = 1 << 18
 
 
 @lru_cache(maxsize=1)

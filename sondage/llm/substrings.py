@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketch
-from .common import WORD, discard, materialise, mix64, unused, word_spans
+from .common import WORD, discard, materialise, mix64, released, unused, word_spans
 
 #: Words of a window and of the grams whose least is its minimizer.
 WINDOW, GRAM = 13, 5
 #: Bytes that a task hashes at a time; runs of a shard, about; runs a task remembers having sent.
-BLOCK_BYTES, PER_SHARD, MEMO = 800_000, 4000, 200_000
+BLOCK_BYTES, PER_SHARD, MEMO = 800_000, 4000, 100_000
 _BASE = 0x9E3779B97F4A7C15
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -110,6 +110,7 @@ def blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterato
                 rows, texts, size = [], [], 0
     if rows:
         yield Block(rows, texts, window, gram)
+    released()
 
 
 def _counted(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
