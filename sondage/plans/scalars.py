@@ -441,7 +441,7 @@ def p12(spark, d):
     bits = (F.col("p_partkey") * 40503 % 65536).cast("int")
     shown = lambda v, text: F.when(F.isnan(v), "NaN").when(F.abs(v) == float("inf"), "inf").otherwise(text)
     h, b = F.col("h"), F.col("b")
-    size = F.signum(b) * F.floor(F.log2(F.greatest(F.abs(b), F.lit(1e-40))) + 1e-9)
+    size = (F.signum(b) + 0.0) * F.floor(F.log2(F.greatest(F.abs(b), F.lit(1e-40))) + 1e-9)  # the sum leaves a negative zero without a sign, as in the SQL
     rows = V.table(spark, d, "part").select("p_partkey", W.half(bits).alias("h"), W.brain(bits).alias("b"))
     return rows.select(F.col("p_partkey").alias("part"), shown(h, F.round(h * 1048576).cast("long").cast("string")).alias("half"), shown(b, size.cast("string")).alias("brain"))
 
