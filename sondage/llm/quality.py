@@ -6,14 +6,11 @@ documents, give each bucket a log ratio; a document's score is the sum over its
 n-grams divided by their number, and the document is kept if the score is not below
 the threshold and no base rule fails. Everything runs on built-in functions.
 
-The raw counts cover every row; the trusted side is every row whose id is among
-at most MAX_TRUSTED ids labelled good (those with the smallest hash), which
-bounds what is broadcast. About every fourth of them, by hash, is held out from
-the fit, and the threshold is drawn from the scores of
-these and of as many as MAX_TRUSTED ids labelled bad, of LEAST_WORDS or more: it is the middle of the
-range in which the share of the good that is rejected, KEEP times, and the share
-of the bad that is kept have the least sum. Where there is no held-out document
-of one of the kinds, nothing can be drawn, and it is THRESHOLD.
+The raw counts cover every row, and the trusted counts every row whose id is labelled good. The threshold is drawn from every labelled document of
+LEAST_WORDS or more: labelled ids are dealt by hash in FOLDS folds, and each is scored by the counts without the good of its own fold. The threshold is
+the middle of the range in which the share of the good that is rejected, KEEP times, and the share
+of the bad that is kept have the least sum. Where a fold has no good document, or no bad one is labelled, nothing can be drawn, and it is THRESHOLD.
+Labelled ids are broadcast up to FEW of them, and joined by shuffle beyond.
 
 Null or empty texts have no words: they fail the base rules and score null.
 Repeated rows are scored alike, and a label of an id holds for all its rows; ids
@@ -31,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import unused, words_of
 
-#: Buckets of the multinomials, pseudo-count of a bucket, bound of the trusted ids, threshold of the score where none can be drawn.
-BUCKETS, SMOOTHING, MAX_TRUSTED, THRESHOLD = 4096, 1.0, 20_000, -0.05
-#: One of how many trusted ids is held out, weight of rejecting a good document, steps of a score of one.
-HELD, KEEP, STEPS = 4, 4, 1000
+#: Buckets of the multinomials, pseudo-count of a bucket, labelled ids that are broadcast, threshold of the score where none can be drawn.
+BUCKETS, SMOOTHING, FEW, THRESHOLD = 4096, 1.0, 2_000_000, -0.05
+#: Folds of the labelled ids, weight of rejecting a good document, steps of a score of one.
+FOLDS, KEEP, STEPS = 4, 4, 1000
 #: Words that a document must have by the base rules.
 LEAST_WORDS = 20
 #: Characters that count as symbols; words of a window (a power of two).
@@ -98,9 +95,13 @@ def labelled(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return by.where((F.col("quality") == 0) | ((F.col("quality") == 1) & (F.col("toxic") == 0))).select(key, (F.col("quality") == 1).alias("good"))
 
 
-def trusted_ids(labels: DataFrame, key: str = "doc_id", bound: int = MAX_TRUSTED) -> DataFrame:
-    """Ids labelled good: at most bound of them, those of the smallest hash."""
-    return labelled(labels, key).where("good").select(key).orderBy(F.xxhash64(key), key).limit(bound)
+def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every id labelled good."""
+    return labelled(labels, key).where("good").select(key)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
 def drawn(scores: list[tuple[int, bool, int]]) -> float | None:
@@ -108,30 +109,44 @@ def drawn(scores: list[tuple[int, bool, int]]) -> float | None:
     total = {kind: sum(n for _, good, n in scores if good == kind) for kind in (True, False)}
     if not all(total.values()):
         return None
-    cuts, costs, cost = sorted({step for step, *_ in scores}), [], 1.0
+    change: dict[int, float] = {}
+    for step, good, n in scores:
+        change[step] = change.get(step, 0) + (KEEP * n / total[True] if good else -n / total[False])
+    cuts, costs, cost = sorted(change), [], 1.0
     for step in cuts:  # what a threshold costs that is above all lower steps and not above this one
         costs.append(cost)
-        cost += sum(KEEP * n / total[True] if good else -n / total[False] for s, good, n in scores if s == step)
+        cost += change[step]
     cuts.append(cuts[-1] + 1)
     costs.append(cost)
     best = min(range(len(costs)), key=lambda i: round(costs[i], 9))
     return (cuts[best] + (cuts[best - 1] + 1 if best else cuts[0])) / 2 / STEPS
 
 
-def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", n: int = BUCKETS) -> list[float]:
-    """Log ratio of each bucket. trusted: one column key, bounded by its maker, so that it can be broadcast."""
-    mark = F.broadcast(trusted.select(F.col(key).alias("_key"), F.lit(1).alias("_trusted")))
+def fits(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", n: int = BUCKETS) -> list[list[float]]:
+    """Log ratio of each bucket: of all trusted documents, then without those of each fold. trusted: key, _fold."""
+    mark = trusted.select(F.col(key).alias("_key"), F.col("_fold").alias("f"))
     grams = (
-        _hashed(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", "_key")
-        .join(mark, "_key", "left")
-        .select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(F.concat("_h1", "_h2")).alias("h"))
-        .select("t", F.pmod("h", F.lit(n)).cast("int").alias("b"))
+        _hashed(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(_small(mark), "_key", "left"), "_text", "f")
+        .select("f", F.explode(F.concat("_h1", "_h2")).alias("h"))
+        .select("f", F.pmod("h", F.lit(n)).cast("int").alias("b"))
     )
-    raw, good = [0] * n, [0] * n
-    for r in grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("t")).collect():  # n rows at most
-        raw[r["b"]], good[r["b"]] = r["n"], r["t"]
-    all_raw, all_good = sum(raw) + SMOOTHING * n, sum(good) + SMOOTHING * n
-    return [math.log((g + SMOOTHING) / all_good) - math.log((r + SMOOTHING) / all_raw) for g, r in zip(good, raw, strict=True)]
+    raw, good = [0] * n, [[0] * n for _ in range(FOLDS)]
+    for r in grams.groupBy("b").agg(F.count("*").alias("n"), *(F.count_if(F.col("f") == k).alias(f"t{k}") for k in range(FOLDS))).collect():  # n rows at most
+        raw[r["b"]] = r["n"]
+        for k in range(FOLDS):
+            good[k][r["b"]] = r[f"t{k}"]
+    every = [sum(g) for g in zip(*good, strict=True)]
+
+    def ratios(counts: list[int]) -> list[float]:
+        all_raw, all_good = sum(raw) + SMOOTHING * n, sum(counts) + SMOOTHING * n
+        return [math.log((g + SMOOTHING) / all_good) - math.log((r + SMOOTHING) / all_raw) for g, r in zip(counts, raw, strict=True)]
+
+    return [ratios(every), *(ratios([a - b for a, b in zip(every, g, strict=True)]) for g in good)]
+
+
+def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", n: int = BUCKETS) -> list[float]:
+    """Log ratio of each bucket. trusted: one column key."""
+    return fits(docs, trusted.withColumn("_fold", F.lit(0)), text, key, n)[0]
 
 
 def _total(hashes: Column, ratios: list[float]) -> Column:
@@ -173,16 +188,18 @@ def score(docs: DataFrame, ratios: list[float], text: str = "text", threshold: f
 
 def model(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[list[float], float]:
     """(log ratio of each bucket, threshold)."""
-    trusted = trusted_ids(labels, key)
-    held = F.pmod(F.xxhash64(F.lit("held"), key), F.lit(HELD)) == 0
-    ratios = fit(docs, trusted.where(~held), text, key)
-    bad = labelled(labels, key).where("not good").select(key).orderBy(F.xxhash64(key), key).limit(MAX_TRUSTED)
-    sample = trusted.where(held).withColumn("good", F.lit(True)).union(bad.withColumn("good", F.lit(False)))
-    own = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample.withColumnRenamed(key, "id")), "id")
-    step = F.floor(log_ratio(words_of(F.col("text")), ratios, LEAST_WORDS) * STEPS).cast("int")
-    seen = own.groupBy("good", step.alias("step")).count()
-    threshold = drawn([(r["step"], r["good"], r["count"]) for r in seen.collect() if r["step"] is not None])  # scores lie within the range of the log ratios, some ten thousand steps
-    return ratios, THRESHOLD if threshold is None else threshold
+    known = labelled(labels, key).withColumn("_fold", F.pmod(F.xxhash64(F.lit("held"), key), F.lit(FOLDS)).cast("int"))
+    whole, *without = fits(docs, known.where("good"), text, key)
+    own = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(_small(known.withColumnRenamed(key, "id")), "id")
+    score_of = F.lit(None).cast("double")
+    for k, ratios in enumerate(without):
+        score_of = F.when(F.col("_fold") == k, log_ratio(words_of(F.col("text")), ratios, LEAST_WORDS)).otherwise(score_of)
+    seen = own.groupBy("good", "_fold", F.floor(score_of * STEPS).cast("int").alias("step")).count()
+    scores = [r for r in seen.collect() if r["step"] is not None]  # scores lie within the range of the log ratios, some ten thousand steps
+    if len({r["_fold"] for r in scores if r["good"]}) < FOLDS:
+        return whole, THRESHOLD
+    threshold = drawn([(r["step"], r["good"], r["count"]) for r in scores])
+    return whole, THRESHOLD if threshold is None else threshold
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -714,6 +714,19 @@ def test_threshold_is_drawn_from_held_out_labels(spark):
     assert kept == set(range(200))
 
 
+def test_every_labelled_document_counts(spark, monkeypatch):
+    """No bound on trusted ids, whether they are broadcast or joined; the counts are those of all good documents, folds included."""
+    labels = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.trusted_ids(labels).count() == 50_000
+    rows = [(i, prose(30, i)) for i in range(40)] + [(1000 + i, "junk " * 30) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    some = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(1000 + i, 0, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    whole, threshold = quality.model(df, some)
+    assert whole == pytest.approx(quality.fit(df, quality.trusted_ids(some)))
+    monkeypatch.setattr(quality, "FEW", 0)
+    assert quality.model(df, some) == (pytest.approx(whole), threshold)
+
+
 # --- 10 sets -------------------------------------------------------------------------------
 
 
