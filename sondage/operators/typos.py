@@ -4,6 +4,9 @@ Words of lengths m and n with a similarity (1 - distance / the longer length) of
 one of them into k + 1 pieces: k edits leave one piece whole, and it stands in the other at most k places from where it was. So a known word is
 filed under each of its pieces, for each k that it can meet, and an asked word looks up its substrings of the pieces' lengths near their
 places. Pairs that meet are decided by their edit distance. Words are compared folded (lower case, without accents).
+
+Spark's estimates of tables of words and names lie far below what they hold, so no join is left to them: what is asked is written, measured, and
+broadcast up to BROADCAST bytes; beyond, both sides are shuffled. Known words and paths are never broadcast.
 """
 
 from __future__ import annotations
@@ -12,9 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.functions.text import basename, fold, word_similarity, words
+from sondage.sources.files import written
 
 from .ranking import FUZZY, LEAST_SIMILARITY
 
+#: Bytes (as JSON) of a table that is broadcast.
+BROADCAST = 8 << 20
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df, a written table, to be broadcast in a join if it is small; else both sides of the join are shuffled."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST else df.hint("merge")
+
 
 def _edits(longest: Column, least: float) -> Column:
     """Edits that leave a similarity of least; the small addition is for products such as 0.45 * 20."""
@@ -50,26 +63,30 @@ def close_words(asked: DataFrame, known: DataFrame, least: float = LEAST_SIMILAR
     if not 0.5 < least <= 1:
         raise ValueError("the least similarity must lie above one half")
     one, other = (t.select(fold(F.col("word")).alias(name)).where(F.length(name) > 0).distinct() for t, name in ((asked, "asked"), (known, "known")))
-    pairs = _lookups(one, least).join(_pieces(other, least), ["n", "k", "i", "piece"]).select("asked", "known").distinct()
+    asks = _sent(written(_lookups(one, least), "lookups"))
+    pairs = _pieces(other, least).join(asks, ["n", "k", "i", "piece"]).select("asked", "known").distinct()
     return pairs.withColumn("similarity", word_similarity(F.col("asked"), F.col("known"))).where(F.col("similarity") >= least)
 
 
 def fuzzy_boosts(queries: DataFrame, paths: DataFrame) -> DataFrame:
     """(query, path, boost) where a name comes close enough to a query to be boosted, for tables of distinct queries and paths.
 
-    A boost needs a mean similarity of LEAST_SIMILARITY, and so one word with as much; the names that have such a word are then scored in full."""
+    A boost needs a mean similarity of LEAST_SIMILARITY, and so one word with as much; the names that have such a word are then scored in full, where the
+    path is read, at the first of its words that is as close to one of the query's."""
     asked = F.filter(F.split(F.lower("query"), r"[-_. /]+"), lambda w: w != "")
     long = lambda ws: F.transform(F.filter(ws, lambda w: F.octet_length(w) >= 3), fold)
     sizes = F.aggregate(F.filter(asked, lambda w: F.octet_length(w) >= 3), F.lit(0), lambda a, w: a + F.octet_length(w))
-    q = queries.select("query", long(asked).alias("_asked"), F.size(asked).alias("_n"), sizes.alias("_size"))
+    q = written(queries.select("query", long(asked).alias("_asked"), F.size(asked).alias("_n"), sizes.alias("_size")), "queries")
     base = basename(F.col("path"))
     p = paths.select("path", F.octet_length(base).alias("_base"), long(words(base)).alias("_names"))
     of_query = q.select("query", F.explode(F.array_distinct("_asked")).alias("asked"))
-    of_path = p.select("path", F.explode(F.array_distinct("_names")).alias("known"))
+    of_path = p.select("*", F.explode(F.array_distinct("_names")).alias("known"))
     near = close_words(of_query.select(F.col("asked").alias("word")), of_path.select(F.col("known").alias("word")))
-    pairs = near.select("asked", "known").join(of_query, "asked").join(of_path, "known").select("query", "path").distinct()
+    wanted = near.join(_sent(of_query), "asked").select("query", "known").distinct().join(_sent(q), "query")
+    pairs = of_path.join(_sent(written(wanted, "wanted")), "known")
     closest = lambda w: F.coalesce(F.array_max(F.transform("_names", lambda n: word_similarity(w, n))), F.lit(0.0))
     mean = F.aggregate("_asked", F.lit(0.0), lambda a, w: a + closest(w)) / F.col("_n")
     cover = F.least(F.lit(1.0), F.col("_size").cast("double") / F.col("_base"))
-    scored = pairs.join(q, "query").join(p, "path").select("query", "path", mean.alias("_mean"), cover.alias("_cover"))
-    return scored.where(F.col("_mean") >= LEAST_SIMILARITY).select("query", "path", (FUZZY * F.col("_mean") * F.col("_cover")).alias("boost"))
+    close = F.filter("_names", lambda n: F.exists("_asked", lambda w: word_similarity(w, n) >= LEAST_SIMILARITY))
+    scored = pairs.where(mean >= LEAST_SIMILARITY).where(F.col("known") == F.get(close, F.lit(0)))
+    return scored.select("query", "path", (FUZZY * mean * cover).alias("boost"))

@@ -1,8 +1,10 @@
-"""Work that must not grow faster than the tables: no index is shuffled as it is written, no file is read by one task, tables of queries hand on few rows."""
+"""Work that must not grow faster than the tables: no index is shuffled as it is written, no file is read by one task, tables of queries hand on few rows,
+no table of paths goes through the driver."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from sondage.operators import batch, bm25, path_index, segments
+from sondage.operators import batch, bm25, path_index, ranking, segments, typos
 from sondage.sources import views as V
 
 
@@ -55,3 +57,32 @@ def test_postings_of_the_words_asked_for(spark):
     rows = spark.createDataFrame([(1, "red fox red"), (2, "blue")], "k int, content string")
     got = bm25.postings(rows, "k", "content", spark.createDataFrame([("red",), ("red",)], "token string")).collect()
     assert [(r["k"], r["token"], r["f"], r["dl"]) for r in got] == [(1, "red", 2, 3)]
+
+
+def broadcasts(df):
+    """What is broadcast, each with what it is made of."""
+    found, left = [], [df._jdf.queryExecution().sparkPlan()]
+    while left:
+        node = left.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "BroadcastHashJoin":
+            found.append(children[node.buildSide().toString() == "BuildRight"].toString())
+        left += children
+    return found
+
+
+@pytest.mark.parametrize("limit", [typos.BROADCAST, 0])
+def test_typos_broadcast_neither_words_nor_paths(spark, tmp_path, monkeypatch, limit):
+    """The paths' file is small, so that Spark takes them for a table to broadcast; beyond the limit what is asked is shuffled too."""
+    monkeypatch.setattr(typos, "BROADCAST", limit)
+    folder = str(tmp_path / "paths")
+    names = ["small_ring", "rign-ring_rings", "blue_bolt"]
+    spark.range(300).select(F.concat(F.lit("a/"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 3 + 1).cast("int")), F.lit("_"), F.col("id").cast("string"), F.lit(".pdf")).alias("path")).write.parquet(folder)
+    paths, queries = spark.read.parquet(folder), ["smal rign", "ring", "bleu bolt 17", "pdf", "none"]
+    got = typos.fuzzy_boosts(spark.createDataFrame([(q,) for q in queries], "query string"), paths)
+    near = typos.close_words(spark.createDataFrame([("rign",)], "word string"), paths.select(F.col("path").alias("word")))
+    sent = broadcasts(got) + broadcasts(near)
+    assert len(sent) == (2 if limit else 0) and not any("path#" in x for x in sent)
+    rows = [((r["query"], r["path"]), r["boost"]) for r in got.collect()]
+    want = {(q, r["path"]): r["b"] for q in queries for r in paths.select("path", ranking.fuzzy_boost(F.col("path"), q).alias("b")).collect() if r["b"] > 0}
+    assert len(rows) == len(want) > 300 and dict(rows) == pytest.approx(want)
