@@ -1,9 +1,11 @@
 """Work that must not grow faster than the tables: no index is shuffled as it is written, no file is read by one task, tables of queries hand on few rows,
-no table of paths goes through the driver."""
+no table of paths goes through the driver, a passage that many documents quote brings none of them together."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sondage.llm import set_join
 from sondage.operators import batch, bm25, path_index, ranking, segments, typos
 from sondage.sources import views as V
 
@@ -86,3 +88,17 @@ def test_typos_broadcast_neither_words_nor_paths(spark, tmp_path, monkeypatch, l
     rows = [((r["query"], r["path"]), r["boost"]) for r in got.collect()]
     want = {(q, r["path"]): r["b"] for q in queries for r in paths.select("path", ranking.fuzzy_boost(F.col("path"), q).alias("b")).collect() if r["b"] > 0}
     assert len(rows) == len(want) > 300 and dict(rows) == pytest.approx(want)
+
+
+def test_a_common_passage_makes_no_family(spark, monkeypatch):
+    """120 pairs of near copies that all quote one passage are families of two, also where all counts share few bytes."""
+    r = np.random.default_rng(8)
+    passage, members = r.integers(1, 1 << 63, 12).astype(np.uint64), []
+    for pair in range(120):
+        own = r.integers(1, 1 << 63, 60).astype(np.uint64)
+        members += [(2 * pair + i, bytes(np.unique(np.concatenate([own[i : i + 59], passage])).tobytes())) for i in (0, 1)]
+    df = spark.createDataFrame(members, "node long, shingles binary").repartition(3)
+    for most in (24, 16):
+        monkeypatch.setattr("sondage.llm.sketch.MOST_COUNTS", most)
+        found = {x["node"]: x["family"] for x in set_join.families(df, 80).collect()}
+        assert found == {n: n - n % 2 for n, _ in members}
