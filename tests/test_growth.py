@@ -1,11 +1,12 @@
 """Work that must not grow faster than the tables: no index is shuffled as it is written, no file is read by one task, tables of queries hand on few rows,
-no table of paths goes through the driver, a passage that many documents quote brings none of them together."""
+no table of paths goes through the driver, a passage that many documents quote brings none of them together,
+no vector is written for every tile that it is compared in."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondage.llm import set_join
+from sondage.llm import near_vectors, set_join
 from sondage.operators import batch, bm25, path_index, ranking, segments, typos
 from sondage.sources import views as V
 
@@ -102,3 +103,37 @@ def test_a_common_passage_makes_no_family(spark, monkeypatch):
         monkeypatch.setattr("sondage.llm.sketch.MOST_COUNTS", most)
         found = {x["node"]: x["family"] for x in set_join.families(df, 80).collect()}
         assert found == {n: n - n % 2 for n, _ in members}
+
+
+def test_vectors_are_written_once_for_all_tiles(spark, monkeypatch):
+    """Random vectors, near copies in chains and a dense group, in many small blocks, labels that share blocks; against all pairs."""
+    monkeypatch.setattr(near_vectors, "PER_PIVOT", 30)
+    monkeypatch.setattr(near_vectors, "BLOCK", 64)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(700, 64))
+    for i in range(300, 500):
+        x[i] = x[i - 1 - i % 3] + 0.12 * r.normal(size=64)
+    x[500:620] = x[0] + 0.05 * r.normal(size=(120, 64))
+    x = x.astype(np.float32)
+    label = [i % 2 if i < 650 else 10 + i // 7 for i in range(700)]
+    df = spark.createDataFrame([(i, x[i].tolist(), label[i]) for i in range(700)], "vec_id long, embedding array<float>, label int").repartition(3)
+    written, plain = [], near_vectors.materialise
+
+    def materialise(df, name="table", **options):
+        made = plain(df, name, **options)
+        where = spark._jvm.org.apache.hadoop.fs.Path(made._written_to)
+        written.append(where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength())
+        return made
+
+    monkeypatch.setattr(near_vectors, "materialise", materialise)
+    got = sorted(tuple(y) for y in near_vectors.link(df).collect())
+    assert sum(written) < 3 * x.nbytes
+    u = x.astype(np.float64)
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    links = (u @ u.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None])
+    np.fill_diagonal(links, False)
+    least = np.arange(700)
+    while (new := np.minimum(least, np.where(links, least[None], 700).min(axis=1))).tolist() != least.tolist():
+        least = new
+    assert got == [(i, int(links[i].sum()), int(least[i]), least[i] == i) for i in range(700)]
+    assert links.sum() > 5_000
